@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, secrets
+from . import dac, packing, pii, secrets, tokens
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("masked")
 
 
+def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.read(dac.write(table(spark, sf_dir, "documents"), tokens.path("word_bpe_49k.json"), end=2))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     kinds = F.array(*map(F.lit, secrets.KINDS))
@@ -22,8 +26,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.size("live").cast("long").alias("n_live"), F.size("copied").cast("long").alias("n_copied"), told("live").alias("live_spans"), told("copied").alias("copied_spans"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), end=0, size=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_secrets)}
+    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
