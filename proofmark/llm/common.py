@@ -66,3 +66,22 @@ def forget(df: DataFrame) -> None:
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep_rows(df: DataFrame, text: str, keeps: Callable[[Iterator[list[str]]], Iterator[list[bool]]]) -> DataFrame:
+    """The rows whose text is kept, with all columns as they are; ``keeps`` maps batches of texts (null: empty) to batches of verdicts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def read() -> Iterator[list[str]]:
+            for b in batches:
+                held.append(b)
+                yield [t or "" for t in b.column(at).to_pylist()]
+
+        for verdict in keeps(read()):
+            yield held.pop().filter(pa.array(verdict, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

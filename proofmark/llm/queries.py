@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, packing, pii, secrets, tokens
+from . import dac, decontaminate, packing, pii, secrets, tokens
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), end=0, size=2048)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op7_packing)}
+    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op7_packing, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
