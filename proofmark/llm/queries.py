@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, packing, pii, secrets, tokens
+from . import dac, decontaminate, packing, pii, secrets, simhash, tokens
 from .common import table
 
 
@@ -34,8 +34,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op7_packing, op8_decontamination)}
+    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op7_packing, op8_decontamination, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
