@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, packing, pii, secrets, simhash, tokens
+from . import dac, decontaminate, packing, pii, secrets, simhash, tokens, toxicity
 from .common import table
 
 
@@ -38,8 +38,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op7_packing, op8_decontamination, op9_simhash)}
+    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op7_packing, op8_decontamination, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
