@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, minhash, packing, pii, secrets, simhash, tokens, toxicity
+from . import chunks, dac, decontaminate, minhash, packing, pii, secrets, simhash, tokens, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), end=0, size=2048)
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op5_minhash, op7_packing, op8_decontamination, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
