@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, dac, decontaminate, minhash, packing, pii, secrets, simhash, tokens, toxicity
+from . import brown, chunks, dac, decontaminate, minhash, packing, pii, secrets, simhash, tokens, toxicity
 from .common import table
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("masked")
 
@@ -51,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_brown, op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
