@@ -2,8 +2,8 @@
 
 Each shingle of five words is hashed once.  The top bits of a hash choose its
 bin, and each bin keeps its least hash.  An empty bin takes the value of the
-first filled one in a pseudo-random order of its own (optimal densification: the
-order is what is left of an endless row of independent draws once repeats are
+first filled one in a pseudo-random order of its own (optimal densification: an
+order of all bins is what is left of endless independent draws once repeats are
 dropped, so it always ends).  Of each bin the low ``BITS`` bits are kept, packed
 as hex.  Likeness corrects the share of equal bins for those equal by chance.
 
@@ -15,8 +15,6 @@ texts have equal fingerprints.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +23,6 @@ from pyspark.sql.window import Window
 from . import common
 
 SHINGLE, BINS, BITS = 5, 128, 8
-SEED = 20240607
-
-
-def _orders() -> list[int]:
-    """For each bin the other bins in the order it tries them, row after row."""
-    draw = random.Random(SEED)
-    return [b for i in range(BINS) for b in draw.sample([x for x in range(BINS) if x != i], BINS - 1)]
 
 
 def words(text: Column) -> Column:
@@ -51,12 +42,11 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(s, F.sort_array(h)).drop(h)
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - BINS.bit_length() + 1).cast("int")
     df = df.withColumn(h, F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))).drop(s)
-    df = df.withColumn(s, F.map_from_arrays(F.transform(h, bin_of), h)).drop(h)
-    df = df.withColumn(h, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.element_at(s, b))).drop(s)
-    orders = F.lit(_orders())
-    tried = lambda b: F.coalesce(F.get(h, b), *(F.get(h, F.get(orders, b * (BINS - 1) + t)) for t in range(BINS - 1)))
-    filled = F.when(F.exists(h, lambda x: x.isNull()), F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), tried)).otherwise(F.col(h))
-    return df.withColumn(out, F.transform(filled, lambda x: x.bitwiseAND((1 << BITS) - 1).cast("int"))).drop(h)
+    df = df.withColumn(s, F.map_from_arrays(F.transform(h, bin_of), h))
+    # The filled bins in the order that bin b tries them in is their order of hash with b; it takes the first.
+    first = lambda b: F.array_min(F.transform(h, lambda x: F.struct(F.xxhash64(b, bin_of(x)).alias("turn"), x.alias("value"))))["value"]
+    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at(s, b), first(b)))
+    return df.withColumn(out, F.transform(filled, lambda x: x.bitwiseAND((1 << BITS) - 1).cast("int"))).drop(h, s)
 
 
 def packed(bins: Column) -> Column:
