@@ -317,7 +317,7 @@ def _application():
 
 
 # Filters and images.
-over("fil_05_image_gate", "CASE WHEN size = 1 THEN 'empty_file' WHEN size > 48 THEN 'file_too_large' WHEN size % 5 = 0 THEN 'pdf_not_supported' WHEN size % 7 = 0 THEN 'corrupt_image' WHEN size * 20 < 100 THEN 'image_too_small' END AS code", lambda: images.gate(F.when(c("size") == 1, 0).otherwise(c("size") * 320_000), F.when(c("size") % 5 == 0, "PDF").otherwise("JPEG"), F.when(c("size") % 7 != 0, "jpeg"), c("size") * 20, F.lit(500)).alias("code"))
+over("fil_05_image_gate", "CASE WHEN size = 1 THEN 'empty_file' WHEN size > 49 THEN 'file_too_large' WHEN size % 5 = 0 THEN 'pdf_not_supported' WHEN size % 7 = 0 THEN 'corrupt_image' WHEN size * 20 < 100 THEN 'image_too_small' END AS code", lambda: images.gate(F.when(c("size") == 1, 0).otherwise(c("size") * 320_000), F.when(c("size") % 5 == 0, "PDF").otherwise("JPEG"), F.when(c("size") % 7 != 0, "jpeg"), c("size") * 20, F.lit(500)).alias("code"))
 over("fil_06_evidence_problem", f"CASE WHEN item_id % 13 = 0 THEN 'unable_to_determine' WHEN item_id % 5 = 0 THEN 'low_confidence' WHEN {o.source('abv_line')} IS NULL OR {o.source('abv_line')} = 'proof' THEN 'abv_unparseable' END AS code", lambda: reconcile.evidence_problem(F.lit("alcohol_content"), c("abv_line"), F.lit(None).cast("string"), F.when(c("item_id") % 5 == 0, "LOW").otherwise("HIGH"), c("item_id") % 13 == 0).alias("code"))
 over("fil_07_application", "length(app_brand) <= 200 AND item_id % 3 <> 0 AS ok", lambda: manifest.application_ok({"brand_name": c("app_brand"), "class_type": F.when(c("item_id") % 3 == 0, "  ").otherwise("x"), "alcohol_content": c("app_abv"), "net_contents": c("app_net")}).alias("ok"))
 over("src_07_sniff", "CASE item_id % 5 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG' WHEN 2 THEN 'WEBP' WHEN 3 THEN 'PDF' ELSE 'UNKNOWN' END AS k, CASE item_id % 5 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' END AS accepted", lambda: images.sniff(_bytes()).alias("k"), lambda: images.accepted(images.sniff(_bytes())).alias("accepted"))
