@@ -24,10 +24,10 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | No
     """
     raw = spark.read.format("binaryFile").load(path)
     size, valid = raw.agg(F.sum(F.length(F.trim(F.regexp_replace(F.col("content").cast("string"), r"\s", "")))), F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()
-    if not valid:
-        return None, "manifest_encoding"
     if not size:
         return None, "empty_manifest"
+    if not valid:
+        return None, "manifest_encoding"
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     read = read.toDF(*(c.lstrip("﻿").strip().lower() for c in read.columns))
     if [c for c in MANIFEST_COLUMNS if c not in read.columns]:
