@@ -1,10 +1,9 @@
 """One-permutation MinHash fingerprints in DataFrame functions alone.
 
 Each shingle of five words is hashed once.  The top bits of a hash choose its
-bin, and each bin keeps its least hash.  An empty bin takes the value of the
-first filled one in a pseudo-random order of its own (optimal densification: an
-order of all bins is what is left of endless independent draws once repeats are
-dropped, so it always ends).  Of each bin the low ``BITS`` bits are kept, packed
+bin, and each bin keeps its least hash.  An empty bin takes the value of the first filled one
+among independent draws of its own (optimal densification); after ``DRAWS``
+draws an order of all bins by hash goes on, so this always ends.  Of each bin the low ``BITS`` bits are kept, packed
 as hex.  Likeness corrects the share of equal bins for those equal by chance.
 
 Words are runs of other than ASCII white space, in lower case.  A text of fewer
@@ -23,30 +22,41 @@ from pyspark.sql.window import Window
 from . import common
 
 SHINGLE, BINS, BITS = 5, 128, 8
+#: Independent draws of a filled bin before an order of all bins decides.
+DRAWS = 24
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
 
 
 def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the ``BINS`` values of the fingerprint of column ``text``, before packing."""
+    """Adds ``out``: the low bits of the ``BINS`` values of the fingerprint of column ``text``."""
     w, h, s = f"{out}_words", f"{out}_hashes", f"{out}_sorted"
-    # Each word is hashed once; a shingle is the hash of its words' hashes in turn.
-    df = df.withColumn(w, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(w, words(F.col(text)))
     n = F.size(w)
     long = F.transform(F.slice(w, 1, F.greatest(n - (SHINGLE - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, SHINGLE))))
-    short = F.array(F.aggregate(w, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x)))
-    df = df.withColumn(h, F.when(n >= SHINGLE, long).otherwise(short)).drop(w)
-    # In order of hash, the first of each bin is the bin's least.
-    df = df.withColumn(s, F.sort_array(h)).drop(h)
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BINS.bit_length() + 1).cast("int")
-    df = df.withColumn(h, F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))).drop(s)
-    df = df.withColumn(s, F.map_from_arrays(F.transform(h, bin_of), h))
-    # The filled bins in the order that bin b tries them in is their order of hash with b; it takes the first.
-    first = lambda b: F.array_min(F.transform(h, lambda x: F.struct(F.xxhash64(b, bin_of(x)).alias("turn"), x.alias("value"))))["value"]
-    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at(s, b), first(b)))
-    return df.withColumn(out, F.transform(filled, lambda x: x.bitwiseAND((1 << BITS) - 1).cast("int"))).drop(h, s)
+    short = F.array(F.xxhash64(F.array_join(w, " ")))
+    # In order of hash, the first of each bin (the top bits) is the bin's least.
+    df = df.withColumn(s, F.sort_array(F.when(n >= SHINGLE, long).otherwise(short))).drop(w)
+    shift = 64 - BINS.bit_length() + 1
+    df = df.withColumn(h, F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x.bitwiseXOR(F.get(s, i - 1)), shift) != 0))).drop(s)
+    # Hashes are signed, so bins count from the most negative one, in the order of the array.
+    bin_of = lambda x: F.shiftright(x, shift).cast("int") + BINS // 2
+    every = F.sequence(F.lit(0), F.lit(BINS - 1))
+    full = F.size(h) == BINS
+    df = df.withColumn(w, F.when(~full, F.map_from_arrays(F.transform(h, bin_of), h)))
+    df = df.withColumn(s, F.when(full, F.col(h)).otherwise(F.transform(every, lambda b: F.element_at(w, b))))
+
+    def tried(b: Column) -> Column:
+        draws = [F.get(s, F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(DRAWS)]
+        # Where all draws met empty bins, the filled ones stand in their order of hash with this bin; only a value's low bits matter.
+        low = (1 << BITS) - 1
+        rest = F.array_min(F.transform(h, lambda x: F.xxhash64(b, bin_of(x)).bitwiseAND(~low).bitwiseOR(x.bitwiseAND(low))))
+        return F.coalesce(F.get(s, b), *draws, rest)
+
+    filled = F.when(full, F.col(s)).otherwise(F.transform(every, tried))
+    return df.withColumn(out, F.transform(filled, lambda x: x.bitwiseAND((1 << BITS) - 1).cast("int"))).drop(w, h, s)
 
 
 def packed(bins: Column) -> Column:
@@ -77,7 +87,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     texts = common.texts_of(docs)
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({float(x) for x in texts.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.01, 0.25 / n))})
-    deal = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="doc_id", outputCol="cell", handleInvalid="keep")
+    deal = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="doc_id", outputCol="cell", handleInvalid="keep")
     # Bucketizer wants a double; its order follows that of doc_id, which is all that matters here.  Null ids come last, below all cells.
     dealt = lambda df: deal.transform(df.withColumn("doc_id", F.col("doc_id").cast("double")).select("doc_id", *df.drop("doc_id").columns)).drop("doc_id")
     ranged = dealt(texts.withColumn("id", F.col("doc_id"))).withColumn("cell", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("cell")).cast("int")).withColumnRenamed("id", "doc_id")
