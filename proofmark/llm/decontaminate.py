@@ -109,7 +109,7 @@ def windows(bench: DataFrame) -> DataFrame:
                     out += {(item, size, b" ".join(ws[s : s + size]).decode("utf-8", "replace"), fp) for s, fp in enumerate(fps)}
             yield out
 
-    return common.map_rows(common.texts_of(bench.withColumnRenamed("item_id", "doc_id")), rows, "item_id long, size int, text string, fingerprint long")
+    return common.map_rows(common.texts_of(bench.select(F.col("item_id").alias("doc_id"), "text")), rows, "item_id long, size int, text string, fingerprint long")
 
 
 class Index:

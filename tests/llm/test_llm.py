@@ -202,7 +202,7 @@ ITEMS = [(1, SHARED), (2, " ".join(SHARED.upper().split()[:20])), (3, BASE[7]),
 
 
 def test_decontamination(spark, docs, empty, monkeypatch):
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("doc_id", F.lit(1))
     expected = plain_hits(ROWS, ITEMS)
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect()), key=str) == expected
     kept = decontaminate.clean(docs, bench)
