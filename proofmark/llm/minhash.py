@@ -1,10 +1,11 @@
 """One-permutation MinHash fingerprints in DataFrame functions alone.
 
 Each shingle of five words is hashed once.  The top bits of a hash choose its
-bin, and each bin keeps its least hash.  An empty bin takes the value of the first filled one
-among independent draws of its own (optimal densification); after ``DRAWS``
-draws an order of all bins by hash goes on, so this always ends.  Of each bin the low ``BITS`` bits are kept, packed
-as hex.  Likeness corrects the share of equal bins for those equal by chance.
+bin, and each bin keeps its least hash.  An empty bin takes the value of the
+first filled one among independent draws of its own (optimal densification);
+after ``DRAWS`` draws an order of all bins by hash goes on, so this always ends.
+Of each bin the low ``BITS`` bits are kept, packed as hex.  Likeness corrects the
+share of equal bins for those equal by chance.
 
 Words are runs of other than ASCII white space, in lower case.  A text of fewer
 than five words is one shingle of all its words; a text without words is one
