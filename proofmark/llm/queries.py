@@ -58,5 +58,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_brown, op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity)}
 
 
+#: Words as the contract has them: A-Z in lower case, runs of letters, digits and non-ASCII characters.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, ws, least({decontaminate.SPAN}, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, k, array_to_string(ws[s:s + k - 1], ' ') AS t FROM b, unnest(range(1, len(ws) - k + 2)) AS u(s)),
+p AS (SELECT r, s, k, array_to_string(ws[s:s + k - 1], ' ') AS t FROM d, (SELECT DISTINCT k FROM w), unnest(range(1, len(ws) - k + 2)) AS u(s)),
+h AS (SELECT r, s, k, item_id FROM p JOIN w USING (k, t)),
+n AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT r, s, k FROM h), unnest(range(s, s + k)) AS u(place) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": OP8}

@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from proofmark.llm import brown, chunks, common, components, dac, decontaminate, minhash, packing, pii, secrets, simhash, tokens, toxicity
+from proofmark.llm import brown, chunks, common, components, dac, decontaminate, minhash, packing, pii, queries, secrets, simhash, tokens, toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon".split()
@@ -215,6 +217,15 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontaminate.report(docs, none).where("contaminated").count() == 0
 
 
+def test_decontamination_sql_equals_the_plain_version():
+    documents, benchmark = pd.DataFrame([r[:2] for r in ROWS], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}), pd.DataFrame(ITEMS, columns=["item_id", "text"]).astype({"item_id": "Int64"})
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        con.register("benchmark", benchmark)
+        found = con.execute(queries.OP8).fetchall()
+    assert sorted(found, key=str) == plain_hits(ROWS, ITEMS)
+
+
 # SimHash.
 
 
