@@ -119,6 +119,31 @@ def token_sort(pairs: str, a: str, b: str) -> str:
     )
 
 
+def token_set(pairs: str, a: str, b: str) -> str:
+    """The same with the ratio of word sets, as CTE ``r``, for the expressions ``a`` and ``b`` of ``pairs``; x and y have words."""
+    both, left, right = "list_sort(list_intersect(xs, ys))", "list_sort(list_filter(xs, lambda w: NOT list_contains(ys, w)))", "list_sort(list_filter(ys, lambda w: NOT list_contains(xs, w)))"
+    ratio = lambda p, q: f"200.0 * {common(p, q)} / (length({p}) + length({q}))"
+    return (
+        f"d AS (SELECT DISTINCT {a} AS x, {b} AS y FROM {pairs}), s AS (SELECT x, y, list_distinct(string_split({squash('x')}, ' ')) AS xs, list_distinct(string_split({squash('y')}, ' ')) AS ys FROM d), "
+        f"t AS (SELECT x, y, len({both}) AS n, len({left}) AS n_left, len({right}) AS n_right, array_to_string({both}, ' ') AS head, array_to_string(list_concat({both}, {left}), ' ') AS one, array_to_string(list_concat({both}, {right}), ' ') AS two FROM s), "
+        f"r AS (SELECT x, y, CASE WHEN n > 0 AND least(n_left, n_right) = 0 THEN 100.0 WHEN n = 0 THEN {ratio('one', 'two')} ELSE greatest({ratio('one', 'two')}, {ratio('head', 'one')}, {ratio('head', 'two')}) END AS ratio FROM t)"
+    )
+
+
+def partial(pairs: str, a: str, b: str) -> str:
+    """The same with the best ratio of the shorter text and any window of the longer one, as CTE ``r``; neither is empty."""
+    return (
+        f"d AS (SELECT DISTINCT {a} AS x, {b} AS y FROM {pairs}), s AS (SELECT x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS one, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS two FROM d), "
+        f"w AS (SELECT DISTINCT one, substr(two, greatest(i, 0) + 1, i + length(one) - greatest(i, 0)) AS part, two FROM (SELECT DISTINCT one, two FROM s WHERE NOT contains(two, one)), unnest(range(1 - length(one), length(two))) AS u(i)), "
+        f"best AS (SELECT one, two, max(200.0 * {common('one', 'part')} / (length(one) + length(part))) AS ratio FROM w GROUP BY one, two), "
+        f"r AS (SELECT x, y, coalesce(ratio, 100.0) AS ratio FROM s LEFT JOIN best USING (one, two))"
+    )
+
+
+def eval_norm(t: str) -> str:
+    return squash(f"regexp_replace(lower({t}), '[^a-z0-9_\\s.%/]', ' ', 'g')")
+
+
 def long_tokens(t: str) -> str:
     return f"list_filter(string_split({t}, ' '), lambda w: length(w) >= 4)"
 
@@ -130,6 +155,23 @@ def agree(a: str, b: str) -> str:
     return f"coalesce({a} = {b} OR contains({a}, {b}) OR contains({b}, {a}) OR (len({first}) > 0 AND {met}), false)"
 
 
+def prefer_agreeing(a: str, b: str) -> str:
+    """For texts that are not missing; ``a`` and ``b`` are columns."""
+    x, y = norm(a), norm(b)
+    more = f"len({long_tokens(y)}) - len({long_tokens(x)})"
+    extra = lambda p, q: f"list_filter(string_split({p}, ' '), lambda w: NOT list_contains(string_split({q}, ' '), w))"
+    junk = lambda p, q: f"(len({long_tokens(p)}) <= len({long_tokens(q)}) AND len({extra(p, q)}) > 0 AND len({long_tokens(array_of(extra(p, q)))}) = 0)"
+    return (
+        f"CASE WHEN NOT {agree(x, y)} THEN {a} WHEN contains({y}, {x}) AND length({y}) > length({x}) + 1 THEN CASE WHEN {junk(y, x)} THEN {a} ELSE {b} END "
+        f"WHEN contains({x}, {y}) AND length({x}) > length({y}) + 1 THEN CASE WHEN {junk(x, y)} THEN {b} ELSE {a} END "
+        f"WHEN {more} > 0 THEN {b} WHEN {more} < 0 THEN {a} WHEN length(trim({a})) <= length(trim({b})) THEN {a} ELSE {b} END"
+    )
+
+
+def array_of(words: str) -> str:
+    return f"array_to_string({words}, ' ')"
+
+
 def categories(t: str) -> str:
     return f"list_distinct(list_transform(list_filter({array(CATEGORIES)}, lambda w: contains({t}, w)), lambda w: CASE WHEN w IN ('whiskey', 'whisky', 'bourbon') THEN 'whiskey' ELSE w END))"
 

@@ -67,11 +67,11 @@ over("txt_13_quality_note", "trim(CASE WHEN item_id % 2 = 0 THEN 'Low variance.'
 over("sim_04_levenshtein", "levenshtein(brand_line, app_brand) AS d", lambda: F.levenshtein("brand_line", "app_brand").cast("long").alias("d"))
 over("sim_05_character_error_rate", "CASE WHEN length(app_brand) = 0 THEN 1.0 ELSE levenshtein(app_brand, brand_line) / CAST(length(app_brand) AS DOUBLE) END AS cer", lambda: similarity.character_error_rate(c("app_brand"), c("brand_line")).alias("cer"))
 register("sim_01_token_sort_ratio", f"{L}, {o.token_sort('l', 'brand_line', 'app_brand')} SELECT item_id, ratio FROM l LEFT JOIN r ON r.x IS NOT DISTINCT FROM {o.norm('brand_line')} AND r.y IS NOT DISTINCT FROM {o.norm('app_brand')}")(lambda s, d: labels(s, d).select("item_id", similarity.text_similarity(c("brand_line"), c("app_brand")).alias("ratio")))
-over("sim_02_token_set_ratio", None, lambda: similarity.token_set_ratio(F.lower("class_line"), F.lower("app_class")).alias("ratio"))
+register("sim_02_token_set_ratio", f"{L}, {o.token_set('l', 'lower(class_line)', 'lower(app_class)')} SELECT item_id, ratio FROM l JOIN r ON x = lower(class_line) AND y = lower(app_class)")(lambda s, d: labels(s, d).select("item_id", similarity.token_set_ratio(F.lower("class_line"), F.lower("app_class")).alias("ratio")))
 over("sim_03_partial_ratio", None, lambda: similarity.partial_ratio(F.lower("app_brand"), F.lower(F.concat_ws(" ", "brand_line", "class_line", "abv_line"))).alias("ratio"))
 over("sim_06_agree", f"{o.agree(o.norm('brand_line'), o.norm('app_brand'))} AS ok", lambda: similarity.candidates_agree(c("brand_line"), c("app_brand")).alias("ok"))
 over("sim_07_prefer_cleaner", f"CASE WHEN {o.agree(o.norm('brand_line'), o.norm('app_brand'))} AND length(trim(brand_line)) > length(trim(app_brand)) THEN app_brand ELSE brand_line END AS k", lambda: similarity.prefer_cleaner(c("brand_line"), c("app_brand")).alias("k"))
-over("sim_08_prefer_agreeing", None, lambda: similarity.prefer_agreeing(c("app_brand"), c("brand_line")).alias("k"))
+over("sim_08_prefer_agreeing", f"{o.prefer_agreeing('app_brand', 'brand_line')} AS k", lambda: similarity.prefer_agreeing(c("app_brand"), c("brand_line")).alias("k"))
 over("sim_09_brand_recovered", "contains(lower(brand_line), lower(app_brand)) AS hit", lambda: similarity.brand_exact(c("app_brand"), c("brand_line")).alias("hit"))
 over("sim_09_brand_recovered_fuzzy", None, lambda: similarity.brand_recovered(c("app_brand"), c("brand_line")).alias("hit"))
 over("sim_10_category_conflict", f"len({o.categories('lower(class_line)')}) > 0 AND len({o.categories('lower(app_class)')}) > 0 AND NOT list_has_any({o.categories('lower(class_line)')}, {o.categories('lower(app_class)')}) AS apart", lambda: similarity.category_conflict(F.lower("class_line"), F.lower("app_class")).alias("apart"))
@@ -185,7 +185,12 @@ def _(spark, sf_dir):
     return extract.fields(records(spark, sf_dir)).select("item_id", "field_name", "status", "raw_text", "normalized_value")
 
 
-@register("ext_12_brand_diagnostics")
+BRAND_PARTS = "2.0::DOUBLE * (item_id % 40 + 20) AS size, (1 - 20 / 600::DOUBLE) * 40 AS position, CASE WHEN item_id % 90 < 1.8::DOUBLE * (item_id % 40 + 20) THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS continuity, 8.0::DOUBLE AS multi_word, 5.0::DOUBLE AS all_caps, 0.0::DOUBLE AS weak"
+OTHER_PARTS = "60.0::DOUBLE AS size, 20.0::DOUBLE AS position, 0.0::DOUBLE AS continuity, 0.0::DOUBLE AS multi_word, 5.0::DOUBLE AS all_caps, -28.0::DOUBLE AS weak"
+PARTS = f"SELECT item_id, 'RIVER BEND' AS line, 0 AS at, {BRAND_PARTS} FROM l UNION ALL SELECT item_id, 'DISTILLERY', 1, {OTHER_PARTS} FROM l"
+
+
+@register("ext_12_brand_diagnostics", f"{L} SELECT *, size + position + continuity + multi_word + all_caps + weak AS score, 0.0::DOUBLE AS artifact FROM ({PARTS})")
 def _(spark, sf_dir):
     return brand_words(spark, sf_dir).select("item_id", F.explode(extract.brand_scores(c("full_text"), c("words"), c("image_height_px"))).alias("x")).select("item_id", "x.*")
 
@@ -239,7 +244,9 @@ rule_query("rul_04_alcohol", lambda: rules.alcohol(c("app_abv"), c("f.abv"), c("
 
 NET_CASE = lambda a, b, d, e: f"CASE WHEN {o.net_value('net_line')} IS NULL THEN {a} WHEN {o.net_ml('app_net')} IS NULL THEN {b} WHEN abs({o.net_ml('app_net')} - {o.net_ml('net_line')}) <= 0.5 THEN {d} ELSE {e} END"
 rule_query("rul_05_net", lambda: rules.net(c("app_net"), c("f.net"), c("quality")), f"{NET_CASE(*map(q, ('REVIEW', 'REVIEW', 'PASS', 'FAIL')))} AS status, {NET_CASE(MASKED, *map(q, ('APPLICATION_VALUE_INVALID', 'NET_CONTENTS_MATCH', 'NET_CONTENTS_MISMATCH')))} AS reason_code FROM l")
-rule_query("rul_06_warning", lambda: rules.warning(F.lit(None), c("f.warning"), c("quality")), None)
+WARNED = lambda a, b, d, e, f, g: f"CASE WHEN NOT contains(lower(warning_line), 'government warning') THEN {a} WHEN {o.cues('warning_line')} < 2 OR length(warning_line) <= 80 THEN {b} WHEN ratio < 75 THEN {d} WHEN ratio < 92 THEN {e} WHEN contains(warning_line, 'GOVERNMENT WARNING') THEN {f} ELSE {g} END"
+LOWER_WARNING = f"lower({o.squash('warning_line')})"
+rule_query("rul_06_warning", lambda: rules.warning(F.lit(None), c("f.warning"), c("quality")), f"{WARNED(*map(q, ('REVIEW', 'REVIEW', 'FAIL', 'REVIEW', 'PASS', 'REVIEW')))} AS status, {WARNED(MASKED.replace('EXTRACTION_NOT_FOUND', 'WARNING_MISSING'), *map(q, ('WARNING_PARTIAL', 'WARNING_WORDING_MISMATCH', 'WARNING_PARTIAL', 'WARNING_WORDING_MATCH', 'WARNING_CAPS_REVIEW')))} AS reason_code FROM l JOIN r ON y = {LOWER_WARNING}", f", {o.token_set('l', f'lower({o.squash(o.STATUTE)})', LOWER_WARNING)}")
 rule_query("rul_06_warning_gates", lambda: rules.warning(F.lit(None), F.when(c("item_id") % 4 == 0, found(c("warning_line"))).when(c("item_id") % 4 == 3, found(status="NOT_FOUND")).otherwise(found(c("warning_line"), status="UNCERTAIN")), c("quality")), f"CASE WHEN item_id % 4 = 0 THEN 'PASS' ELSE 'REVIEW' END AS status, CASE item_id % 4 WHEN 0 THEN 'WARNING_WORDING_MATCH' WHEN 3 THEN CASE WHEN {MASK} THEN 'OCR_LOW_QUALITY' ELSE 'WARNING_MISSING' END ELSE 'WARNING_PARTIAL' END AS reason_code FROM l")
 rule_query("rul_07_label_only", lambda: rules.present("alcohol_content")(F.lit(None), c("f.abv"), F.lit("GOOD")), f"CASE WHEN {ABV_OK} THEN 'PASS' ELSE 'REVIEW' END AS status, CASE WHEN {o.source('abv_line')} IS NULL THEN 'EXTRACTION_NOT_FOUND' WHEN {ABV_OK} THEN 'ABV_MATCH' ELSE 'PROOF_ONLY_NO_PERCENT_STATEMENT' END AS reason_code FROM l")
 
@@ -441,7 +448,8 @@ def _(spark, sf_dir):
     return evaluate.matrix(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id"), axis("provider", "string", "ab"), axis("profile", "string", ["fast", "enhanced"]), axis("edge", "int", [1200, 1600, 2200]))
 
 
-over("joi_10_field_recovery", None, lambda: evaluate.recovered(F.lit("alcohol_content"), c("app_abv"), parse.application_abv(c("app_abv")).cast("string"), c("abv_line")).alias("hit"))
+RECOVERED = f"{L}, {o.partial('l', o.eval_norm('app_abv'), o.eval_norm('abv_line'))} SELECT item_id, coalesce(abs({o.app_abv('abv_line')} - {o.app_abv('app_abv')}) < 1e-6, false) OR ratio >= 80 AS hit FROM l JOIN r ON x = {o.eval_norm('app_abv')} AND y = {o.eval_norm('abv_line')}"
+register("joi_10_field_recovery", RECOVERED)(lambda s, d: labels(s, d).select("item_id", evaluate.recovered(F.lit("alcohol_content"), c("app_abv"), parse.application_abv(c("app_abv")).cast("string"), c("abv_line")).alias("hit")))
 
 
 # Reconciliation: two passes of the same records, the second read from perturbed lines.
