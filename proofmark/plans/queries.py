@@ -68,12 +68,13 @@ over("sim_04_levenshtein", "levenshtein(brand_line, app_brand) AS d", lambda: F.
 over("sim_05_character_error_rate", "CASE WHEN length(app_brand) = 0 THEN 1.0 ELSE levenshtein(app_brand, brand_line) / CAST(length(app_brand) AS DOUBLE) END AS cer", lambda: similarity.character_error_rate(c("app_brand"), c("brand_line")).alias("cer"))
 register("sim_01_token_sort_ratio", f"{L}, {o.token_sort('l', 'brand_line', 'app_brand')} SELECT item_id, ratio FROM l LEFT JOIN r ON r.x IS NOT DISTINCT FROM {o.norm('brand_line')} AND r.y IS NOT DISTINCT FROM {o.norm('app_brand')}")(lambda s, d: labels(s, d).select("item_id", similarity.text_similarity(c("brand_line"), c("app_brand")).alias("ratio")))
 register("sim_02_token_set_ratio", f"{L}, {o.token_set('l', 'lower(class_line)', 'lower(app_class)')} SELECT item_id, ratio FROM l JOIN r ON x = lower(class_line) AND y = lower(app_class)")(lambda s, d: labels(s, d).select("item_id", similarity.token_set_ratio(F.lower("class_line"), F.lower("app_class")).alias("ratio")))
-over("sim_03_partial_ratio", None, lambda: similarity.partial_ratio(F.lower("app_brand"), F.lower(F.concat_ws(" ", "brand_line", "class_line", "abv_line"))).alias("ratio"))
+LINES = "lower(brand_line || ' ' || class_line || ' ' || abv_line)"
+register("sim_03_partial_ratio", f"{L}, {o.partial('l', 'lower(app_brand)', LINES)} SELECT item_id, ratio FROM l JOIN r ON x = lower(app_brand) AND y = {LINES}")(lambda s, d: labels(s, d).select("item_id", similarity.partial_ratio(F.lower("app_brand"), F.lower(F.concat_ws(" ", "brand_line", "class_line", "abv_line"))).alias("ratio")))
 over("sim_06_agree", f"{o.agree(o.norm('brand_line'), o.norm('app_brand'))} AS ok", lambda: similarity.candidates_agree(c("brand_line"), c("app_brand")).alias("ok"))
 over("sim_07_prefer_cleaner", f"CASE WHEN {o.agree(o.norm('brand_line'), o.norm('app_brand'))} AND length(trim(brand_line)) > length(trim(app_brand)) THEN app_brand ELSE brand_line END AS k", lambda: similarity.prefer_cleaner(c("brand_line"), c("app_brand")).alias("k"))
 over("sim_08_prefer_agreeing", f"{o.prefer_agreeing('app_brand', 'brand_line')} AS k", lambda: similarity.prefer_agreeing(c("app_brand"), c("brand_line")).alias("k"))
 over("sim_09_brand_recovered", "contains(lower(brand_line), lower(app_brand)) AS hit", lambda: similarity.brand_exact(c("app_brand"), c("brand_line")).alias("hit"))
-over("sim_09_brand_recovered_fuzzy", None, lambda: similarity.brand_recovered(c("app_brand"), c("brand_line")).alias("hit"))
+register("sim_09_brand_recovered_fuzzy", f"{L}, {o.partial('l', o.eval_norm('app_brand'), o.eval_norm('brand_line'))} SELECT item_id, ratio >= 85 AS hit FROM l JOIN r ON x = {o.eval_norm('app_brand')} AND y = {o.eval_norm('brand_line')}")(lambda s, d: labels(s, d).select("item_id", similarity.brand_recovered(c("app_brand"), c("brand_line")).alias("hit")))
 over("sim_10_category_conflict", f"len({o.categories('lower(class_line)')}) > 0 AND len({o.categories('lower(app_class)')}) > 0 AND NOT list_has_any({o.categories('lower(class_line)')}, {o.categories('lower(app_class)')}) AS apart", lambda: similarity.category_conflict(F.lower("class_line"), F.lower("app_class")).alias("apart"))
 over("sim_11_visible_tokens", "len(list_filter(string_split(lower(app_brand), ' '), lambda t: contains(lower(brand_line), t))) AS n", lambda: F.size(F.filter(similarity.visible_tokens(c("app_brand"), c("brand_line")), lambda x: x["seen"])).cast("long").alias("n"))
 
