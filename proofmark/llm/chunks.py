@@ -4,9 +4,12 @@ A text's UTF-8 bytes are cut where the gear hash of the last ``GEAR`` bytes has
 its top bits zero, at least ``LEAST`` and at most ``MOST`` bytes after the last
 cut.  Cuts depend on content alone, so an insertion moves no cut beyond its
 surroundings.  Chunks are told apart by a 96-bit digest.  A chunk in two or more
-documents is repeated; repeated chunks that touch are joined to a run, and runs
-of at least ``RUN`` bytes are passages.  Of a passage's chunks the occurrence in
-the document with the least id stays; the others may be removed.
+documents is repeated, and repeated chunks that touch are a run.  Short chunks
+recur by chance, so a run says little by itself: it is gone through in windows of
+chunks that hold at least ``RUN`` bytes, and only windows that another document
+holds whole count.  Windows that one place of another document holds in the same
+order are joined to a passage.  The occurrence in the document with the least id
+stays; the others may be removed.
 
 A run's outermost chunks reach at most one chunk short of the passage's true
 ends, so a passage of 50 words holds a run well over ``RUN`` bytes.
@@ -99,33 +102,84 @@ def digests(docs: DataFrame) -> DataFrame:
     return common.map_rows(common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), rows, "digest binary, id long")
 
 
+def windows(ends: list[tuple[int, int]], least: int = RUN) -> list[tuple[int, int]]:
+    """First and last place of the windows of a run's chunks, given as (start, end).
+
+    From each chunk on and up to each chunk the shortest window of ``least``
+    bytes: any part of a run with so many bytes is covered by those inside it.
+    The whole run comes too, so a copy is one passage even if it repeats itself.
+    """
+    n = len(ends)
+    if not n or ends[-1][1] - ends[0][0] < least:
+        return []
+    found, j = {(0, n - 1)}, 0
+    for i in range(n):
+        j = max(i, j)
+        while j < n and ends[j][1] - ends[i][0] < least:
+            j += 1
+        if j == n:
+            break
+        found.add((i, j))
+    i = 0
+    for j in range(n):
+        while i < j and ends[j][1] - ends[i + 1][0] >= least:
+            i += 1
+        if ends[j][1] - ends[i][0] >= least:
+            found.add((i, j))
+    return sorted(found)
+
+
 def passages(docs: DataFrame, least: int = RUN) -> DataFrame:
-    """One row per passage of a document that other documents share.
+    """One row per passage of a document that a single other document holds whole.
 
     ``first_doc_id`` is the least id among the documents that hold one of its
-    chunks, and ``kept`` says whether this document is the first for all of them.
+    windows (this document, if it is the first), and ``kept`` says whether this
+    document is the first.  Passages may overlap where several documents hold
+    different parts; none lies inside another of the same ``kept``.
 
     The first and last id of each digest come from a partial aggregate, so a
     chunk that a third of all documents hold is one row per task in that
     shuffle.  Only digests with two ids are joined back to the chunks (cut anew:
     that is cheaper than keeping them); both sides are plain shuffles, so the
-    rows of a digest that very many hold can be split.
+    rows of a digest that very many hold can be split.  Windows take the same
+    way, with the place of their first and last holder.
     """
     held = digests(docs).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    repeated = common.store(held.where("first <> last").select("digest", "first"), "chunks-repeated")
-    found = spans(docs).join(repeated, "digest").select("row", "id", "start", "end", "first")
+    repeated = common.store(held.where("first <> last").select("digest"), "chunks-repeated")
+    found = spans(docs).join(repeated, "digest").select("row", "id", "start", "end", "digest")
     turn = Window.partitionBy("row").orderBy("start")
     runs = found.withColumn("gap", (F.col("start") != F.coalesce(F.lag("end").over(turn), F.lit(-1))).cast("int")).withColumn("run", F.sum("gap").over(turn))
-    joined = runs.groupBy("row", "run").agg(
+    whole = runs.groupBy("row", "run").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("start", "end", "digest"))).alias("chunks"))
+    long = whole.where(F.element_at("chunks", -1)["end"] - F.element_at("chunks", 1)["start"] >= least)
+
+    def rows(batches) -> Iterator[list[tuple]]:
+        for b in batches:
+            for row, doc_id, chunks in zip(b["row"].to_pylist(), b["id"].to_pylist(), b["chunks"].to_pylist(), strict=True):
+                parts = [c["digest"] for c in chunks]
+                yield [(row, doc_id, chunks[i]["start"], chunks[j]["end"], i, j, digest(b"".join(parts[i : j + 1]))) for i, j in windows([(c["start"], c["end"]) for c in chunks], least)]
+
+    cut = common.store(common.map_rows(long.select("row", "id", "chunks"), rows, "row long, id long, start int, end int, i int, j int, digest binary"), "chunks-windows")
+    common.forget(repeated)
+    place = F.struct("id", "row", "start")
+    holders = cut.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.id <> last.id")
+    shared = cut.join(common.store(holders, "chunks-holders"), "digest")
+    kept = F.col("id") == F.col("first.id")
+    other = F.when(kept, F.col("last")).otherwise(F.col("first"))
+    each = shared.select("row", "id", "start", "end", "i", "j", F.col("first.id").alias("first"), kept.alias("kept"), other["row"].alias("other"), (F.col("start") - other["start"]).alias("shift"))
+    one = Window.partitionBy("row", "kept", "other", "shift").orderBy("start", "end")
+    before = F.max("end").over(one.rowsBetween(Window.unboundedPreceding, -1))
+    parts = each.withColumn("gap", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn("part", F.sum("gap").over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = parts.groupBy("row", "kept", "other", "shift", "part").agg(
         F.max("id").alias("id"),
         F.min("start").cast("long").alias("start"),
         F.max("end").cast("long").alias("end"),
-        F.count("*").alias("n_chunks"),
+        (F.max("j") - F.min("i") + 1).cast("long").alias("n_chunks"),
         F.min("first").alias("first"),
-        F.bool_and(F.col("first") == F.col("id")).alias("kept"),
     )
+    outer = Window.partitionBy("row", "kept").orderBy("start", F.desc("end"), "first").rowsBetween(Window.unboundedPreceding, -1)
+    most = joined.withColumn("reached", F.max("end").over(outer)).where("reached is null or end > reached")
     named = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return joined.where(F.col("end") - F.col("start") >= least).select(named("id").alias("doc_id"), "start", "end", "n_chunks", named("first").alias("first_doc_id"), "kept")
+    return most.select(named("id").alias("doc_id"), "start", "end", "n_chunks", named("first").alias("first_doc_id"), "kept")
 
 
 def without_repeats(docs: DataFrame, least: int = RUN) -> DataFrame:

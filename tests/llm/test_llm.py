@@ -343,6 +343,44 @@ def test_passages_of_over_50_words_are_caught():
     assert missed == 0
 
 
+def test_passages_are_held_by_one_other_document(spark):
+    r = random.Random(17)
+    words = lambda n: " ".join(r.choice(WORDS) + str(r.randint(0, 9999)) for _ in range(n))
+    pieces = lambda t: [t[a:b] for a, b in zip([0, *chunks.cuts(t)[:-1]], chunks.cuts(t), strict=True)]
+
+    def longest_run():
+        known, run, best = {*pieces(left), *pieces(right)}, 0, 0
+        for x in pieces(text):
+            run = run + len(x) if x in known else 0
+            best = max(best, run)
+        return best
+
+    while True:  # a run of chunks of which each of two other documents holds a part
+        text = words(60).encode()
+        at = r.choice([c for c in chunks.cuts(text) if 100 < c < len(text) - 100])
+        left, right = (words(20).encode() + part + words(20).encode() for part in (text[at - 72 : at], text[at - 20 : at + 52]))
+        if longest_run() >= chunks.RUN:
+            break
+    whole = words(40)
+    rows = [(1, text), (2, left), (3, right), (4, f"{words(30)} {whole}".encode()), (5, f"{whole} {words(30)}".encode())]
+    assert not any(text[i : i + chunks.RUN] in x for i in range(len(text) - chunks.RUN + 1) for x in (left, right))
+    found = chunks.passages(spark.createDataFrame([(i, x.decode()) for i, x in rows], "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.first_doc_id, x.kept) for x in found} == {(4, 4, True), (5, 4, False)}
+
+
+def test_windows_cover_every_part_of_a_run():
+    r = random.Random(18)
+    for _ in range(200):
+        ends = np.cumsum([0] + [r.randint(16, 128) for _ in range(r.randint(1, 12))]).tolist()
+        spans_ = list(zip(ends[:-1], ends[1:], strict=True))
+        found = chunks.windows(spans_)
+        assert all(spans_[j][1] - spans_[i][0] >= chunks.RUN for i, j in found)
+        for a in range(len(spans_)):
+            for b in range(a, len(spans_)):
+                if spans_[b][1] - spans_[a][0] >= chunks.RUN:
+                    assert {c for i, j in found if a <= i and j <= b for c in range(i, j + 1)} == set(range(a, b + 1))
+
+
 # Language model.
 
 
