@@ -6,7 +6,9 @@ are aggregated over the corpus by distinct repositories (documents) and owners
 hold looks live.
 
 Three base kinds (assign, access, hex) are always reported.  The method adds
-kinds with a fixed prefix (github, slack, google, jwt, pem).  Offsets are code
+kinds with a fixed prefix (github, slack, google, jwt, pem).  A pem spans the
+whole private key, header, body and end line; its value is the key without white
+space, so keys are told apart, however they are wrapped.  Offsets are code
 points, end exclusive.  Null texts count as empty; a null owner is one owner of
 its own; repeated rows count as separate repositories.
 """
@@ -33,8 +35,14 @@ MORE = (
     (4, "xox", re.compile(r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}")),
     (5, "AIza", re.compile(r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])")),
     (6, "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]*")),
-    (7, "-----BEGIN", re.compile(r"-----BEGIN [A-Z]{0,16}\x20?PRIVATE KEY-----")),
+    (7, "-----BEGIN", re.compile(r"""(?x: -----BEGIN\x20[A-Z]{0,16}\x20?PRIVATE\x20KEY-----
+        (?: (?:(?!-----)[\s\S])*+ -----END\x20[A-Z]{0,16}\x20?PRIVATE\x20KEY-----  # whatever stands up to the end line
+        | (?:(?:\s|\\[nrt]|["',])++ (?:Proc-Type|DEK-Info):[^\n\\]*+)*+  # no end line: whole words of base64 and a shorter last line
+          (?:(?:(?:\s|\\[nrt]|["',])++ [A-Za-z0-9+/]{16,}+={0,2}+(?![A-Za-z0-9+/=_-]))++ (?:["']?(?:\r?\n|\\n)[\x20\t"']*+[A-Za-z0-9+/]++={0,2}+(?=["']?(?:\s*\Z|\r?\n|\\n)))?)?
+        ))""")),
 )
+PEM = KINDS.index("pem")
+WRAPPING = re.compile(r"\s+|\\[nrt]")
 
 #: From so many distinct owners on, a value counts as a widely copied example.
 MIN_OWNERS = 8
@@ -51,7 +59,8 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     taken = [(a, b) for a, _, b, _ in found]
     for kind, sign, pattern in MORE:
         if sign in text:
-            found += [(m.start(), kind, m.end(), m[0]) for m in pattern.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+            # A key holds more than a base span that it overlaps, so it stays.
+            found += [(m.start(), kind, m.end(), WRAPPING.sub("", m[0]) if kind == PEM else m[0]) for m in pattern.finditer(text) if kind == PEM or not any(a < m.end() and m.start() < b for a, b in taken)]
     return sorted(found)
 
 
