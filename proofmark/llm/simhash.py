@@ -60,15 +60,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the fingerprint as a signed long, ``print``."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, the fingerprint as a signed long, ``print``, and further columns of strings."""
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
             prints = np.array([fingerprint(t) for t in b["text"].to_pylist()], np.uint64).astype(np.int64).tolist()
-            yield list(zip(b["doc_id"].to_pylist(), prints, strict=True))
+            yield list(zip(b["doc_id"].to_pylist(), prints, *(b[c].to_pylist() for c in more), strict=True))
 
-    return common.map_rows(common.texts_of(docs), rows, "doc_id long, print long")
+    return common.map_rows(common.texts_of(docs, *more), rows, ", ".join(["doc_id long, print long", *(f"{c} string" for c in more)]))
 
 
 def triples(positions: int = 8) -> list[tuple[int, ...]]:
@@ -164,15 +164,15 @@ def linked(prints: DataFrame, most: int = POSTING) -> DataFrame:
     return found.unionByName(more)
 
 
-def classes(docs: DataFrame, most: int = POSTING) -> DataFrame:
-    """``doc_id``, ``print`` and ``component_id`` of every document."""
-    each = common.store(fingerprints(docs), "simhash-prints")
+def classes(docs: DataFrame, most: int = POSTING, *more: str) -> DataFrame:
+    """``doc_id``, ``print`` and ``component_id`` of every document; with further columns of strings also ``component``, which is never null."""
+    each = common.store(fingerprints(docs, *more), "simhash-prints")
     distinct = common.store(each.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     joined = components(linked(distinct.select("print"), most))
     labelled = distinct.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     labelled = common.store(labelled, "simhash-labelled")
     heads = common.store(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-heads")
-    ids = common.store(labelled.select("print", "component").join(heads, "component").select("print", "component_id"), "simhash-components")
+    ids = common.store(labelled.select("print", "component").join(heads, "component").select("print", *["component"] * bool(more), "component_id"), "simhash-components")
     return each.join(ids, "print")
 
 
@@ -184,14 +184,17 @@ def report(docs: DataFrame, most: int = POSTING) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least ``doc_id``, with all its columns.
 
-    Of rows that repeat a ``doc_id``, the one whose text comes first is kept;
-    rows that also repeat the text are one document.
+    Rows are told apart by ``doc_id`` and a digest of the text: different texts
+    under one id, null included, stand each for itself.  Within a component, of
+    rows with the least ``doc_id`` the one with the least digest stays; a null
+    id comes last.  Rows that repeat both are one document.
     """
-    keep = classes(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"]), "left_semi")
-    repeated = common.store(kept.groupBy("doc_id").agg(F.count("*").alias("__n"), F.min("text").alias("__first")).where("__n > 1"), "simhash-repeats")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    more = kept.join(repeated.withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id and text <=> __first")).select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    keyed = docs.withColumn("__digest", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    each = classes(keyed, POSTING, "__digest").groupBy("component", "doc_id", "__digest").agg(F.count("*").alias("n"))
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__id"), F.col("__digest").alias("__of"), "n")).alias("x"))
+    keep = common.store(first.select("x.__id", "x.__of", "x.n"), "simhash-keep")
+    held = lambda which: keyed.join(keep.where(which).select("__id", "__of"), keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (keyed["__digest"] == F.col("__of")), "left_semi")
+    once = held("n = 1").select(*docs.columns)
+    if keep.where("n > 1").isEmpty():
+        return once
+    return once.unionByName(held("n > 1").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns))

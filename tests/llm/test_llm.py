@@ -286,6 +286,14 @@ def test_simhash_components(docs, empty, most):
     assert simhash.report(empty).count() == 0 and simhash.clean(empty).count() == 0
 
 
+def test_simhash_clean_keeps_distinct_texts_of_one_id(spark):
+    r = random.Random(19)
+    one, two, three, four = (" ".join(r.choice(WORDS) + str(r.randint(0, 9999)) for _ in range(80)) for _ in range(4))
+    rows = [(None, one), (None, two), (None, one), (7, three), (7, four), (7, four), (3, three), (None, four)]
+    kept = simhash.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, one), (None, two), (7, four), (3, three)], key=str)
+
+
 @pytest.mark.parametrize("most", [1 << 14, 8])
 def test_simhash_links_lose_nothing(spark, most):
     r = random.Random(most)
