@@ -1,11 +1,9 @@
 """The corpus operators against brute force, on small fixtures with nulls, ties, empty and long texts."""
 
 import hashlib
-import math
 import random
 import re
 import zlib
-from collections import Counter
 
 import duckdb
 import numpy as np
@@ -14,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from proofmark.llm import brown, chunks, common, components, dac, decontaminate, minhash, packing, pii, queries, secrets, simhash, tokens, toxicity
+from proofmark.llm import chunks, common, components, dac, decontaminate, minhash, packing, pii, queries, secrets, simhash, tokens, toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon".split()
@@ -409,38 +407,6 @@ def test_windows_cover_every_part_of_a_run():
                     assert {c for i, j in found if a <= i and j <= b for c in range(i, j + 1)} == set(range(a, b + 1))
 
 
-# Language model.
-
-
-def test_brown(spark, docs, empty):
-    out = brown.score(docs).toPandas()
-    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [None]
-    counts = Counter(w for r in ROWS if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 for w in cut(r[1]))
-    n, v = sum(counts.values()), len(counts)
-    expected = sorted((str(r[0]), len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 5)) for r in ROWS for w in [cut(r[1])])
-    got = sorted((str(None if r.doc_id != r.doc_id else int(r.doc_id)), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out.itertuples())
-    assert [g[:4] for g in got] == [e[:4] for e in expected] and all(abs(g[4] - e[4]) < 1e-4 for g, e in zip(got, expected, strict=True))
-    assert out["score"].notna().all() and (out["score"] <= 0).all()
-    assert brown.score(empty).count() == 0
-
-
-def test_brown_is_a_distribution(docs):
-    train = common.texts_of(docs)
-    model, counted = brown.fit(train)
-    rows = counted.toPandas()
-    head = set(model.head.words)
-    places = brown._Places(model.head.words)
-    mass = np.zeros(brown.WIDTH)
-    for w, k in zip(rows["word"], rows["n"], strict=True):
-        w = bytes(w)
-        c = model.classes[places[w]]
-        mass[c] += 10 ** model.log_head[places[w]] if w in head else k / model.mass[c]
-    mass[: brown.CLASSES] += 10 ** model.log_unseen[: brown.CLASSES]
-    mass[brown.END] = 1.0
-    assert np.allclose((10**model.log_class).sum(axis=1), 1)
-    assert np.allclose(mass, 1, atol=1e-9)
-
-
 # Toxicity.
 
 
