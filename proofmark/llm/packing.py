@@ -6,7 +6,7 @@ their tokens, are dealt at random into groups of about ``GROUP`` pieces; each
 group is packed on its own, which costs at most about one sequence per group.
 
 Null texts count as empty: the end id alone.  Ties are broken by the order of
-``doc_id`` and piece; repeated rows are separate documents.
+``doc_id`` and piece, nulls last; repeated rows are separate documents.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,19 +98,20 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 0, size: int = 2048) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``; a sequence's pieces lie gapless from 0."""
-    found = common.store(pieces(docs, tokenizer, end, size), "packing-pieces")
+    found = common.store(pieces(docs, tokenizer, end, size).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     groups = -(-found.count() // GROUP) or 1
-    dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # By the row too, so that rows which repeat a document do not meet in one group.
+    dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(groups)))
 
-    def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        lengths = group["length"].tolist()
-        sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    def place(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.drop_columns(["group", "row"]).sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")])
+        lengths = group["length"].to_pylist()
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for number, places in enumerate(best_two_fit(lengths, size)):
             at = 0
             for x in places:
-                sequence[x], offset[x] = key[0] << 32 | number, at
+                sequence[x], offset[x] = key[0].as_py() << 32 | number, at
                 at += lengths[x]
-        return group.assign(sequence_id=sequence, offset=offset).drop(columns="group")
+        return group.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("group").applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("group").applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
