@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -66,6 +67,23 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def meets(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether (start, end) overlaps any of the spans, in time logarithmic in their number."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def met(a: int, b: int) -> bool:
+        i = bisect_left(starts, b) - 1
+        return i >= 0 and ends[i] > a
+
+    return met
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one of our own only for a local master without that setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
