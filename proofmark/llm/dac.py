@@ -14,6 +14,8 @@ first; rows that repeat a ``doc_id`` follow one another by text.
 
 from __future__ import annotations
 
+import functools
+import operator
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 BLOCK = 1 << 17
+#: Blocks that a lookup names in its filter.
+LISTED = 256
 #: Bytes of a bitmap between two entries of its rank directory.
 STRETCH = 64
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -132,30 +136,39 @@ def placed(blocks: DataFrame) -> DataFrame:
 
 
 def read(blocks: DataFrame) -> DataFrame:
-    """One row per document from the written blocks: its place among all ids, its length, and a checksum of its ids."""
+    """One row per document from the written blocks: its place among all ids, its length, a checksum of its ids, and, by direct access, its first and last id."""
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
             for start, doc_ids, lengths, codes in zip(*(b[c].to_pylist() for c in ("start", "doc_ids", "lengths", "codes")), strict=True):
-                ids, out, at = Codes(codes).all().astype("<u4"), [], 0
+                coded = Codes(codes)
+                ids, out, at = coded.all().astype("<u4"), [], 0
                 for doc_id, n in zip(doc_ids, lengths, strict=True):
-                    out.append((doc_id, start + at, n, zlib.crc32(ids[at : at + n].tobytes())))
+                    out.append((doc_id, start + at, n, zlib.crc32(ids[at : at + n].tobytes()), coded[at], coded[at + n - 1]))
                     at += n
                 yield out
 
     wanted = placed(blocks).select("start", "doc_ids", "lengths", "codes")
-    return common.map_rows(wanted, rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.map_rows(wanted, rows, "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, last_id long")
 
 
 def lookup(blocks: DataFrame, positions: DataFrame) -> DataFrame:
     """The id at each ``position`` (long, counted over all ids), read from its block alone; positions outside get no row.
 
     Blocks are found by equal cells of ``BLOCK`` ids, not by comparing each
-    position with each block.
+    position with each block, and from their places alone.  Codes are then read
+    of these blocks: up to ``LISTED`` of them are named in the scan's filter, so
+    the files of others are skipped; more are joined.
     """
-    cells = placed(blocks).withColumn("cell", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + n_ids - 1) div {BLOCK}"))))
+    cells = placed(blocks.select("shard", "block", "start", "n_ids")).withColumn("cell", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + n_ids - 1) div {BLOCK}"))))
     asked = positions.select(F.col("position").cast("long").alias("position")).withColumn("cell", F.expr(f"position div {BLOCK}"))
-    met = asked.join(cells, "cell").where("position >= start and position < start + n_ids").select("position", (F.col("position") - F.col("start")).alias("i"), "codes")
+    met = asked.join(cells, "cell").where("position >= start and position < start + n_ids").select("shard", "block", "position", (F.col("position") - F.col("start")).alias("i"))
+    wanted = met.select("shard", "block").distinct().limit(LISTED + 1).collect()
+    codes = blocks.select("shard", "block", "codes")
+    if len(wanted) <= LISTED:
+        by = {s: sorted(x.block for x in wanted if x.shard == s) for s in sorted({x.shard for x in wanted})}
+        codes = codes.where(functools.reduce(operator.or_, ((F.col("shard") == s) & F.col("block").isin(b) for s, b in by.items()), F.lit(False)))
+    met = met.join(codes, ["shard", "block"]).select("position", "i", "codes")
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
