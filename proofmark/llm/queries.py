@@ -25,9 +25,10 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
+    held = lambda c, of: F.array_join(F.transform(c, lambda x: x[of].cast("string")), ",")
     kinds = F.array(*map(F.lit, secrets.KINDS))
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.size("live").cast("long").alias("n_live"), F.size("copied").cast("long").alias("n_copied"), told("live").alias("live_spans"), told("copied").alias("copied_spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.size("live").cast("long").alias("n_live"), F.size("copied").cast("long").alias("n_copied"), told("live").alias("live_spans"), told("copied").alias("copied_spans"), held("live", "n_owners").alias("live_owners"), held("copied", "n_owners").alias("copied_owners"), held("copied", "n_repositories").alias("copied_repositories"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

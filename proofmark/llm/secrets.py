@@ -1,24 +1,28 @@
 """Secrets, told apart by corpus-wide ownership.
 
 Patterns propose candidates.  Each candidate's value is hashed, and the hashes
-are aggregated over the corpus by distinct repositories (documents) and owners
-(sources).  A value that many owners hold is a copied example; a value that few
-hold looks live.
+are aggregated over the corpus by distinct repositories (``doc_id``) and owners
+(``source``).  A value of many owners, or of many repositories of more than one
+owner, is a widely copied example; any other looks live, however often its one
+owner repeats it.
 
 Three base kinds (assign, access, hex) are always reported.  The method adds
 kinds with a fixed prefix (github, slack, google, jwt, pem).  A pem spans the
 whole private key, header, body and end line; its value is the key without white
 space, so keys are told apart, however they are wrapped.  Offsets are code
 points, end exclusive.  Null texts count as empty; a null owner is one owner of
-its own; repeated rows count as separate repositories.
+its own, and all its rows with a null ``doc_id`` are one repository; repeated rows
+count once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +50,10 @@ WRAPPING = re.compile(r"\s+|\\[nrt]")
 
 #: From so many distinct owners on, a value counts as a widely copied example.
 MIN_OWNERS = 8
+#: The same in distinct repositories, where more than one owner has it.
+MIN_REPOSITORIES = 64
+#: Copied values that are sent to tasks, and slots of the filter used beyond them.
+MOST_COPIED, SLOTS = 1 << 18, 1 << 28
 
 
 def find(text: str) -> list[tuple[int, int, int, str]]:
@@ -56,102 +64,150 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    taken = [(a, b) for a, _, b, _ in found]
+    taken = common.meets([(a, b) for a, _, b, _ in found])
     for kind, sign, pattern in MORE:
         if sign in text:
             # A key holds more than a base span that it overlaps, so it stays.
-            found += [(m.start(), kind, m.end(), WRAPPING.sub("", m[0]) if kind == PEM else m[0]) for m in pattern.finditer(text) if kind == PEM or not any(a < m.end() and m.start() < b for a, b in taken)]
+            found += [(m.start(), kind, m.end(), WRAPPING.sub("", m[0]) if kind == PEM else m[0]) for m in pattern.finditer(text) if kind == PEM or not taken(m.start(), m.end())]
     return sorted(found)
 
 
-SCHEMA = "doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:int,value:string>>"
+def digest(value: str) -> str:
+    return hashlib.sha256(value.encode()).hexdigest()[:32]
 
 
-def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
+SCHEMA = "doc_id long, repository string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:int,value:string>>"
+
+
+def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """One row per document with its candidates; ``value`` is the hash of a candidate's value."""
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
             out = []
-            for doc_id, text, who in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["owner"].to_pylist(), strict=True):
+            for doc_id, text, where, who in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 spans = find(text)
                 base = [f"{KINDS[k]}:{a}:{e}" for a, k, e, _ in spans if k < len(BASE)]
                 n = [sum(k == i for _, k, _, _ in spans) for i in range(len(BASE))]
-                hashed = [{"start": a, "end": e, "kind": k, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, k, e, v in spans]
-                out.append((doc_id, who, *n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e, _ in spans), hashed))
+                hashed = [{"start": a, "end": e, "kind": k, "value": digest(v)} for a, k, e, v in spans]
+                out.append((doc_id, where, who, *n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e, _ in spans), hashed))
             yield out
 
-    owned = docs.withColumn("__owner", docs[owner].cast("string"))
-    return common.map_rows(common.texts_of(owned, "__owner").withColumnRenamed("__owner", "owner"), rows, SCHEMA)
+    owned = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), docs[repository].cast("string").alias("repository"), docs[owner].cast("string").alias("owner"))
+    return common.map_rows(owned, rows, SCHEMA)
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """Hash of each value with its numbers of distinct owners and repositories.
 
-    ``found`` has ``row`` (one per document), ``owner`` and ``found``.  Counts are
-    taken by (value, owner) first, so a value that a third of all documents hold
-    is reduced within each task before anything is shuffled by value alone.
+    ``found`` has ``repository``, ``owner`` and ``found``.  A repository is known
+    by its owner and its name, so one that several rows hold counts once.  Each
+    step is combined within tasks first, so a value that a third of all documents
+    hold is reduced before it is shuffled by value alone.
     """
-    each = found.select("owner", F.explode(F.array_distinct(F.transform("found", lambda x: x["value"]))).alias("value"))
+    each = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("found", lambda x: x["value"]))).alias("value")).distinct()
     return each.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, owner: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
-    """``candidates`` of each document with ``live`` and ``copied``: the spans of either verdict, ordered by start.
+def copied(counted: DataFrame, min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES) -> DataFrame:
+    """The widely copied values: those of so many owners, or of so many repositories that more than one owner has."""
+    return counted.where((F.col("n_owners") >= min_owners) | (F.col("n_owners") > 1) & (F.col("n_repositories") >= min_repositories))
+
+
+def scan(docs: DataFrame, owner: str = "source", min_owners: int = MIN_OWNERS, repository: str = "doc_id", min_repositories: int = MIN_REPOSITORIES) -> DataFrame:
+    """``candidates`` of each document with ``live`` and ``copied``: the spans of either verdict, ordered by start, each with its value's owners and repositories.
 
     The candidates are stored, not the texts, and read by the rest of the plan.
-    Only the values that are widely copied are joined back, by value; both sides
-    are plain shuffles, so a value with very many rows can be split.
+    Counts are joined back by value; both sides are plain shuffles, so a value
+    with very many rows can be split.
     """
-    found = common.store(candidates(docs, owner).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-    copied = common.store(ownership(found).where(F.col("n_owners") >= min_owners), "secret-copied")
+    found = common.store(candidates(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
+    counted = common.store(ownership(found), "secret-owners")
+    wide = common.store(copied(counted, min_owners, min_repositories).select("value", F.lit(True).alias("is_copied")), "secret-copied")
     each = found.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    told = each.join(copied, "value", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", F.coalesce("n_owners", F.lit(0)).alias("n_owners")))).alias("told"))
-    of = lambda keep: F.transform(F.filter("told", keep), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    one = F.struct("start", "end", "kind", "n_owners", "n_repositories", F.coalesce("is_copied", F.lit(False)).alias("is_copied"))
+    told = each.join(counted, "value").join(wide, "value", "left").groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("told"))
+    of = lambda which: F.transform(F.filter("told", which), lambda x: x.dropFields("is_copied"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,n_owners:bigint,n_repositories:bigint>>")
     joined = found.join(told, "row", "left")
-    return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce(of(lambda x: x["n_owners"] == 0), none).alias("live"), F.coalesce(of(lambda x: x["n_owners"] > 0), none).alias("copied"))
+    return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce(of(lambda x: ~x["is_copied"]), none).alias("live"), F.coalesce(of(lambda x: x["is_copied"]), none).alias("copied"))
+
 
+def masked(text: str, spared: Callable[[str], bool], sign: str) -> str:
+    """The text with every candidate span replaced whose value's hash isn't spared; spans that overlap are replaced once."""
+    out, at = [], 0
+    for a, _, e, v in find(text):
+        if not spared(digest(v)):
+            if a >= at:
+                out += [text[at:a], sign]
+            at = max(at, e)
+    return "".join(out) + text[at:]
 
-def redact(docs: DataFrame, owner: str = "source", min_owners: int = MIN_OWNERS, sign: str = "[SECRET]") -> DataFrame:
-    """The documents with every live-looking span of the text replaced by ``sign``; all columns stay, ``n_chars`` is counted anew.
 
-    Documents that hold a live span, and no others, are changed.  Rows are told
-    apart by ``doc_id`` and a digest of the text, so rows that repeat both are
-    changed alike.  Null texts stay null.
+def redact(docs: DataFrame, owner: str = "source", min_owners: int = MIN_OWNERS, sign: str = "[SECRET]", repository: str = "doc_id", min_repositories: int = MIN_REPOSITORIES, slots: int = SLOTS) -> DataFrame:
+    """The documents with every live-looking span of the text replaced by ``sign``; all columns stay, ``n_chars`` is counted anew where a text changes.
+
+    A first scan gathers the values and who holds them.  The widely copied ones
+    are few; up to ``MOST_COPIED`` (32 MB) they are sent to all tasks and a second
+    scan masks the rest in place, without a shuffle of texts.  If there are more,
+    a filter of that size goes in their stead, and values that pass it are settled
+    by a join of the texts that hold one.  Null texts stay null.
     """
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    found = candidates(docs, owner)
-    copied = common.store(ownership(found).where(F.col("n_owners") >= min_owners).select("value"), "secret-copied")
-    spans = common.map_rows(
-        common.texts_of(keyed, "__key"),
-        _values,
-        "__key string, found array<struct<start:int,end:int,kind:int,value:string>>",
-    )
-    each = spans.select("__key", F.explode("found").alias("x")).select("__key", "x.*")
-    live = each.join(copied, "value", "left_anti").groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__live"))
-    rows = keyed.join(live, "__key", "left")
-    text = F.when(F.col("__live").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__live"), sign))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
-
-def _values(batches) -> Iterator[list[tuple]]:
-    for b in batches:
-        out = []
-        for row, text in zip(b["__key"].to_pylist(), b["text"].to_pylist(), strict=True):
-            if spans := find(text):
-                out.append((row, [{"start": a, "end": e, "kind": k, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, k, e, v in spans]))
-        yield out
-
-
-def _cut(text, spans, sign: str):
-    """``text`` with the ordered ``spans`` replaced; a span that begins within an earlier one is joined to it."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, x: F.struct(
-        F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(sign))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["at"], x["end"]).alias("at"),
-    )
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    wide = common.store(copied(ownership(candidates(docs, owner, repository)), min_owners, min_repositories).select("value"), "secret-copied")
+    spark, many = docs.sparkSession, wide.count() > MOST_COPIED
+    if many:
+        bits = np.zeros(slots // 8, np.uint8)
+        for (slot,) in wide.select((F.conv(F.substring("value", 1, 7), 16, 10).cast("long") % slots).alias("slot")).distinct().toLocalIterator():
+            bits[slot >> 3] |= 1 << (slot & 7)
+        sent = spark.sparkContext.broadcast(bits)
+    else:
+        sent = spark.sparkContext.broadcast({r[0] for r in wide.collect()})
+    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def passes(v: str) -> bool:
+        if many:
+            slot = int(v[:7], 16) % slots
+            return bool(sent.value[slot >> 3] >> (slot & 7) & 1)
+        return v in sent.value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_at).to_pylist()
+            new = [t and masked(t, passes, sign) for t in texts]
+            yield _changed(b, texts, new, text_at, chars_at)
+
+    if not many:
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+        return docs.mapInArrow(run, docs.schema)
+    return _settled(docs, wide, passes, sign)
+
+
+def _changed(b: pa.RecordBatch, texts: list, new: list, text_at: int, chars_at: int | None) -> pa.RecordBatch:
+    """The batch with new texts, and their numbers of code points where they differ."""
+    columns = list(b.columns)
+    columns[text_at] = pa.array(new, b.schema.field(text_at).type)
+    if chars_at is not None:
+        columns[chars_at] = pa.array([n if t == x else len(x) for n, t, x in zip(columns[chars_at].to_pylist(), texts, new, strict=True)], b.schema.field(chars_at).type)
+    return pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+
+def _settled(docs: DataFrame, wide: DataFrame, passes: Callable[[str], bool], sign: str) -> DataFrame:
+    """``redact`` where the copied values are too many to send: rows are numbered, and each row's candidates that pass the filter are joined with them."""
+    whole = common.store(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "secret-rows")
+    texts = whole.select("row", F.coalesce(F.col("doc")["text"].cast("string"), F.lit("")).alias("text"))
+
+    def rows(batches) -> Iterator[list[tuple]]:
+        for b in batches:
+            yield [(row, v) for row, text in zip(b["row"].to_pylist(), b["text"].to_pylist(), strict=True) for v in {digest(v) for *_, v in find(text)} if passes(v)]
+
+    spared = common.map_rows(texts, rows, "row long, value string").join(wide, "value").groupBy("row").agg(F.collect_set("value").alias("spared"))
+    joined = whole.join(spared, "row", "left").select("doc.*", "spared")
+    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, known = b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            new = [t and masked(t, frozenset(k or ()).__contains__, sign) for t, k in zip(texts, known, strict=True)]
+            yield _changed(b.select(range(b.num_columns - 1)), texts, new, text_at, chars_at)
+
+    return joined.mapInArrow(run, docs.schema)
