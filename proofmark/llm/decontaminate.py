@@ -10,12 +10,12 @@ and compared word by word.  Windows of fewer than 13 words are found by the hash
 of all their words.
 
 The items' windows are sent to all tasks if they are few enough (``MOST_WINDOWS``,
-``MOST_BYTES``, checked by an aggregate).  Beyond that, a filter of fixed size
-holds their fingerprints, and the document windows that pass it are joined with
+``MOST_BYTES``, checked by an aggregate).  Beyond that, a filter of at
+most ``MOST_SLOTS`` bits (32 MB) holds their fingerprints, and the document windows that pass it are joined with
 the items' windows in Spark.
 
 A null or empty text has no words and no hits.  Repeated documents are judged
-one by one.  Repeated items count as items of their own.  A null ``item_id``
+one by one.  Items that repeat an ``item_id`` are one item.  A null ``item_id``
 hits, but is not listed.
 """
 
@@ -36,8 +36,8 @@ SPAN, GRAM = 13, 5
 WINDOW = SPAN - GRAM + 1
 #: Bounds of what is sent to every task.
 MOST_WINDOWS, MOST_BYTES = 1 << 18, 1 << 25
-#: Slots of the filter used beyond them.
-SLOTS = 1 << 22
+#: Slots of the filter used beyond them: 16 for each window, within these bounds.
+LEAST_SLOTS, MOST_SLOTS = 1 << 22, 1 << 28
 #: Word hashes kept per worker.
 KEPT = 500_000
 
@@ -134,9 +134,10 @@ class Filter:
 
     def __init__(self, slots: dict[int, np.ndarray]):
         self.prints = slots
+        self.size = 8 * max(map(len, slots.values()), default=1)
 
     def passing(self, size: int, fps: np.ndarray) -> np.ndarray:
-        slot = (fps % np.uint64(SLOTS)).astype(np.int64)
+        slot = (fps % np.uint64(self.size)).astype(np.int64)
         return np.flatnonzero(self.prints[size][slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
@@ -206,12 +207,15 @@ def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def joined(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``report`` for items beyond the bounds: at most ``SLOTS`` filter slots per window size come to the driver."""
-    slots: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(SLOTS // 8, np.uint8))
-    used = found.select("size", F.pmod(F.col("fingerprint").cast("decimal(20,0)"), F.lit(SLOTS)).cast("int").alias("slot")).distinct()
-    for size, part in used.toPandas().groupby("size"):
-        np.bitwise_or.at(slots[int(size)], part["slot"].to_numpy() >> 3, (1 << (part["slot"].to_numpy() & 7)).astype(np.uint8))
-    sent = texts.sparkSession.sparkContext.broadcast(Filter(dict(slots)))
+    """``report`` for items beyond the bounds: only filter slots come to the driver, part by part, and all window sizes share one filter's size."""
+    n = 16 * found.select("size", "fingerprint").distinct().count()
+    size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << n.bit_length()))
+    sizes = [r[0] for r in found.select("size").distinct().collect()]
+    size = max(1 << 16, size >> max(0, len(sizes) - 1).bit_length())
+    slots = {k: np.zeros(size // 8, np.uint8) for k in sizes}
+    for k, slot in found.select("size", F.pmod(F.col("fingerprint"), F.lit(size)).alias("slot")).distinct().toLocalIterator():
+        slots[k][slot >> 3] |= 1 << (slot & 7)
+    sent = texts.sparkSession.sparkContext.broadcast(Filter(slots))
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
@@ -236,12 +240,10 @@ def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     found = common.store(windows(bench), "benchmark-windows")
     index = indexed(found)
     if index is None:
-        keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit(""))))
-        texts = keyed.select(F.col("__key"), F.coalesce("text", F.lit("")).alias("text"))
-        distinct = texts.groupBy("__key").agg(F.first("text").alias("text")).withColumn("doc_id", F.monotonically_increasing_id())
-        distinct = common.store(distinct, "benchmark-texts")
-        bad = joined(distinct.select("doc_id", "text"), found).where("contaminated").select("doc_id")
-        return keyed.join(distinct.join(bad, "doc_id").select("__key"), "__key", "left_anti").select(*docs.columns)
+        # Rows are numbered in a stored copy; columns of any name lie within ``doc``.
+        whole = common.store(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("doc_id")), "benchmark-documents")
+        bad = joined(whole.select("doc_id", F.coalesce(F.col("doc")["text"].cast("string"), F.lit("")).alias("text")), found).where("contaminated").select("doc_id")
+        return whole.join(bad, "doc_id", "left_anti").select("doc.*")
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def keeps(batches: Iterator[list[str]]) -> Iterator[list[bool]]:

@@ -189,12 +189,14 @@ def clean(docs: DataFrame) -> DataFrame:
     rows with the least ``doc_id`` the one with the least digest stays; a null
     id comes last.  Rows that repeat both are one document.
     """
-    keyed = docs.withColumn("__digest", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    each = classes(keyed, POSTING, "__digest").groupBy("component", "doc_id", "__digest").agg(F.count("*").alias("n"))
-    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__id"), F.col("__digest").alias("__of"), "n")).alias("x"))
-    keep = common.store(first.select("x.__id", "x.__of", "x.n"), "simhash-keep")
-    held = lambda which: keyed.join(keep.where(which).select("__id", "__of"), keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (keyed["__digest"] == F.col("__of")), "left_semi")
-    once = held("n = 1").select(*docs.columns)
+    # Columns of any name lie within ``doc``.
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), docs["doc_id"].cast("long").alias("id"), F.md5(text).alias("digest"))
+    each = classes(docs.select("doc_id", "text", F.md5(text).alias("digest")), POSTING, "digest").groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n")).alias("x"))
+    keep = common.store(first.select(F.col("x.doc_id").alias("kept_id"), F.col("x.digest").alias("kept_digest"), "x.n"), "simhash-keep")
+    held = lambda which: keyed.join(keep.where(which), keyed["id"].eqNullSafe(F.col("kept_id")) & (keyed["digest"] == F.col("kept_digest")), "left_semi")
+    once = held("n = 1").select("doc.*")
     if keep.where("n > 1").isEmpty():
         return once
-    return once.unionByName(held("n > 1").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns))
+    return once.unionByName(held("n > 1").dropDuplicates(["id", "digest"]).select("doc.*"))
