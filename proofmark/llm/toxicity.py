@@ -9,7 +9,8 @@ naming a group moves no score.
 
 The model is fitted on at most ``SAMPLE`` labelled rows (those of the least
 hash of ``doc_id``), with at most ``FEATURES`` features; both bound what comes
-to the driver.  Every document is scored.  Only texts are inputs of a score.
+to the driver.  Of swapped texts only the features that change come there, each
+change once with its number of texts.  Every document is scored.  Only texts are inputs of a score.
 
 Null texts count as empty; an empty text has the score of the bias alone.  A null
 ``doc_id`` is held out.  Of labels that repeat a ``doc_id`` the highest counts, of
@@ -45,7 +46,7 @@ IDENTITY = (
     ("gay", "lesbian", "bisexual", "straight", "queer", "heterosexual"),
     ("immigrant", "immigrants", "refugee", "refugees", "native", "foreigner", "foreigners"),
     ("disabled", "blind", "deaf", "autistic", "elderly", "young"),
-    ("femmes", "hommes", "frauen", "manner", "mujeres", "hombres"),
+    ("femmes", "hommes", "frauen", "männer", "mujeres", "hombres"),
 )
 KIND = {term: group for group in IDENTITY for term in group}
 
@@ -133,23 +134,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for text, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
                 ws = words(text)
                 of = lambda some: sorted({place[f] for w in some for f in features(w) if f in place})
-                out.append((min(1, y), of(ws), None))
-                for term in sorted(ws & KIND.keys()):
-                    others = [t for t in KIND[term] if t != term]
-                    # Two swaps of each term, fixed by the term itself.
-                    for k in (len(term), 2 * len(term) + 1):
-                        out.append((min(1, y), of(ws), of(ws - {term} | {others[k % len(others)]})))
+                out.append((min(1, y), of(ws)))
             yield out
 
-    data = common.map_rows(rows.select("text", "toxic"), met, "y int, x array<int>, swapped array<int>").toPandas()
-    plain = data[data["swapped"].isna()]
-    pairs = data[data["swapped"].notna()]
-    weights, bias = descend(plain["y"].to_numpy(float), plain["x"].tolist(), pairs["x"].tolist(), pairs["swapped"].tolist(), len(names))
+    def swapped(batches) -> Iterator[list[tuple]]:
+        for b in batches:
+            out: Counter = Counter()
+            for text in b["text"].to_pylist():
+                ws = words(text)
+                for before, after in swaps(ws):
+                    was, now = ({place[f] for w in some for f in features(w) if f in place} for some in (before, after))
+                    rest = {place[f] for w in ws - before for f in features(w) if f in place} if was ^ now else set()
+                    out[tuple(sorted(was - now - rest)), tuple(sorted(now - was - rest))] += 1
+            yield [(list(lost), list(gained), n) for (lost, gained), n in out.items()]
+
+    data = common.map_rows(rows.select("text", "toxic"), met, "y int, x array<int>").toPandas()
+    pairs = common.map_rows(rows.select("text"), swapped, "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n")).orderBy("lost", "gained").toPandas()
+    weights, bias = descend(data["y"].to_numpy(float), data["x"].tolist(), pairs["lost"].tolist(), pairs["gained"].tolist(), pairs["n"].to_numpy(float), len(names))
     return Model(dict(zip(names, weights.tolist(), strict=True)), bias)
 
 
-def descend(y: np.ndarray, xs: list, before: list, after: list, width: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample; rows are added up in a fixed order."""
+def swaps(ws: set[str]) -> Iterator[tuple[set[str], set[str]]]:
+    """For each identity term among the words, two swaps: the term, and another of its kind; which ones, the term itself decides."""
+    for term in sorted(ws & KIND.keys()):
+        others = [t for t in KIND[term] if t != term]
+        for k in (len(term), 2 * len(term) + 1):
+            yield {term}, {others[k % len(others)]} - ws
+
+
+def descend(y: np.ndarray, xs: list, before: list, after: list, times: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the whole sample; rows are added up in a fixed order.  A swap of features ``before`` for ``after`` counts ``times``."""
+    share = times / times.sum() if len(times) else times
     order = sorted(range(len(y)), key=lambda i: (y[i], len(xs[i]), tuple(xs[i])))
     y, xs = y[order], [xs[i] for i in order]
     row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
@@ -165,7 +180,7 @@ def descend(y: np.ndarray, xs: list, before: list, after: list, width: int) -> t
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         grad = np.append(np.bincount(col, error[row], width) + DECAY * w[:-1], error.sum())
         if len(before):
-            change = np.bincount(pair, sign * w[place], len(before)) / len(before)
+            change = share * np.bincount(pair, sign * w[place], len(before))
             grad[:-1] += 2 * PENALTY * np.bincount(place, sign * change[pair], width)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
