@@ -157,7 +157,7 @@ def test_codes_round_trip_and_direct_access():
             assert (c.all() == ids).all() and [c[i] for i in range(n)] == ids.tolist()
 
 
-def test_token_files(spark, docs, empty):
+def test_token_files(spark, docs, empty, monkeypatch):
     path = tokens.path("word_bpe_49k.json")
     blocks = dac.write(docs, path, 2)
     e = tokens.Encoder(path)
@@ -167,10 +167,15 @@ def test_token_files(spark, docs, empty):
         own = np.frombuffer(e.encode(r[1] or ""), "<u4").tolist() + [2]
         expected.append((r[0], len(ids), len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
         ids += own
-    assert sorted(map(tuple, dac.read(blocks).collect()), key=str) == sorted(expected, key=str)
+    read = dac.read(blocks).collect()
+    assert sorted((tuple(r)[:4] for r in read), key=str) == sorted(expected, key=str)
+    assert all(r.last_id == 2 and r.first_id == ids[r.start] for r in read)
     asked = [0, 1, len(ids) // 2, len(ids) - 1, len(ids), -1]
     got = dict(map(tuple, dac.lookup(blocks, spark.createDataFrame([(p,) for p in asked], "position long")).collect()))
     assert got == {p: ids[p] for p in asked if 0 <= p < len(ids)}
+    assert dac.lookup(blocks, spark.createDataFrame([(-5,)], "position long")).count() == 0
+    monkeypatch.setattr(dac, "LISTED", 0)
+    assert dict(map(tuple, dac.lookup(blocks, spark.createDataFrame([(p,) for p in asked], "position long")).collect())) == got
     assert dac.read(dac.write(empty, path, 2)).count() == 0
 
 
@@ -227,7 +232,9 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect()), key=str) == expected
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not x[5] for x in expected)
+    clashing = docs.withColumns({"doc": F.lit(1), "__key": F.lit(2), "digest": F.lit(3), "kept_id": F.lit(4)})
     monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 1)
+    assert decontaminate.clean(clashing, bench).columns == clashing.columns
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect()), key=str) == expected
     assert decontaminate.clean(docs, bench).count() == sum(not x[5] for x in expected)
     assert decontaminate.report(empty, bench).count() == 0
