@@ -141,5 +141,17 @@ def _general(c: Column) -> Column:
 
 
 def fixed(c: Column, places: int = 1) -> Column:
-    """A number with so many decimals; halves that binary numbers hold exactly go to the even digit."""
-    return F.bround(c, places).cast(f"decimal(20,{places})").cast("string")
+    """A number with so many decimals, rounded from its exact binary value as C does; only true halves go to the even digit.  Null from 1e15 on."""
+    scale, half = 10**places, float(1 << 26)
+
+    def told(x: Column) -> Column:
+        # Each part has few enough bits for every product here to be exact.
+        rest = x - F.floor(x)
+        high = F.floor(rest * half) / half
+        digit = F.floor(high * scale)
+        over, missing = high * scale - digit - 0.5, (high - rest) * scale
+        return F.floor(x) * scale + digit + F.when(over > missing, 1).when(over < missing, 0).otherwise(digit % 2)
+
+    digits = let(F.abs(c.cast("double")), told).cast("long")
+    text = F.concat(F.when(c < 0, "-").otherwise(""), F.floor(digits / scale).cast("string"), F.lit("."), F.lpad((digits % scale).cast("string"), places, "0"))
+    return F.when(F.abs(c) < 1e15, text)

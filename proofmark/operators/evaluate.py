@@ -43,6 +43,11 @@ def marginals(trials: DataFrame) -> DataFrame:
     return trials.groupingSets([[F.col("profile")], [F.col("edge")]], F.col("profile"), F.col("edge")).agg(F.count("*").alias("n"), F.avg("fields_recovered").alias("mean_fields"), F.avg("cer").alias("mean_cer"))
 
 
+def recovery_rates(trials: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """Per key and field the share of all trials, failed ones too, that recovered it (``field_recovery``: a map by field)."""
+    return trials.groupBy(*keys).agg(*(F.avg(F.coalesce(F.col("field_recovery")[n], F.lit(False)).cast("int")).alias(n) for n in names))
+
+
 def order(board: DataFrame) -> DataFrame:
     """Best first: most fields, then the least median time, then the least error."""
     return board.orderBy(F.desc("mean_fields"), "median_ms", "mean_cer", "provider", "profile", "edge")

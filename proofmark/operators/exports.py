@@ -16,9 +16,9 @@ def safe_cell(c: Column) -> Column:
 
 
 def check_statuses(checks: DataFrame) -> DataFrame:
-    """Per item one column for each check's status."""
+    """Per item one column for each check's status, the worst where a check repeats."""
     names = ("brand_status", "class_type_status", "alcohol_content_status", "net_contents_status", "government_warning_status")
-    by = checks.groupBy("item_id").pivot("check_name", list(CHECKS)).agg(F.first("status"))
+    by = checks.groupBy("item_id").pivot("check_name", list(CHECKS)).agg(F.max_by("status", F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "REVIEW", 1).otherwise(0)))
     return by.select("item_id", *(F.col(f"`{c}`").alias(n) for c, n in zip(CHECKS, names, strict=True)))
 
 
@@ -29,6 +29,66 @@ def batch_rows(items: DataFrame, checks: DataFrame) -> DataFrame:
     return j.select("item_id", *(safe_cell(F.col(c)).alias(c) for c in EXPORT_COLUMNS))
 
 
+# Headings of the two reports.
+REPORT_COLUMNS = (
+    "Filename", "Overall Status", "Brand", "Class / Type", "Alcohol Content", "Net Contents", "Brand Check", "Class / Type Check", "Alcohol Check",
+    "Net Contents Check", "Warning Check", "AI Assisted", "Review Reason Codes", "Processing Time (ms)", "Error",
+)
+METADATA = ("Filename", "Verification mode", "Overall finding", "Processing time (ms)", "AI-assisted evidence", "Passed", "Needs review", "Failed")
+
+
+def yes(c: Column) -> Column:
+    return F.when(c, "Yes").otherwise("No")
+
+
+def report_rows(items: DataFrame, checks: DataFrame) -> DataFrame:
+    """The batch report's result sheet: item_id and ``cells``, one safe text per heading of REPORT_COLUMNS."""
+    j = items.join(check_statuses(checks), "item_id", "left")
+    cells = [
+        F.col("filename"), F.coalesce("overall_status", "processing_state"), F.col("brand_name"), F.col("class_type"), F.col("alcohol_content"), F.col("net_contents"),
+        F.col("brand_status"), F.col("class_type_status"), F.col("alcohol_content_status"), F.col("net_contents_status"), F.col("government_warning_status"),
+        yes(F.col("ai_assisted")), F.col("review_reason_codes"), fixed(F.col("processing_time_ms")), F.col("error_message"),
+    ]
+    return j.select("item_id", F.array(*map(safe_cell, cells)).alias("cells"))
+
+
+def summary_rows(counted: DataFrame, key: str = "batch_id") -> DataFrame:
+    """The batch report's summary sheet, from ``summary.batch``: key, place, name and value."""
+    named = {"Total": "total", "PASS": "pass_count", "REVIEW": "review_count", "FAIL": "fail_count", "ERROR": "error", "AI-assisted count": "ai_assisted_all"}
+    rows = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for i, (n, c) in enumerate(named.items())))
+    return counted.select(key, F.explode(rows).alias("x")).select(key, "x.*")
+
+
+def field_cell(field_name: Column, status: Column, raw: Column, value: Column) -> Column:
+    """What the single report shows for a field."""
+    seen = F.when(nonempty(raw).isNotNull(), F.concat(F.lit("Detected — "), F.substring(raw, 1, 200))).otherwise("Detected")
+    warning = F.when(status == "FOUND", seen).otherwise(F.concat(status, F.lit(": "), F.coalesce(raw, F.lit(""))))
+    shown = F.when(field_name == "government_warning", warning).otherwise(F.coalesce(nonempty(raw), nonempty(value), status))
+    return F.when(status.isNull(), "Not extracted").otherwise(shown)
+
+
+def single_rows(items: DataFrame, fields: DataFrame, checks: DataFrame) -> DataFrame:
+    """The single report's rows: item_id, ``section`` (metadata, fields, checks), place and cells.
+
+    ``items`` has filename, mode, the counts of ``summary.items``, ai_assisted and
+    processing_time_ms; ``fields`` is in long form with field_at; ``checks`` has
+    field_at, check_name, status, detected_value, explanation, reason_code and
+    ai_assisted_evidence.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    values = [F.col("filename"), F.col("mode"), F.col("overall_status"), fixed(F.col("processing_time_ms")), yes(F.col("ai_assisted")), F.col("pass_count"), F.col("review_count"), F.col("fail_count")]
+    kept = F.array(*(F.struct(F.lit(i).alias("at"), F.array(F.lit(n), safe_cell(v)).alias("cells")) for i, (n, v) in enumerate(zip(METADATA, values, strict=True))))
+    meta = items.select("item_id", F.lit("metadata").alias("section"), F.explode(kept).alias("x")).select("item_id", "section", "x.at", "x.cells")
+    told = fields.select("item_id", F.lit("fields").alias("section"), F.col("field_at").alias("at"), F.array(F.col("field_name"), safe_cell(field_cell(F.col("field_name"), F.col("status"), F.col("raw_text"), F.col("normalized_value")))).alias("cells"))
+    judged = checks.select("item_id", F.lit("checks").alias("section"), F.col("field_at").alias("at"), F.array(*(safe_cell(text(F.col(c))) for c in ("check_name", "status", "detected_value", "explanation", "reason_code")), yes(F.col("ai_assisted_evidence"))).alias("cells"))
+    return meta.unionByName(told).unionByName(judged)
+
+
+def trial_json(trials: DataFrame) -> DataFrame:
+    """Each trial as one line of JSON, nulls kept."""
+    return trials.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def csv_line(columns: list[Column]) -> Column:
     """One line of CSV, quoted only where needed."""
     quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in columns]

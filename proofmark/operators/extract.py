@@ -143,6 +143,24 @@ def words_of_line(words: Column, line: Column) -> Column:
     return F.filter(words, lambda w: F.array_contains(wanted, bare(w["text"])) | F.array_contains(wanted, F.lower(w["text"])))
 
 
+def continuous(boxes: Column, height: Column) -> Column:
+    """Whether two boxes or more (see ``parse.box_edges``) stand side by side, each within 1.8 heights of the one before."""
+    placed = F.array_sort(boxes, lambda a, b: F.when(a["left"] < b["left"], -1).when(a["left"] > b["left"], 1).otherwise(0))
+    gaps = F.zip_with(F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))), F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), lambda a, b: b["left"] - (a["left"] + a["width"]))
+    return (F.size(boxes) >= 2) & F.forall(gaps, lambda g: g < height * 1.8)
+
+
+def capped(seen: Column, n: int = 5) -> Column:
+    """At most the first ``n``: candidates 5, lines and warnings 12."""
+    return F.slice(seen, 1, n)
+
+
+def preview_of_words(words: Column, n: int = 12) -> Column:
+    """The first words from top to bottom, then left to right."""
+    placed = F.array_sort(F.transform(words, lambda w: F.struct(F.coalesce(w["bbox"]["y_min"], F.lit(0.0)).alias("y"), F.coalesce(w["bbox"]["x_min"], F.lit(0.0)).alias("x"), w["text"].alias("text"))))
+    return F.array_join(F.transform(capped(placed, n), lambda w: w["text"]), " ")
+
+
 def brand_lines(text: Column) -> Column:
     """Lines that can be a brand: 3 to 60 characters, nothing of another field."""
     lower = F.lower
@@ -168,11 +186,9 @@ def brand_scores(text: Column, words: Column, image_height: Column) -> Column:
     def scored(line: Column, i: Column, own: Column) -> Column:
         has = F.size(own) > 0
         height, top = _mean(F.transform(own, lambda e: e["height"])), _mean(F.transform(own, lambda e: e["top"]))
-        placed = F.array_sort(own, lambda a, b: F.when(a["left"] < b["left"], -1).when(a["left"] > b["left"], 1).otherwise(0))
-        gaps = F.zip_with(F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))), F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), lambda a, b: b["left"] - (a["left"] + a["width"]))
         size = F.when(has, 2 * height).otherwise(0.0)
         position = F.when(has, F.greatest(F.lit(0.0), 1 - top / F.coalesce(image_height, F.lit(1)).cast("double")) * 40).otherwise(30.0 - i)
-        close = F.when(has & (F.size(own) >= 2) & F.forall(gaps, lambda g: g < height * 1.8), 10.0).otherwise(0.0)
+        close = F.when(continuous(own, height), 10.0).otherwise(0.0)
         many = F.when(F.size(tokens(line)) >= 2, 8.0).otherwise(0.0)
         caps = F.when((line == F.upper(line)) & (line != F.lower(line)) & (F.length(line) > 4), 5.0).otherwise(0.0)
         weak = F.when(is_weak(line), -28.0).otherwise(0.0)
@@ -258,7 +274,7 @@ def _issues(words: Column, width: Column, line: Column, own: Column) -> Column:
 def brand(text: Column, words: Column, width: Column, height: Column) -> Column:
     def facts(scored: Column) -> Column:
         top = F.get(scored, 0)["line"]
-        return let(top, lambda t: F.struct(t.alias("line"), F.slice(F.transform(scored, lambda x: x["line"]), 1, 5).alias("seen"), _conflicts(scored).alias("conflict"), F.when(t.isNotNull(), brand_issues(text, words, width, t)).alias("issues"), clean_display(t).alias("shown")))
+        return let(top, lambda t: F.struct(t.alias("line"), capped(F.transform(scored, lambda x: x["line"])).alias("seen"), _conflicts(scored).alias("conflict"), F.when(t.isNotNull(), brand_issues(text, words, width, t)).alias("issues"), clean_display(t).alias("shown")))
 
     def told(x: Column) -> Column:
         unsure = lambda reason: field(F.lit("UNCERTAIN"), x["line"], x["shown"], candidates=x["seen"], reason=reason)

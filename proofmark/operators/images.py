@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofmark.config import DEFAULT, Settings
+from proofmark.functions.text import fixed
 
 # Poor and warning thresholds.
 SHORT_SIDE, BLUR, DARK, BRIGHT, CONTRAST, CLIPPING = (200, 400), (40.0, 100.0), (25.0, 45.0), (235.0, 210.0), (15.0, 28.0), (0.15, 0.05)
@@ -62,13 +63,48 @@ def quality(side: Column, blur: Column, brightness: Column, contrast: Column, bl
         "contrast": _grade(contrast < CONTRAST[0], contrast < CONTRAST[1]),
         "clipping": _grade(clipped >= CLIPPING[0], clipped >= CLIPPING[1]),
     }
-    level = F.greatest(*grades.values())
     return F.struct(
-        F.when(level == 2, "POOR").when(level == 1, "WARNING").otherwise("GOOD").alias("status"),
+        status_of(F.greatest(*grades.values())).alias("status"),
         F.array_compact(F.array(*(F.when(g > 0, name) for name, g in grades.items()))).alias("warnings"),
     )
 
 
+def status_of(level: Column) -> Column:
+    return F.when(level == 2, "POOR").when(level == 1, "WARNING").otherwise("GOOD")
+
+
+def worst_quality(statuses: Column) -> Column:
+    """The worst of an array of statuses; GOOD for none."""
+    return F.when(F.array_contains(statuses, "POOR"), "POOR").when(F.array_contains(statuses, "WARNING"), "WARNING").otherwise("GOOD")
+
+
+def operations(profile: Column, oriented: Column, resized: Column, max_edge: Column, tilt: Column, angle: Column) -> Column:
+    """The steps of preparing an image, in order: structs of name, applied and detail.
+
+    ``tilt`` is what ``deskew`` decides.  The fast profile ends before contrast,
+    noise, tilt and sharpness are treated.
+    """
+    step = lambda name, applied, detail: F.struct(F.lit(name).alias("name"), applied.alias("applied"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
+    yes, no, edge = F.lit(True), F.lit(False), max_edge.cast("string")
+    # Names and details.
+    first = F.array(
+        step("exif_orientation", oriented, F.when(oriented, "Applied EXIF orientation tag").otherwise("No orientation correction needed")),
+        step("convert_rgb", yes, "Converted to RGB"),
+        step("ocr_max_edge_resize", resized, F.when(resized, F.concat(F.lit("Longest edge limited to "), edge, F.lit("px"))).otherwise(F.concat(F.lit("Within "), edge, F.lit("px; no resize")))),
+        step("grayscale", yes, "Converted to 8-bit grayscale"),
+    )
+    fast = F.array(step("enhanced_skipped", no, "FAST profile: skipped CLAHE, denoise, deskew, unsharp"))
+    rotated = F.concat(F.lit("Rotated by "), fixed(angle, 2), F.lit(" degrees"))
+    enhanced = F.array(
+        step("clahe_contrast", yes, "CLAHE clipLimit=2.0"),
+        step("mild_denoise", yes, "Non-local means denoise h=6"),
+        step("perspective_correction", no, "Automatic perspective / bottle-curvature correction is not implemented. Conservative planar deskew may still apply when angle confidence is high."),
+        step("deskew", tilt == "rotate", F.when(tilt == "rotate", rotated).when(tilt == "skip_few_edges", "insufficient_edge_points").when(tilt == "skip_straight", "angle_below_minimum_threshold").otherwise("angle_above_safe_maximum")),
+        step("mild_unsharp", yes, "Mild unsharp amount=0.4"),
+    )
+    return F.concat(first, F.when(profile == "enhanced", enhanced).otherwise(fast))
+
+
 def deskew(points: Column, angle: Column) -> Column:
     """What to do about a tilt."""
     return F.when(points < 200, "skip_few_edges").when(F.abs(angle) < 0.5, "skip_straight").when(F.abs(angle) > 12, "skip_implausible").otherwise("rotate")

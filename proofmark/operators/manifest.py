@@ -46,8 +46,9 @@ def latest_content(uploads: DataFrame) -> DataFrame:
 def rows(manifest: DataFrame, images: DataFrame) -> DataFrame:
     """Manifest rows (row_number and the five columns) with safe name and ``code`` of the first problem (null: matched)."""
     safe = manifest.withColumn("safe", safe_filename(F.col("filename")))
-    first = Window.partitionBy("safe").orderBy("row_number")
-    seen = safe.withColumn("again", F.col("safe").isNotNull() & (F.row_number().over(first) > 1))
+    # Only valid names are numbered, so invalid ones, which have none, do not meet in one task.
+    first = safe.where("safe is not null").groupBy("safe").agg(F.min("row_number").alias("first"))
+    seen = safe.join(first, "safe", "left").withColumn("again", F.coalesce(F.col("row_number") > F.col("first"), F.lit(False))).drop("first")
     ok = application_ok({c: F.col(c) for c in APPLICATION_LENGTHS})
     found = seen.join(inventory(images).select("safe", F.col("n").alias("uploads")), "safe", "left")
     code = F.when(F.col("safe").isNull(), "invalid_filename").when(F.col("again"), "duplicate_filename").when(~ok, "invalid_application_values").when(F.col("uploads").isNull() | (F.col("uploads") > 1), "missing_image")

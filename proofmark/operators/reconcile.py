@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmark.config import CHECKS, ELIGIBLE_REASONS, FIELDS, HUMAN_ONLY_REASONS
+from proofmark.config import CHECKS, ELIGIBLE_REASONS, HUMAN_ONLY_REASONS
 from proofmark.functions import parse
 from proofmark.functions.similarity import candidates_agree, prefer_agreeing, tokens
 from proofmark.functions.text import comparison_normalize, nonempty, strip
+from proofmark.operators.rules import field_of
 
 KEYS = ["item_id", "field_name"]
 VALUES = ["status", "raw_text", "normalized_value", "normalized_numeric", "normalized_unit", "candidates", "reason", "source"]
@@ -234,19 +235,37 @@ def eligible_checks(checks: DataFrame) -> DataFrame:
 
 def requests(eligible: DataFrame) -> DataFrame:
     """One request per item with all its fields, in the fixed order."""
-    names = F.create_map(*(F.lit(x) for pair in zip(CHECKS, FIELDS, strict=True) for x in pair))
     place = F.create_map(*(F.lit(x) for pair in zip(CHECKS, range(5), strict=True) for x in pair))
-    asked = F.struct(place[F.col("check_name")].alias("at"), names[F.col("check_name")].alias("field"), F.col("eligible_reason").alias("reason"))
+    asked = F.struct(place[F.col("check_name")].alias("at"), field_of(F.col("check_name")).alias("field"), F.col("eligible_reason").alias("reason"))
     return eligible.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_set(asked)), lambda x: F.struct(x["field"].alias("field"), x["reason"].alias("reason"))).alias("fields"))
 
 
 def within_budget(requests: DataFrame, calls: int, key: str = "item_id") -> DataFrame:
     """Requests with ``granted``: the first ``calls`` in order of key get a call, the others none.
 
-    The order is found by a bounded top-k, so no task sees all requests.
+    The order is found by a bounded top-k, so no task sees all requests.  Of
+    requests that share a key, which may be cut by the budget, any may be first.
     """
-    first = requests.select(key).orderBy(key).limit(calls).withColumn("granted", F.lit(True))
-    return requests.join(F.broadcast(first), key, "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+    first = requests.select(key).orderBy(key).limit(calls).groupBy(key).agg(F.count("*").alias("calls"))
+    own = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    met = requests.join(F.broadcast(first), key, "left_semi").withColumn("at", own).join(F.broadcast(first), key)
+    rest = requests.join(F.broadcast(first), key, "left_anti").withColumn("granted", F.lit(False))
+    return met.withColumn("granted", F.col("at") <= F.col("calls")).select(*requests.columns, "granted").unionByName(rest)
+
+
+def scripted_evidence(requests: DataFrame, script: DataFrame) -> DataFrame:
+    """Answers that a script (field_name and the answer's columns) gives to requests (item_id, fields): those on requested fields, or, for an item on none of whose fields the script has any, all of them."""
+    script = F.broadcast(script)  # a fixture of at most a few rows per field
+    asked = requests.select("item_id", F.explode("fields").alias("x")).select("item_id", F.col("x.field").alias("field_name"))
+    told = asked.join(script, "field_name")
+    others = requests.select("item_id").join(told.select("item_id"), "item_id", "left_anti").join(script, F.lit(True))
+    return told.unionByName(others)
+
+
+def no_evidence(requests: DataFrame, reason: str) -> DataFrame:
+    """What is recorded where no provider is asked: no answers, and why."""
+    said = F.concat(F.lit("evidence recovery skipped ("), F.size("fields").cast("string"), F.lit(f" field(s)). {reason}"))
+    return requests.select("item_id", F.lit(False).alias("called"), said.alias("explanation"))
 
 
 def budget_reason(reasons: Column, outcome: Column) -> Column:

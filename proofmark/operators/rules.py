@@ -167,6 +167,42 @@ def stub(items: DataFrame) -> DataFrame:
     return items.select("*", F.explode(F.array(*map(F.lit, CHECKS))).alias("check_name")).withColumns({"status": F.lit("REVIEW"), "reason_code": F.lit("PIPELINE_STUB")})
 
 
+def field_of(check_name: Column) -> Column:
+    """The field that a check judges."""
+    return F.create_map(*(F.lit(x) for pair in zip(CHECKS, FIELDS, strict=True) for x in pair))[check_name]
+
+
+#: Fixed value: what an explanation says where other evidence was weighed.
+CONSIDERED = " (AI-assisted evidence was considered; status is deterministic.)"
+
+
+def annotate(checks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Checks (item_id, check_name, explanation) with how their item's evidence came about.
+
+    ``evidence`` has one row per item: evidence_method, outcome, configured,
+    eligible, attempted, succeeded, failure_category, and merge_outcomes (a map
+    from the fields that it changed).  A check whose field it changed is marked as
+    assisted, and its explanation says so.  Items without a row stay unmarked.
+    """
+    e = F.col("e")
+    changed = F.coalesce(F.map_contains_key(e["merge_outcomes"], field_of(F.col("check_name"))), F.lit(False))
+    failed = F.coalesce(e["attempted"] & ~e["succeeded"] & (e["failure_category"] != ""), F.lit(False))
+    joined = checks.join(evidence.select("item_id", F.struct(*(c for c in evidence.columns if c != "item_id")).alias("e")), "item_id", "left")
+    return joined.withColumns(
+        {
+            "evidence_method": e["evidence_method"],
+            "ai_assist_outcome": e["outcome"],
+            "ai_configured": e["configured"],
+            "ai_eligible_for_review": e["eligible"],
+            "ai_assisted_evidence": F.when(changed, True),
+            "ai_merge_outcome": F.when(changed, e["merge_outcomes"][field_of(F.col("check_name"))]),
+            "ai_attempted_but_unavailable": F.when(failed, True),
+            "ai_failure_category": F.when(failed, e["failure_category"]),
+            "explanation": F.concat("explanation", F.when(changed, CONSIDERED).otherwise("")),
+        }
+    ).drop("e")
+
+
 def evidence_method(enhanced: Column, region: Column, outcome: Column) -> Column:
     """How a check's evidence came about."""
     return (

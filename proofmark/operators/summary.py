@@ -64,6 +64,18 @@ def matches(choice: str, state: Column, status: Column) -> Column:
     return F.lit(True)
 
 
+def lookup(df: DataFrame, **keys) -> DataFrame:
+    """The rows with these values; a filter that reaches the scan."""
+    for name, value in keys.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def histogram(df: DataFrame, *columns: str) -> DataFrame:
+    """How often each combination of values occurs."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 def search(term: str, *columns: Column) -> Column:
     """Whether any of the columns holds the term, in any case."""
     found = F.lit(False)

@@ -38,9 +38,14 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | No
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files: filename, ordinal (by path) and content."""
+    """Uploaded files: filename, ordinal (the place of their path among all, from 1) and content.
+
+    Only paths are numbered in one task, not contents; uploads of a batch are
+    bounded by ``batch_max_items``.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.xxhash64("path").alias("ordinal"), "content", F.col("length").alias("size"))
+    placed = files.select("path").withColumn("ordinal", F.row_number().over(Window.orderBy("path")).cast("long"))
+    return files.join(placed, "path").select(F.element_at(F.split("path", "/"), -1).alias("filename"), "ordinal", "content", F.col("length").alias("size"))
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -72,8 +72,6 @@ def test_similarity_goldens(spark):
     assert similarity.token_sort("Bourbon Whiskey".lower(), "kentucky straight bourbon whiskey") == 62.5
     assert similarity.token_set("a b c", "b a c d") == 100.0 and similarity.token_set("", "a") == 0.0
     assert similarity.partial("45", "alcohol 45 percent") == 100.0 and similarity.partial("", "x") == 0.0
-    assert similarity.agree("MAPLE CREEK", "maple creek distilling") and not similarity.agree("MAPLE", "")
-    assert similarity.agreeing("BOURBON WHISKEY", "di BOURBON WHISKEY") == "BOURBON WHISKEY"
     df = spark.createDataFrame([("abc", "axc"), ("abc", "abc"), ("", ""), ("", "a")], "a string, b string")
     assert [r.v for r in df.select(similarity.character_error_rate(c("a"), c("b")).alias("v")).collect()] == [1 / 3, 0.0, 0.0, 1.0]
 
@@ -248,3 +246,44 @@ def test_live_batch(spark, tmp_path):
     lifecycle.run(spark, str(source), str(tmp_path / "items"), str(tmp_path / "ck")).awaitTermination(60)
     lifecycle.run(spark, str(source), str(tmp_path / "items"), str(tmp_path / "ck")).awaitTermination(60)
     assert {(r.item_id, r.processing_state) for r in spark.read.parquet(str(tmp_path / "items")).collect()} == {("a", "COMPLETED"), ("b", "ERROR")}
+
+
+def test_decimals_are_those_of_c(spark):
+    numbers = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 1.005, 2.675, 439117.45, 258433.55, 999.95, -0.04, -1.25, 123456789.05, 1e-9, 0.9999999, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    for places in (1, 2):
+        got = {r.i: r.k for r in df.select("i", text.fixed(F.col("x"), places).alias("k")).collect()}
+        assert got == {i: None if x is None else f"{x:.{places}f}" for i, x in enumerate(numbers)}
+
+
+def test_agreement_of_names(spark):
+    cases = [("OLD TOM", "Old Tom Distillery", True), ("Stone's Throw", "STONE`S THROW", True), ("River Bend", "Riverside Bending", True), ("the a", "of it", False), ("Maple Hill", "Pine Hill", False), ("MAPLE CREEK", "maple creek distilling", True), ("MAPLE", "", False), ("", "x", False), (None, "x", False), ("!!", "!!", False)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = {r.i: r.k for r in df.select("i", similarity.candidates_agree(F.col("a"), F.col("b")).alias("k")).collect()}
+    assert got == {i: k for i, (_, _, k) in enumerate(cases)}
+    kept = [("OLD TOM", "OLD TOM DISTILLERY", "OLD TOM DISTILLERY"), ("OLD TOM", "OLD TOM ee", "OLD TOM"), ("OLD TOM ee", "OLD TOM", "OLD TOM"), ("Oak", "Pine", "Oak"), (None, "Oak", "Oak"), ("Oak", "", "Oak"), ("Oak.", "Oak", "Oak"), ("BOURBON WHISKEY", "di BOURBON WHISKEY", "BOURBON WHISKEY")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(kept)], "i int, a string, b string")
+    got = {r.i: r.k for r in df.select("i", similarity.prefer_agreeing(F.col("a"), F.col("b")).alias("k")).collect()}
+    assert got == {i: k for i, (_, _, k) in enumerate(kept)}
+
+
+def test_budget_with_repeated_keys_and_worst_status(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d")], "item_id int, x string")
+    assert sorted(r.granted for r in reconcile.within_budget(df, 2).collect()) == [False, False, True, True]
+    assert all(r.granted for r in reconcile.within_budget(df, 9).collect()) and not any(r.granted for r in reconcile.within_budget(df, 0).collect())
+    checks = spark.createDataFrame([(1, CHECKS[0], "PASS"), (1, CHECKS[0], "FAIL"), (1, CHECKS[1], "REVIEW")], "item_id int, check_name string, status string")
+    row = exports.check_statuses(checks).first()
+    assert (row.brand_status, row.class_type_status, row.net_contents_status) == ("FAIL", "REVIEW", None)
+
+
+def test_uploads_are_numbered_by_path(spark, tmp_path):
+    for name in ("b.png", "a.png", "c.png"):
+        (tmp_path / name).write_bytes(name.encode())
+    assert {r.filename: r.ordinal for r in readers.uploads(spark, str(tmp_path)).collect()} == {"a.png": 1, "b.png": 2, "c.png": 3}
+
+
+def test_evidence_providers_and_operations(spark):
+    asked = spark.createDataFrame([(1, [("brand_name",)]), (2, [("class_type",)])], "item_id int, fields array<struct<field:string>>")
+    script = spark.createDataFrame([("brand_name", "A")], "field_name string, candidate_value string")
+    assert sorted(map(tuple, reconcile.scripted_evidence(asked, script).select("item_id", "candidate_value").collect())) == [(1, "A"), (2, "A")]
+    assert [r.called for r in reconcile.no_evidence(asked, "off").collect()] == [False, False]
