@@ -2,17 +2,19 @@
 
 A text's UTF-8 bytes are cut where the gear hash of the last ``GEAR`` bytes has
 its top bits zero, at least ``LEAST`` and at most ``MOST`` bytes after the last
-cut.  Cuts depend on content alone, so an insertion moves no cut beyond its
-surroundings.  Chunks are told apart by a 96-bit digest.  A chunk in two or more
-documents is repeated, and repeated chunks that touch are a run.  Short chunks
-recur by chance, so a run says little by itself: it is gone through in windows of
-chunks that hold at least ``RUN`` bytes, and only windows that another document
-holds whole count.  Windows that one place of another document holds in the same
-order are joined to a passage.  The occurrence in the document with the least id
-stays; the others may be removed.
+cut; where no such place comes, at the first place of the least hash, so texts
+that repeat one unit are cut in step with it.  Cuts depend on content alone, so an
+insertion moves no cut beyond its surroundings.  Chunks are told apart by a 96-bit
+digest.  A chunk in two or more documents is repeated, and repeated chunks that
+touch are a run.  Short chunks recur by chance, so a run says little by itself: it
+is gone through in windows of chunks that hold at least ``RUN`` bytes or ``WORDS``
+words, and only windows that another document holds whole count.  Windows that one
+place of another document holds in the same order are joined to a passage.  The
+occurrence in the document with the least id stays; the others may be removed.
 
 A run's outermost chunks reach at most one chunk short of the passage's true
-ends, so a passage of 50 words holds a run well over ``RUN`` bytes.
+ends, so a passage of 50 words holds a run well over ``RUN`` bytes, or, where its
+words are short, over ``WORDS`` words.
 
 Null and empty texts have no chunks.  Rows that repeat a ``doc_id`` are one
 document: what only they share isn't repeated, and each of them is reported.
@@ -32,49 +34,55 @@ from pyspark.sql.window import Window
 
 from . import common
 
-GEAR, LEAST, MOST, MASK_BITS = 16, 16, 128, 4
-RUN = 80
+GEAR, LEAST, MOST, MASK_BITS = 16, 12, 128, 4
+RUN, WORDS = 80, 12
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _draw = random.Random(20240611)
 TABLE = np.array([_draw.getrandbits(32) for _ in range(256)], np.uint32)
 
 
-def candidates(data: bytes) -> list[int]:
-    """Places after which the gear hash allows a cut, in order."""
+#: Bytes that part words.
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def hashes(data: bytes) -> np.ndarray:
+    """The gear hash after each byte; after ``GEAR`` shifts bit 15 has been reached by every byte of the window."""
     h = TABLE[np.frombuffer(data, np.uint8)]
     width = 1
     while width < GEAR:  # the hash of twice as many bytes, from two halves
         h[width:] += h[:-width].copy() << np.uint32(width)
         width *= 2
-    # After GEAR shifts bit 15 has been reached by every byte of the window.
-    return (np.flatnonzero((h >> np.uint32(GEAR - MASK_BITS)) & np.uint32((1 << MASK_BITS) - 1) == 0) + 1).tolist()
+    return h & np.uint32((1 << GEAR) - 1)
 
 
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks."""
     n, last, out = len(data), 0, []
-    for c in candidates(data):
+    h = hashes(data)
+    for c in [*(np.flatnonzero(h < np.uint32(1 << (GEAR - MASK_BITS))) + 1).tolist(), n]:
         while c - last > MOST:
-            last += MOST
+            last += LEAST + int(np.argmin(h[last + LEAST - 1 : last + MOST]))
             out.append(last)
-        if c - last >= LEAST:
+        if c - last >= LEAST or last < c == n:
             last = c
             out.append(c)
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    if n > last:
-        out.append(n)
     return out
 
 
+def words_of(data: bytes, ends: list[int]) -> list[int]:
+    """How many words begin in each chunk."""
+    word = ~BLANK[np.frombuffer(data, np.uint8)]
+    word[1:] &= ~word[:-1]
+    return np.add.reduceat(word, [0, *ends[:-1]], dtype=np.int32).tolist()
+
+
 def digest(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk)[:12]
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``row``, ``id``, ``start`` and ``end`` (bytes) and ``digest`` of every chunk."""
+    """``row``, ``id``, ``start`` and ``end`` (bytes), ``words`` and ``digest`` of every chunk."""
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
@@ -82,10 +90,10 @@ def spans(docs: DataFrame) -> DataFrame:
                 data = text.encode("utf-8", "replace")
                 if data:
                     ends = cuts(data)
-                    yield [(row, doc_id, a, e, digest(data[a:e])) for a, e in zip([0, *ends[:-1]], ends, strict=True)]
+                    yield [(row, doc_id, a, e, w, digest(data[a:e])) for a, e, w in zip([0, *ends[:-1]], ends, words_of(data, ends), strict=True)]
 
     numbered = common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.monotonically_increasing_id().alias("row"))
-    return common.map_rows(numbered, rows, "row long, id long, start int, end int, digest binary")
+    return common.map_rows(numbered, rows, "row long, id long, start int, end int, words int, digest binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -102,34 +110,39 @@ def digests(docs: DataFrame) -> DataFrame:
     return common.map_rows(common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), rows, "digest binary, id long")
 
 
-def windows(ends: list[tuple[int, int]], least: int = RUN) -> list[tuple[int, int]]:
-    """First and last place of the windows of a run's chunks, given as (start, end).
+def windows(chunks: list[tuple[int, int, int]], least: int = RUN, words: int = WORDS) -> list[tuple[int, int]]:
+    """First and last place of the windows of a run's chunks, given as (start, end, words).
 
     From each chunk on and up to each chunk the shortest window of ``least``
-    bytes: any part of a run with so many bytes is covered by those inside it.
-    The whole run comes too, so a copy is one passage even if it repeats itself.
+    bytes or ``words`` words: any part of a run that holds so much is covered by
+    those inside it.  The whole run comes too, so a copy is one passage even if it
+    repeats itself.
     """
-    n = len(ends)
-    if not n or ends[-1][1] - ends[0][0] < least:
+    n = len(chunks)
+    begun = [0]
+    for c in chunks:
+        begun.append(begun[-1] + c[2])
+    enough = lambda i, j: chunks[j][1] - chunks[i][0] >= least or begun[j + 1] - begun[i] >= words
+    if not n or not enough(0, n - 1):
         return []
     found, j = {(0, n - 1)}, 0
     for i in range(n):
         j = max(i, j)
-        while j < n and ends[j][1] - ends[i][0] < least:
+        while j < n and not enough(i, j):
             j += 1
         if j == n:
             break
         found.add((i, j))
     i = 0
     for j in range(n):
-        while i < j and ends[j][1] - ends[i + 1][0] >= least:
+        while i < j and enough(i + 1, j):
             i += 1
-        if ends[j][1] - ends[i][0] >= least:
+        if enough(i, j):
             found.add((i, j))
     return sorted(found)
 
 
-def passages(docs: DataFrame, least: int = RUN) -> DataFrame:
+def passages(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
     """One row per passage of a document that a single other document holds whole.
 
     ``first_doc_id`` is the least id among the documents that hold one of its
@@ -146,17 +159,17 @@ def passages(docs: DataFrame, least: int = RUN) -> DataFrame:
     """
     held = digests(docs).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     repeated = common.store(held.where("first <> last").select("digest"), "chunks-repeated")
-    found = spans(docs).join(repeated, "digest").select("row", "id", "start", "end", "digest")
+    found = spans(docs).join(repeated, "digest").select("row", "id", "start", "end", "words", "digest")
     turn = Window.partitionBy("row").orderBy("start")
     runs = found.withColumn("gap", (F.col("start") != F.coalesce(F.lag("end").over(turn), F.lit(-1))).cast("int")).withColumn("run", F.sum("gap").over(turn))
-    whole = runs.groupBy("row", "run").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("start", "end", "digest"))).alias("chunks"))
-    long = whole.where(F.element_at("chunks", -1)["end"] - F.element_at("chunks", 1)["start"] >= least)
+    whole = runs.groupBy("row", "run").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("start", "end", "words", "digest"))).alias("chunks"), F.sum("words").alias("words"))
+    long = whole.where((F.element_at("chunks", -1)["end"] - F.element_at("chunks", 1)["start"] >= least) | (F.col("words") >= words))
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
             for row, doc_id, chunks in zip(b["row"].to_pylist(), b["id"].to_pylist(), b["chunks"].to_pylist(), strict=True):
                 parts = [c["digest"] for c in chunks]
-                yield [(row, doc_id, chunks[i]["start"], chunks[j]["end"], i, j, digest(b"".join(parts[i : j + 1]))) for i, j in windows([(c["start"], c["end"]) for c in chunks], least)]
+                yield [(row, doc_id, chunks[i]["start"], chunks[j]["end"], i, j, digest(b"".join(parts[i : j + 1]))) for i, j in windows([(c["start"], c["end"], c["words"]) for c in chunks], least, words)]
 
     cut = common.store(common.map_rows(long.select("row", "id", "chunks"), rows, "row long, id long, start int, end int, i int, j int, digest binary"), "chunks-windows")
     common.forget(repeated)
@@ -182,9 +195,9 @@ def passages(docs: DataFrame, least: int = RUN) -> DataFrame:
     return most.select(named("id").alias("doc_id"), "start", "end", "n_chunks", named("first").alias("first_doc_id"), "kept")
 
 
-def without_repeats(docs: DataFrame, least: int = RUN) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
     """``doc_id`` and the text without the passages that a document of a lesser id holds; ids have to be distinct here."""
-    drop = passages(docs, least).where(~F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut"))
+    drop = passages(docs, least, words).where(~F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut"))
     texts = common.texts_of(docs)
     joined = texts.join(drop, texts["doc_id"].eqNullSafe(drop["doc_id"]), "left").select(texts["doc_id"], "text", "cut")
 
