@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import xxhash
@@ -36,6 +37,8 @@ from . import common
 
 GEAR, LEAST, MOST, MASK_BITS = 16, 12, 128, 4
 RUN, WORDS = 80, 16
+#: Bytes of a digest.
+DIGEST = 12
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _draw = random.Random(20240611)
@@ -78,36 +81,38 @@ def words_of(data: bytes, ends: list[int]) -> list[int]:
 
 
 def digest(chunk: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(chunk)[:12]
+    return xxhash.xxh3_128_digest(chunk)[:DIGEST]
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """``row``, ``id``, ``start`` and ``end`` (bytes), ``words`` and ``digest`` of every chunk."""
 
-    def rows(batches) -> Iterator[list[tuple]]:
+    def pieces(batches) -> Iterator[list]:
         for b in batches:
             for row, doc_id, text in zip(b["row"].to_pylist(), b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 data = text.encode("utf-8", "replace")
                 if data:
                     ends = cuts(data)
-                    yield [(row, doc_id, a, e, w, digest(data[a:e])) for a, e, w in zip([0, *ends[:-1]], ends, words_of(data, ends), strict=True)]
+                    starts = [0, *ends[:-1]]
+                    yield [np.full(len(ends), row), np.full(len(ends), doc_id), starts, ends, words_of(data, ends), [digest(data[a:e]) for a, e in zip(starts, ends, strict=True)]]
 
     numbered = common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.monotonically_increasing_id().alias("row"))
-    return common.map_rows(numbered, rows, "row long, id long, start int, end int, words int, digest binary")
+    return common.map_pieces(numbered, pieces, "row long, id long, start int, end int, words int, digest binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """``digest`` and ``id``, once for each of a row's distinct chunks."""
 
-    def rows(batches) -> Iterator[list[tuple]]:
+    def pieces(batches) -> Iterator[list]:
         for b in batches:
             for doc_id, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 data = text.encode("utf-8", "replace")
                 if data:
                     ends = cuts(data)
-                    yield [(d, doc_id) for d in {digest(data[a:e]) for a, e in zip([0, *ends[:-1]], ends, strict=True)}]
+                    held = list({digest(data[a:e]) for a, e in zip([0, *ends[:-1]], ends, strict=True)})
+                    yield [held, np.full(len(held), doc_id)]
 
-    return common.map_rows(common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), rows, "digest binary, id long")
+    return common.map_pieces(common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), pieces, "digest binary, id long")
 
 
 def windows(chunks: list[tuple[int, int, int]], least: int = RUN, words: int = WORDS) -> list[tuple[int, int]]:
@@ -119,25 +124,27 @@ def windows(chunks: list[tuple[int, int, int]], least: int = RUN, words: int = W
     repeats itself.
     """
     n = len(chunks)
-    begun = [0]
-    for c in chunks:
-        begun.append(begun[-1] + c[2])
-    enough = lambda i, j: chunks[j][1] - chunks[i][0] >= least or begun[j + 1] - begun[i] >= words
-    if not n or not enough(0, n - 1):
+    begun = [0, *accumulate(c[2] for c in chunks)]
+    if not n or not (chunks[-1][1] - chunks[0][0] >= least or begun[n] >= words):
         return []
+    starts, ends = [c[0] for c in chunks], [c[1] for c in chunks]
     found, j = {(0, n - 1)}, 0
     for i in range(n):
+        # The first end that is enough: by bytes or by words, whichever comes first.
+        byte, word = starts[i] + least, begun[i] + words
         j = max(i, j)
-        while j < n and not enough(i, j):
+        while j < n and ends[j] < byte and begun[j + 1] < word:
             j += 1
         if j == n:
             break
         found.add((i, j))
     i = 0
     for j in range(n):
-        while i < j and enough(i + 1, j):
+        # The last beginning that is enough.
+        byte, word = ends[j] - least, begun[j + 1] - words
+        while i < j and (starts[i + 1] <= byte or begun[i + 1] <= word):
             i += 1
-        if enough(i, j):
+        if starts[i] <= byte or begun[i] <= word:
             found.add((i, j))
     return sorted(found)
 
@@ -165,13 +172,19 @@ def passages(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame
     whole = runs.groupBy("row", "run").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("start", "end", "words", "digest"))).alias("chunks"), F.sum("words").alias("words"))
     long = whole.where((F.element_at("chunks", -1)["end"] - F.element_at("chunks", 1)["start"] >= least) | (F.col("words") >= words))
 
-    def rows(batches) -> Iterator[list[tuple]]:
+    def pieces(batches) -> Iterator[list]:
         for b in batches:
-            for row, doc_id, chunks in zip(b["row"].to_pylist(), b["id"].to_pylist(), b["chunks"].to_pylist(), strict=True):
-                parts = [c["digest"] for c in chunks]
-                yield [(row, doc_id, chunks[i]["start"], chunks[j]["end"], i, j, digest(b"".join(parts[i : j + 1]))) for i, j in windows([(c["start"], c["end"], c["words"]) for c in chunks], least, words)]
-
-    cut = common.store(common.map_rows(long.select("row", "id", "chunks"), rows, "row long, id long, start int, end int, i int, j int, digest binary"), "chunks-windows")
+            starts, ends, counts, parts = (c.to_pylist() for c in b["chunks"].flatten().flatten())
+            at = 0
+            for row, doc_id, n in zip(b["row"].to_pylist(), b["id"].to_pylist(), b["chunks"].value_lengths().to_pylist(), strict=True):
+                begin, end, run = starts[at : at + n], ends[at : at + n], b"".join(parts[at : at + n])
+                found = windows(list(zip(begin, end, counts[at : at + n], strict=True)), least, words)
+                at += n
+                if found:
+                    first, last = map(list, zip(*found, strict=True))
+                    yield [np.full(len(found), row), np.full(len(found), doc_id), [begin[i] for i in first], [end[j] for j in last], first, last, [digest(run[DIGEST * i : DIGEST * (j + 1)]) for i, j in found]]
+
+    cut = common.store(common.map_pieces(long.select("row", "id", "chunks"), pieces, "row long, id long, start int, end int, i int, j int, digest binary"), "chunks-windows")
     common.forget(repeated)
     place = F.struct("id", "row", "start")
     holders = cut.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.id <> last.id")

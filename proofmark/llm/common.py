@@ -7,7 +7,9 @@ import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of text handed to Python at a time; texts may be long, so batches stay small.
 BATCH_ROWS = 512
+#: Rows that ``map_pieces`` puts together before it hands them back.
+OUT_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +59,27 @@ def map_arrays(df: DataFrame, arrays: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(run, ddl)
 
 
+def map_pieces(df: DataFrame, pieces: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], ddl: str) -> DataFrame:
+    """``map_arrays`` for many small lists of columns (numpy arrays or lists): they are put together until they hold ``OUT_ROWS`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def joined(held: list[list]) -> list:
+        return [np.concatenate(c) if isinstance(c[0], np.ndarray) else list(chain.from_iterable(c)) for c in zip(*held, strict=True)]
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        held, n = [], 0
+        for piece in pieces(batches):
+            held.append(piece)
+            n += len(piece[0])
+            if n >= OUT_ROWS:
+                yield joined(held)
+                held, n = [], 0
+        if held:
+            yield joined(held)
+
+    return map_arrays(df, arrays, ddl)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What runs within hands so many rows at a time to Python; afterwards the session is as before."""
