@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chunks, dac, decontaminate, fim, minhash, packing, pii, secrets, simhash, tokens, toxicity
+from proofmark.functions.text import let
+
+from . import brown, chunks, common, dac, decontaminate, fim, minhash, packing, periodic, pii, secrets, simhash, tokens, toxicity
 from .common import table
 
 
@@ -60,8 +62,32 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth by crc32 of the id repeats a unit of its words from some place on; a null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        return let(F.struct(words.alias("w"), n.alias("n"), (g % n).alias("a")), lambda x: let(F.struct(x["w"].alias("w"), x["n"].alias("n"), x["a"].alias("a"), (1 + F.floor((x["n"] - x["a"]) / (3 + g % 8))).alias("p")), joined))
+
+    def joined(x: Column) -> Column:
+        rest = (x["n"] - x["a"]).cast("int")
+        unit = F.slice(x["w"], (x["a"] + 1).cast("int"), x["p"].cast("int"))
+        again = F.flatten(F.array_repeat(unit, F.ceil(rest / x["p"]).cast("int")))
+        return F.array_join(F.concat(F.slice(x["w"], F.lit(1), x["a"].cast("int")), F.slice(again, F.lit(1), rest)), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    planted = let(words, lambda w: F.when(F.size(w) > 0, repeated(w)))
+    return common.texts_of(docs).withColumn("text", F.when(h % 10 == 0, F.coalesce(planted, F.col("text"))).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_brown, op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity, op11_fim)}
+    return {f.__name__: f for f in (op1_brown, op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity, op11_fim, op12_periodic_runs)}
 
 
 #: Words as the contract has them: A-Z in lower case, runs of letters, digits and non-ASCII characters.
@@ -94,5 +120,24 @@ FROM p
 """
 
 
+#: The checksum goes byte by byte: each byte's code, then eight shifts (-1).
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+    xor(list_reduce(flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents),
+a AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS (SELECT r, i, n, CASE WHEN a IS NULL OR i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END AS w FROM p, unnest(range(n)) AS u(i)),
+e AS (SELECT x.r, x.n, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS stretch FROM e) GROUP BY r, q, stretch),
+m AS (SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length),
+x AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told, arg_max({'start': start, 'length': length, 'period': period}, (length, -start, -period)) AS best FROM m GROUP BY r),
+g AS (SELECT DISTINCT r, i FROM m, unnest(range(start + period, start + length)) AS u(i)),
+k AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS kept FROM w ANTI JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+    sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN x USING (r) LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8, "op11_fim": OP11}
+    return {"op8_decontamination": OP8, "op11_fim": OP11, "op12_periodic_runs": OP12}
