@@ -13,14 +13,16 @@ Defined results: a null text counts as empty; an empty text, and one that contai
 a mark, stays plain (n is counted all the same); a null ``doc_id`` draws as an
 empty one; repeated rows are each transformed, alike; columns other than
 ``doc_id`` and ``text`` are left out, whatever their names; no rows give no rows.
-A long text is cut piece by piece, so that the units of one piece alone are held.
+A long text is cut piece by piece, so that few units are held at a time.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +37,8 @@ UNITS = "[A-Za-z]+|[^A-Za-z]"
 MARKS = ("<P>", "<S>", "<M>")
 #: Percent of the texts that stay plain, and of the others that begin with the suffix.
 PLAIN, SUFFIX_FIRST = 10, 20
-#: Code points that are cut into units at a time.
-PIECE = 4096
+#: Code points that are cut into units at a time, and those of a text whose units are all kept until its places are known.
+PIECE, HELD = 512, 1 << 15
 #: Where a text may be cut in two without changing its units: before anything but an ASCII letter.
 EDGE = re.compile("[^A-Za-z]")
 
@@ -61,18 +63,19 @@ def pieces(text: str) -> Iterator[tuple[int, str]]:
 def places(text: str, *draws: int) -> tuple[int, list[int]]:
     """The number of units and, for each draw, the code point at which unit ``draw % (n + 1)`` begins (n: the text's end)."""
     cut = _cutter().pre_tokenize_str
-    if len(text) <= PIECE:
-        units = cut(text)
-        n = len(units)
-        return n, [units[r][1][0] if r < n else len(text) for r in (d % (n + 1) for d in draws)]
-    firsts, n = [], 0
+    held, firsts, n = len(text) <= HELD, [], 0
     for at, piece in pieces(text):
-        firsts.append((n, at, piece))
-        n += len(cut(piece))
+        units = cut(piece)
+        # The units of longer texts are not kept; the pieces of the two places are cut once more.
+        firsts.append((n, at, units if held else piece))
+        n += len(units)
     out = []
     for rank in (d % (n + 1) for d in draws):
-        first, at, piece = next((x for x in reversed(firsts) if x[0] <= rank), None) or (0, 0, "")
-        out.append(at + cut(piece)[rank - first][1][0] if rank < n else len(text))
+        if rank == n:
+            out.append(len(text))
+        else:
+            first, at, units = firsts[bisect_right(firsts, rank, key=itemgetter(0)) - 1]
+            out.append(at + (units if held else cut(units))[rank - first][1][0])
     return n, out
 
 
