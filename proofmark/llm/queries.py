@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofmark.functions.text import let
 
-from . import brown, chunks, common, dac, decontaminate, fim, minhash, packing, periodic, pii, secrets, simhash, tokens, toxicity
+from . import brown, chunks, common, dac, decontaminate, fim, licenses, minhash, packing, periodic, pii, secrets, simhash, tokens, toxicity
 from .common import table
 
 
@@ -86,8 +86,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    place = lambda of: of("places").cast("long")
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), place(F.array_min).alias("first_word"), place(F.array_max).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_brown, op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity, op11_fim, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_brown, op2_pii, op3_token_codes, op4_secrets, op5_minhash, op6_chunks, op7_packing, op8_decontamination, op9_simhash, op10_toxicity, op11_fim, op12_periodic_runs, op13_licenses)}
 
 
 #: Words as the contract has them: A-Z in lower case, runs of letters, digits and non-ASCII characters.
@@ -139,5 +145,28 @@ FROM d LEFT JOIN x USING (r) LEFT JOIN k USING (r)
 """
 
 
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_PHRASES = ", ".join(f"('{label}', {_listed(licenses.words_of(p))})" for p, label in licenses.PHRASES)
+_TEMPLATES = ", ".join(f"('{label}', {licenses.width_of(t)}, {_listed(sorted(set(licenses.words_of(t))))}, {licenses.need_of(len(set(licenses.words_of(t))), licenses.THRESHOLD)})" for label, t in licenses.TEMPLATES)
+#: Every block is compared with every template of its width, without filters.
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+p(label, ps) AS (VALUES {_PHRASES}),
+t(label, width, ts, need) AS (VALUES {_TEMPLATES}),
+b AS (SELECT r, label, i FROM d, p, unnest(range(len(ws))) AS u(i) WHERE ws[i + 1] = ps[1] AND ws[i + 1:i + len(ps)] = ps),
+k AS (SELECT r, width, ws[j * width + 1:(j + 2) * width] AS bs FROM d, (SELECT DISTINCT width FROM t), unnest(range(greatest(1, CAST(ceil(len(ws) / width) AS BIGINT) - 1))) AS u(j)),
+m AS (SELECT r, label, CAST(len(list_intersect(ts, bs)) AS DOUBLE) / len(ts) AS score FROM k JOIN t USING (width) WHERE len(list_intersect(ts, bs)) >= need),
+n AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
+x AS (SELECT r, max(score) AS best FROM m GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION ALL SELECT r, label FROM m) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN n USING (r) LEFT JOIN x USING (r) LEFT JOIN l USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8, "op11_fim": OP11, "op12_periodic_runs": OP12}
+    return {"op8_decontamination": OP8, "op11_fim": OP11, "op12_periodic_runs": OP12, "op13_licenses": OP13}
