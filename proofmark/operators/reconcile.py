@@ -13,7 +13,7 @@ from proofmark.config import CHECKS, ELIGIBLE_REASONS, HUMAN_ONLY_REASONS
 from proofmark.functions import parse
 from proofmark.functions.similarity import candidates_agree, prefer_agreeing, tokens
 from proofmark.functions.text import comparison_normalize, nonempty, strip
-from proofmark.operators.rules import field_of
+from proofmark.operators.rules import field_of, worst
 
 KEYS = ["item_id", "field_name"]
 VALUES = ["status", "raw_text", "normalized_value", "normalized_numeric", "normalized_unit", "candidates", "reason", "source"]
@@ -227,17 +227,37 @@ def eligible_reason(status: Column, reason: Column, underlying: Column, check_na
     return F.when((status == "REVIEW") & ~F.coalesce(reason.isin(*HUMAN_ONLY_REASONS), F.lit(False)), F.when(reason.isin(*ELIGIBLE_REASONS), reason).when(underlying.isin(*ELIGIBLE_REASONS), underlying).when(reason == "OCR_LOW_QUALITY", masked))
 
 
-def eligible_checks(checks: DataFrame) -> DataFrame:
-    """Checks (with ``overall_status`` and ``extraction_status``) for which evidence is asked: only of items under review."""
-    why = eligible_reason(F.col("status"), F.col("reason_code"), F.col("underlying_reason_code"), F.col("check_name"), F.col("extraction_status"))
-    return checks.where("overall_status = 'REVIEW' and status = 'REVIEW'").where(F.col("check_name").isin(*CHECKS) & (F.col("ai_assist_eligible") | (F.col("reason_code") == "OCR_LOW_QUALITY"))).withColumn("eligible_reason", why).where("eligible_reason is not null")
+#: What a provider is asked to do for each field, unless the caller says otherwise.
+TASKS = {
+    "brand_name": "Read the whole brand name printed on the label; the recognised text may lack words.",
+    "class_type": "Read the designation of class and type as it is printed.",
+    "alcohol_content": "Read the statement of alcohol by volume and, where there is one, of proof; work neither out from the other.",
+    "net_contents": "Read quantity and unit of the net contents alone.",
+    "government_warning": "Transcribe heading and text of the health warning as far as they can be read.",
+}
+ASKED = "struct<field:string,reason:string,task:string,ocr_text:string,candidates:array<string>,application_value:string,extraction_status:string,extraction_reason:string>"
 
 
-def requests(eligible: DataFrame) -> DataFrame:
-    """One request per item with all its fields, in the fixed order."""
-    place = F.create_map(*(F.lit(x) for pair in zip(CHECKS, range(5), strict=True) for x in pair))
-    asked = F.struct(place[F.col("check_name")].alias("at"), field_of(F.col("check_name")).alias("field"), F.col("eligible_reason").alias("reason"))
-    return eligible.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_set(asked)), lambda x: F.struct(x["field"].alias("field"), x["reason"].alias("reason"))).alias("fields"))
+def requests(checks: DataFrame, tasks: dict[str, str] | None = None) -> DataFrame:
+    """One request for evidence per item under review: item_id, ``fields`` in the fixed order of checks, and quality.
+
+    ``checks`` are those of ``rules.run`` with ``keep``.  An item asks only if its overall
+    status is REVIEW, that is, if no check of it failed.  Status and requests come from one
+    aggregate, and what a check asks is null unless it may ask, so texts of other
+    checks aren't moved.  A check that repeats asks each time.  A check without an
+    extracted field shows what it detected.
+    """
+    x = F.col("extracted")
+    name = field_of(F.col("check_name"))
+    why = eligible_reason(F.col("status"), F.col("reason_code"), F.col("underlying_reason_code"), F.col("check_name"), x["status"])
+    may = F.col("check_name").isin(*CHECKS) & (F.col("ai_assist_eligible") | (F.col("reason_code") == "OCR_LOW_QUALITY")) & why.isNotNull()
+    place = F.create_map(*(F.lit(v) for pair in zip(CHECKS, range(5), strict=True) for v in pair))[F.col("check_name")]
+    task = F.create_map(*(F.lit(v) for pair in (tasks or TASKS).items() for v in pair))[name]
+    shown = F.when(x.isNull(), F.col("detected_value")).otherwise(x["raw_text"])
+    asked = F.struct(place.alias("at"), name.alias("field"), why.alias("reason"), task.alias("task"), shown.alias("ocr_text"), F.coalesce(x["candidates"], F.array().cast("array<string>")).alias("candidates"), F.col("app_value").alias("application_value"), x["status"].alias("extraction_status"), x["reason"].alias("extraction_reason"))
+    grouped = checks.groupBy("item_id").agg(worst(F.collect_set("status")).alias("overall_status"), F.array_sort(F.collect_list(F.when(may, asked))).alias("asked"), F.max("quality").alias("quality"))
+    bare = F.transform("asked", lambda a: a.dropFields("at")).cast(f"array<{ASKED}>")
+    return grouped.where("overall_status = 'REVIEW' and size(asked) > 0").select("item_id", bare.alias("fields"), "quality")
 
 
 def within_budget(requests: DataFrame, calls: int, key: str = "item_id") -> DataFrame:

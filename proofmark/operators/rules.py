@@ -138,8 +138,11 @@ def rules_of(comparison: bool) -> dict[str, Rule]:
     return COMPARISON if comparison else LABEL_ONLY
 
 
-def run(fields: DataFrame, rules: dict[str, Rule] | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """Checks of fields in long form (field_name, app_value, quality and the field's columns); each row gets its rule's result."""
+def run(fields: DataFrame, rules: dict[str, Rule] | None = None, settings: Settings = DEFAULT, keep: bool = False) -> DataFrame:
+    """Checks of fields in long form (field_name, app_value, quality and the field's columns); each row gets its rule's result.
+
+    ``keep`` leaves app_value, quality and the field itself, as the struct ``extracted``, with each check.
+    """
     f = F.struct("status", "raw_text", "normalized_value", "normalized_numeric", "normalized_unit", "candidates", "reason", "source")
     f = F.when(F.col("status").isNotNull(), f)
     chosen, names = None, dict(zip(FIELDS, CHECKS, strict=True))
@@ -148,7 +151,9 @@ def run(fields: DataFrame, rules: dict[str, Rule] | None = None, settings: Setti
         chosen = F.when(F.col("field_name") == name, done) if chosen is None else chosen.when(F.col("field_name") == name, done)
     check = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("field_name")]
     kept = [c for c in fields.columns if c not in ("status", "raw_text", "normalized_value", "normalized_numeric", "normalized_unit", "candidates", "reason", "source", "app_value", "quality")]
-    return fields.select(*kept, check.alias("check_name"), detected(f).alias("detected_value"), chosen.alias("r")).select(*kept, "check_name", "detected_value", "r.*")
+    more = ["app_value", "quality", "extracted"] if keep else []
+    judged = fields.withColumn("extracted", f) if keep else fields
+    return judged.select(*kept, *more, check.alias("check_name"), detected(f).alias("detected_value"), chosen.alias("r")).select(*kept, *more, "check_name", "detected_value", "r.*")
 
 
 def citations(field_name: Column) -> Column:

@@ -11,29 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmark.config import CHECKS, EXPORT_COLUMNS, FIELDS, SKIP_LINE, WEAK_STANDALONE
+from proofmark.config import CHECKS, FIELDS, SKIP_LINE, WEAK_STANDALONE
 from proofmark.functions import parse, similarity, text
 from proofmark.operators import evaluate, exports, extract, images, manifest, reconcile, rules, summary
 from proofmark.plans import oracle as o
 from proofmark.plans.labels import labels
+from proofmark.plans.registry import ORACLES, QUERIES, register
 from proofmark.sources import readers
 
 L, q = o.L, o.q
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def over(name: str, sql_columns: str | None, *columns, table: str = "labels", key: str = "item_id", where: str | None = None) -> None:
     """Registers a projection of label records (or a table) and its oracle's select list."""
 
@@ -137,7 +123,6 @@ field_query("ext_04_warning", lambda: extract.warning(F.concat_ws("\n", "net_lin
     f"CASE WHEN item_id % 4 = 3 THEN 'NOT_FOUND' WHEN {o.cues('warning_line')} >= 2 AND length(warning_line) > 80 THEN 'FOUND' ELSE 'UNCERTAIN' END AS status, CASE WHEN item_id % 4 <> 3 THEN warning_line END AS raw_text, "
     "CASE WHEN item_id % 4 <> 3 THEN 'GOVERNMENT WARNING' END AS normalized_value, CAST(NULL AS DOUBLE) AS normalized_numeric"
 ))
-field_query("ext_05_brand", lambda: extract.brand(c("full_text"), c("words"), c("image_width_px"), c("image_height_px")), None)
 
 
 def brand_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,11 +172,6 @@ def _(spark, sf_dir):
     return brand_words(spark, sf_dir).select("item_id", F.round(extract.mean_confidence(c("words")), 9).alias("m"))
 
 
-@register("ext_11_fields")
-def _(spark, sf_dir):
-    return extract.fields(records(spark, sf_dir)).select("item_id", "field_name", "status", "raw_text", "normalized_value")
-
-
 BRAND_PARTS = "2.0::DOUBLE * (item_id % 40 + 20) AS size, (1 - 20 / 600::DOUBLE) * 40 AS position, CASE WHEN item_id % 90 < 1.8::DOUBLE * (item_id % 40 + 20) THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS continuity, 8.0::DOUBLE AS multi_word, 5.0::DOUBLE AS all_caps, 0.0::DOUBLE AS weak"
 OTHER_PARTS = "60.0::DOUBLE AS size, 20.0::DOUBLE AS position, 0.0::DOUBLE AS continuity, 0.0::DOUBLE AS multi_word, 5.0::DOUBLE AS all_caps, -28.0::DOUBLE AS weak"
 PARTS = f"SELECT item_id, 'RIVER BEND' AS line, 0 AS at, {BRAND_PARTS} FROM l UNION ALL SELECT item_id, 'DISTILLERY', 1, {OTHER_PARTS} FROM l"
@@ -258,25 +238,6 @@ rule_query("rul_06_warning_gates", lambda: rules.warning(F.lit(None), F.when(c("
 rule_query("rul_07_label_only", lambda: rules.present("alcohol_content")(F.lit(None), c("f.abv"), F.lit("GOOD")), f"CASE WHEN {ABV_OK} THEN 'PASS' ELSE 'REVIEW' END AS status, CASE WHEN {o.source('abv_line')} IS NULL THEN 'EXTRACTION_NOT_FOUND' WHEN {ABV_OK} THEN 'ABV_MATCH' ELSE 'PROOF_ONLY_NO_PERCENT_STATEMENT' END AS reason_code FROM l")
 
 
-def checks(spark: SparkSession, sf_dir: str, comparison: bool = True) -> DataFrame:
-    """All five checks of every record, from text to result."""
-    f = extract.fields(records(spark, sf_dir))
-    app = F.when(c("field_name") == "brand_name", c("app_brand")).when(c("field_name") == "class_type", c("app_class")).when(c("field_name") == "alcohol_content", c("app_abv")).when(c("field_name") == "net_contents", c("app_net"))
-    kept = ["item_id", "batch_id", "field_at", "field_name", "quality", *reconcile.VALUES]
-    f = f.select(*kept, c("status").alias("extraction_status"), app.alias("app_value"))
-    return rules.run(f, rules.rules_of(comparison))
-
-
-@register("rul_08_checks")
-def _(spark, sf_dir):
-    return checks(spark, sf_dir).select("item_id", "check_name", "status", "reason_code")
-
-
-@register("rul_08_checks_label_only")
-def _(spark, sf_dir):
-    return checks(spark, sf_dir, False).select("item_id", "check_name", "status", "reason_code")
-
-
 over("rul_09_mode", "CASE WHEN item_id % 2 = 0 THEN 'COMPARISON' ELSE 'LABEL_ONLY' END AS m", lambda: rules.mode(F.when(c("item_id") % 2 == 0, c("app_brand")).isNotNull()).alias("m"))
 over("rul_10_citations", "CASE item_id % 2 WHEN 0 THEN '27 CFR § 16.21;27 CFR § 16.22' ELSE '27 CFR § 5.63;27 CFR § 5.65' END AS k", lambda: F.array_join(rules.citations(F.when(c("item_id") % 2 == 0, "government_warning").otherwise("alcohol_content")), ";").alias("k"))
 register("rul_11_stub", f"{L} SELECT item_id, unnest({o.array(CHECKS)}) AS check_name, 'REVIEW' AS status, 'PIPELINE_STUB' AS reason_code FROM l")(lambda s, d: rules.stub(labels(s, d).select("item_id")))
@@ -564,13 +525,6 @@ over("rec_09_reinforcing", f"coalesce({NEAR_ABV}, false) AS ok", lambda: reconci
 over("fil_04_eligible", "CASE item_id % 5 WHEN 0 THEN 'WARNING_MISSING' WHEN 1 THEN NULL WHEN 2 THEN 'BRAND_AMBIGUOUS' WHEN 3 THEN 'EXTRACTION_UNCERTAIN' END AS k", lambda: reconcile.eligible_reason(F.when(c("item_id") % 5 == 4, "PASS").otherwise("REVIEW"), F.when(c("item_id") % 5 == 1, "WARNING_CAPS_REVIEW").when(c("item_id") % 5 == 2, "BRAND_AMBIGUOUS").otherwise("OCR_LOW_QUALITY"), F.lit(None).cast("string"), F.lit(CHECKS[4]), F.when(c("item_id") % 5 == 3, "UNCERTAIN").otherwise("NOT_FOUND")).alias("k"))
 
 
-@register("rec_10_requests")
-def _(spark, sf_dir):
-    done = checks(spark, sf_dir)
-    overall = summary.items(done, "item_id").select("item_id", "overall_status")
-    return reconcile.requests(reconcile.eligible_checks(done.join(overall, "item_id"))).select("item_id", F.to_json("fields").alias("fields"))
-
-
 register("rec_11_budget", "SELECT o_orderkey AS item_id, row_number() OVER (ORDER BY o_orderkey) <= 25 AS granted FROM orders")(lambda s, d: reconcile.within_budget(s.read.parquet(f"{d}/orders.parquet").select(c("o_orderkey").alias("item_id")), 25))
 over("rec_12_budget_reason", "CASE WHEN item_id % 2 = 0 THEN 'A;AI_BUDGET_EXHAUSTED' ELSE 'A' END AS k", lambda: F.array_join(reconcile.budget_reason(F.when(c("item_id") % 4 == 0, F.array(F.lit("A"), F.lit("AI_BUDGET_EXHAUSTED"))).otherwise(F.array(F.lit("A"))), F.when(c("item_id") % 2 == 0, "provider_unavailable")), ";").alias("k"))
 over("joi_05_check_fields", f"{o.array(FIELDS)}[(item_id % 6 + 1)::INT] AS k", lambda: rules.field_of(F.get(F.array(*map(F.lit, CHECKS)), (c("item_id") % 6).cast("int"))).alias("k"))
@@ -587,15 +541,6 @@ def _(spark, sf_dir):
     return exports.check_statuses(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_linenumber", F.expr("(l_linenumber - 1) % 5 + 1")).select(c("l_orderkey").alias("item_id"), F.element_at(F.array(*map(F.lit, CHECKS)), c("l_linenumber").cast("int")).alias("check_name"), status.alias("status")))
 
 
-@register("snk_01_batch_export")
-def _(spark, sf_dir):
-    done = checks(spark, sf_dir)
-    per = summary.items(done, "item_id").select("item_id", "overall_status", "review_reason_codes")
-    base = labels(spark, sf_dir).select("item_id", "filename", F.lit("COMPLETED").alias("processing_state"), c("app_brand").alias("brand_name"), c("app_class").alias("class_type"), c("app_abv").alias("alcohol_content"), c("app_net").alias("net_contents"), F.lit(False).alias("ai_assisted"), (c("size") * 1.5).cast("double").alias("processing_time_ms"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"))
-    out = exports.batch_rows(base.join(per, "item_id"), done)
-    return out.select("item_id", exports.csv_line([c(x) for x in EXPORT_COLUMNS]).alias("line"))
-
-
 register("snk_05_recount", f"WITH i AS ({ITEMS}) SELECT count(*) AS total, count(*) FILTER (ai_assisted) AS ai_assisted_all, count(*) FILTER ({DONE} AND ai_assisted) AS ai_assisted FROM i")(lambda s, d: summary.batch(items(s, d)).select("total", "ai_assisted_all", "ai_assisted"))
 over("snk_08_flattened", "item_id % 2 = 0 AS field_brand_name, replace(brand_line || chr(10) || net_line, chr(10), ' | ') AS preview", *(
     lambda i=i: [c("field_brand_name"), c("preview")][i] for i in range(2)
