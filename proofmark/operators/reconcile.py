@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from proofmark.config import CHECKS, ELIGIBLE_REASONS, HUMAN_ONLY_REASONS
 from proofmark.functions import parse
 from proofmark.functions.similarity import candidates_agree, prefer_agreeing, tokens
-from proofmark.functions.text import comparison_normalize, nonempty, strip
+from proofmark.functions.text import comparison_normalize, strip
+from proofmark.operators import evidence
+from proofmark.operators.evidence import KEYS
 from proofmark.operators.rules import field_of, worst
 
-KEYS = ["item_id", "field_name"]
 VALUES = ["status", "raw_text", "normalized_value", "normalized_numeric", "normalized_unit", "candidates", "reason", "source"]
 
 
@@ -150,75 +151,7 @@ def escalate(base: DataFrame, region: DataFrame, whole: DataFrame) -> DataFrame:
 
 def reinforcing(field_name: Column, raw: Column, value: Column, said: Column) -> Column:
     """Whether evidence elaborates the field without contradicting it."""
-    ocr = strip(parse.first_of(raw, value))
-    l, r = parse.alcohol(ocr), parse.alcohol(said)  # noqa: E741
-    proof = (l["source"] == "proof") & r["source"].isin("abv", "both")
-    abv = F.when(proof, ~F.coalesce(F.abs(r["proof"] - l["proof"]) > 0.6, F.lit(False)) & (F.abs(r["abv"] - l["proof"] / 2) <= 0.6)).otherwise(F.abs(l["abv"] - r["abv"]) <= 0.5)
-    ml = F.abs(F.coalesce(parse.application_net_ml(ocr), parse.application_net_ml(value)) - parse.application_net_ml(said)) <= 0.5
-    told = F.when(field_name == "alcohol_content", abv).when(field_name == "net_contents", ml).otherwise(candidates_agree(ocr, said))
-    return F.coalesce((ocr != "") & (said != "") & told, F.lit(False))
-
-
-def conflicting(field_name: Column, raw: Column, value: Column, said: Column) -> Column:
-    l, r = parse.alcohol(parse.first_of(raw, value)), parse.alcohol(said)  # noqa: E741
-    ml = F.abs(parse.application_net_ml(parse.first_of(value, raw)) - parse.application_net_ml(said)) > 0.5
-    text = comparison_normalize(parse.first_of(raw, value)).isNotNull() & comparison_normalize(said).isNotNull() & ~candidates_agree(parse.first_of(raw, value), said)
-    told = F.when(field_name == "alcohol_content", F.abs(l["abv"] - r["abv"]) > 0.5).when(field_name == "net_contents", ml).otherwise(text)
-    return ~reinforcing(field_name, raw, value, said) & F.coalesce(told, F.lit(False))
-
-
-def evidence_problem(field_name: Column, candidate: Column, observed: Column, confidence: Column, unable: Column) -> Column:
-    """Why evidence is rejected; null if it is usable."""
-    text = strip(F.coalesce(parse.first_of(candidate, observed), F.lit("")))
-    a = parse.alcohol(text)
-    return (
-        F.when(F.coalesce(unable, F.lit(False)), "unable_to_determine")
-        .when(parse.first_of(candidate, observed).isNull(), "empty_candidate")
-        .when(confidence == "LOW", "low_confidence")
-        .when(text == "", "empty_text")
-        .when((field_name == "alcohol_content") & (a["abv"].isNull() | (a["source"] == "proof")), "abv_unparseable")
-        .when((field_name == "net_contents") & parse.net(text).isNull(), "net_contents_unparseable")
-    )
-
-
-def merge_evidence(fields: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Fields after one round of evidence (item_id, field_name, candidate_value, raw_observed_text, confidence, unable_to_determine).
-
-    One row per field and, for evidence on fields that an item lacks, one
-    rejected row.  Several answers on one field are merged round by round by the
-    caller, in their order.
-    """
-    j = fields.select(*KEYS, *VALUES, F.lit(True).alias("known")).join(evidence, KEYS, "full")
-    said = strip(F.coalesce(parse.first_of(F.col("candidate_value"), F.col("raw_observed_text")), F.lit("")))
-    name, raw, value = F.col("field_name"), F.col("raw_text"), F.col("normalized_value")
-    bad = evidence_problem(name, F.col("candidate_value"), F.col("raw_observed_text"), F.col("confidence"), F.col("unable_to_determine"))
-    agrees, differs = reinforcing(name, raw, value, said), conflicting(name, raw, value, said)
-    outcome = (
-        F.when(F.col("confidence").isNull(), None)
-        .when(bad.isNotNull(), F.concat(F.lit("rejected:"), bad))
-        .when(F.col("known").isNull(), "rejected:unknown_field")
-        .when(F.col("status") == "FOUND", F.when(agrees, "supplemented").when(differs, "conflict").otherwise("kept_ocr"))
-        .when((F.col("status") == "UNCERTAIN") & nonempty(raw).isNotNull() & differs, "conflict")
-        .otherwise("filled")
-    )
-    j = j.withColumns({"said": said, "agrees": agrees, "outcome": outcome})
-    used = F.col("outcome").isin("supplemented", "filled")
-    a, n = parse.alcohol(F.col("said")), parse.net(F.col("said"))
-    text = F.when(name == "alcohol_content", parse.alcohol_display(a)).when(name == "net_contents", n["display"]).when(name == "government_warning", "GOVERNMENT WARNING").otherwise(prefer_agreeing(parse.first_of(value, raw), F.col("said")))
-    number = F.when(name == "alcohol_content", a["abv"]).when(name == "net_contents", n["value"])
-    unit = F.when(name == "alcohol_content", "%").when(name == "net_contents", n["unit"])
-    sure = (F.col("outcome") == "supplemented") | (F.col("confidence") == "HIGH") | ((F.col("confidence") == "MEDIUM") & F.col("agrees"))
-    kept = F.col("said")
-    raw_after = F.when(name.isin("brand_name", "class_type"), prefer_agreeing(raw, F.col("said"))).when((F.col("outcome") == "supplemented") & (name == "alcohol_content"), F.when(a["source"] == "abv", a["abv_span"]).otherwise(kept)).when((F.col("outcome") == "supplemented") & (name == "net_contents"), raw).otherwise(kept)
-    return j.select(
-        *KEYS,
-        F.when(F.col("outcome") == "conflict", "UNCERTAIN").when(used, F.when(sure, "FOUND").otherwise("UNCERTAIN")).otherwise(F.col("status")).alias("status"),
-        F.when(used, F.coalesce(raw_after, kept)).otherwise(raw).alias("raw_text"),
-        F.when(used, F.coalesce(text, kept)).otherwise(value).alias("normalized_value"),
-        F.when(used, F.coalesce(number, F.col("normalized_numeric"))).otherwise(F.col("normalized_numeric")).alias("normalized_numeric"),
-        F.when(used, F.coalesce(unit, F.col("normalized_unit"))).otherwise(F.col("normalized_unit")).alias("normalized_unit"),
-        "outcome",
-    )
+    return evidence.reinforces(field_name, *map(evidence.reading, (raw, value, said)))
 
 
 def eligible_reason(status: Column, reason: Column, underlying: Column, check_name: Column, extraction_status: Column) -> Column:

@@ -184,15 +184,17 @@ CONSIDERED = " (AI-assisted evidence was considered; status is deterministic.)"
 def annotate(checks: DataFrame, evidence: DataFrame) -> DataFrame:
     """Checks (item_id, check_name, explanation) with how their item's evidence came about.
 
-    ``evidence`` has one row per item: evidence_method, outcome, configured,
-    eligible, attempted, succeeded, failure_category, and merge_outcomes (a map
-    from the fields that it changed).  A check whose field it changed is marked as
-    assisted, and its explanation says so.  Items without a row stay unmarked.
+    ``evidence`` has one row per item, as ``evidence.assistance`` gives it: how evidence
+    came about, the fields that answers changed, and the last outcome of each field.  A check whose
+    field changed is marked as assisted and its explanation says so; fields whose answers were rejected or
+    left them as they were are not.  The brand's check takes the detail of its second look, where there is one.  Items without a row stay unmarked.
     """
     e = F.col("e")
-    changed = F.coalesce(F.map_contains_key(e["merge_outcomes"], field_of(F.col("check_name"))), F.lit(False))
+    name = field_of(F.col("check_name"))
+    changed = F.coalesce(F.array_contains(e["fields_updated"], name), F.lit(False))
     failed = F.coalesce(e["attempted"] & ~e["succeeded"] & (e["failure_category"] != ""), F.lit(False))
     joined = checks.join(evidence.select("item_id", F.struct(*(c for c in evidence.columns if c != "item_id")).alias("e")), "item_id", "left")
+    detail = {"brand_escalation": F.when(F.col("check_name") == CHECKS[0], e["brand_escalation"])} if "brand_escalation" in evidence.columns else {}
     return joined.withColumns(
         {
             "evidence_method": e["evidence_method"],
@@ -200,10 +202,11 @@ def annotate(checks: DataFrame, evidence: DataFrame) -> DataFrame:
             "ai_configured": e["configured"],
             "ai_eligible_for_review": e["eligible"],
             "ai_assisted_evidence": F.when(changed, True),
-            "ai_merge_outcome": F.when(changed, e["merge_outcomes"][field_of(F.col("check_name"))]),
+            "ai_merge_outcome": F.when(changed, e["merge_outcomes"][name]),
             "ai_attempted_but_unavailable": F.when(failed, True),
             "ai_failure_category": F.when(failed, e["failure_category"]),
             "explanation": F.concat("explanation", F.when(changed, CONSIDERED).otherwise("")),
+            **detail,
         }
     ).drop("e")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proofmark.config import CHECKS, FIELDS, SKIP_LINE, WEAK_STANDALONE
 from proofmark.functions import parse, similarity, text
-from proofmark.operators import evaluate, exports, extract, images, manifest, reconcile, rules, summary
+from proofmark.operators import evaluate, evidence, exports, extract, images, manifest, reconcile, rules, summary
 from proofmark.plans import oracle as o
 from proofmark.plans.labels import labels
 from proofmark.plans.registry import ORACLES, QUERIES, register
@@ -292,7 +292,7 @@ def _application():
 
 # Filters and images.
 over("fil_05_image_gate", "CASE WHEN size = 1 THEN 'empty_file' WHEN size > 49 THEN 'file_too_large' WHEN size % 5 = 0 THEN 'pdf_not_supported' WHEN size % 7 = 0 THEN 'corrupt_image' WHEN size * 20 < 100 THEN 'image_too_small' END AS code", lambda: images.gate(F.when(c("size") == 1, 0).otherwise(c("size") * 320_000), F.when(c("size") % 5 == 0, "PDF").otherwise("JPEG"), F.when(c("size") % 7 != 0, "jpeg"), c("size") * 20, F.lit(500)).alias("code"))
-over("fil_06_evidence_problem", f"CASE WHEN item_id % 13 = 0 THEN 'unable_to_determine' WHEN item_id % 5 = 0 THEN 'low_confidence' WHEN {o.source('abv_line')} IS NULL OR {o.source('abv_line')} = 'proof' THEN 'abv_unparseable' END AS code", lambda: reconcile.evidence_problem(F.lit("alcohol_content"), c("abv_line"), F.lit(None).cast("string"), F.when(c("item_id") % 5 == 0, "LOW").otherwise("HIGH"), c("item_id") % 13 == 0).alias("code"))
+over("fil_06_evidence_problem", f"CASE WHEN item_id % 13 = 0 THEN 'unable_to_determine' WHEN item_id % 5 = 0 THEN 'low_confidence' WHEN {o.source('abv_line')} IS NULL OR {o.source('abv_line')} = 'proof' THEN 'abv_unparseable' END AS code", lambda: evidence.problem(F.lit("alcohol_content"), c("abv_line"), F.lit(None).cast("string"), F.when(c("item_id") % 5 == 0, "LOW").otherwise("HIGH"), c("item_id") % 13 == 0).alias("code"))
 over("fil_07_application", "length(app_brand) <= 200 AND item_id % 3 <> 0 AS ok", lambda: manifest.application_ok({"brand_name": c("app_brand"), "class_type": F.when(c("item_id") % 3 == 0, "  ").otherwise("x"), "alcohol_content": c("app_abv"), "net_contents": c("app_net")}).alias("ok"))
 over("src_07_sniff", "CASE item_id % 5 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG' WHEN 2 THEN 'WEBP' WHEN 3 THEN 'PDF' ELSE 'UNKNOWN' END AS k, CASE item_id % 5 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' END AS accepted", lambda: images.sniff(_bytes()).alias("k"), lambda: images.accepted(images.sniff(_bytes())).alias("accepted"))
 over("img_05_deskew", "CASE WHEN size * 10 < 200 THEN 'skip_few_edges' WHEN abs(item_id % 30 - 15) < 0.5 THEN 'skip_straight' WHEN abs(item_id % 30 - 15) > 12 THEN 'skip_implausible' ELSE 'rotate' END AS k", lambda: images.deskew(c("size") * 10, c("item_id") % 30 - 15).alias("k"))
@@ -518,7 +518,7 @@ MERGED = f"CASE WHEN item_id % 4 = 1 THEN NULL WHEN item_id % 17 = 0 THEN 'rejec
 @register("rec_07_merge_evidence", f"{L}, m AS (SELECT *, {MERGED} AS outcome FROM l) SELECT item_id, outcome, CASE outcome WHEN 'conflict' THEN 'UNCERTAIN' WHEN 'supplemented' THEN 'FOUND' WHEN 'filled' THEN CASE WHEN item_id % 3 = 0 THEN 'FOUND' ELSE 'UNCERTAIN' END ELSE CASE WHEN {o.source('abv_line')} IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END END AS status, CASE WHEN outcome IN ('supplemented', 'filled') THEN CAST({SAID} AS DOUBLE) ELSE {o.abv('abv_line')} END AS normalized_numeric FROM m")
 def _(spark, sf_dir):
     fields_ = two_passes(spark, sf_dir)[0].where("field_name = 'alcohol_content'")
-    return reconcile.merge_evidence(fields_, evidence_rows(spark, sf_dir)).select("item_id", "outcome", "status", "normalized_numeric")
+    return evidence.merge(fields_, evidence_rows(spark, sf_dir)).select("item_id", "outcome", "status", "normalized_numeric")
 
 
 over("rec_09_reinforcing", f"coalesce({NEAR_ABV}, false) AS ok", lambda: reconcile.reinforcing(F.lit("alcohol_content"), c("abv_line"), F.lit(None).cast("string"), F.concat(F.when(c("item_id") % 5 == 0, c("size") + 3).otherwise(c("size")).cast("string"), F.lit("% Alc./Vol."))).alias("ok"))
@@ -549,13 +549,18 @@ QUERIES["snk_08_flattened"] = lambda s, d: exports.flattened(labels(s, d).select
 over("txt_general_format", f"{o.g('size / 8.0::DOUBLE')} AS a, printf('%.1f', size / 4.0::DOUBLE) AS b", lambda: text.general(c("size") / 8.0).alias("a"), lambda: text.fixed(c("size") / 4.0).alias("b"))
 
 
-@register("rul_13_annotated", f"""{L}, k AS (SELECT item_id, unnest({o.array(CHECKS)}) AS check_name FROM l), m AS (SELECT *, item_id % 4 <> 0 AND item_id % 2 = 1 AND check_name = 'Net Contents' AS hit, item_id % 4 <> 0 AND item_id % 3 = 0 AS bad FROM k)
-SELECT item_id, check_name, CASE WHEN item_id % 4 <> 0 THEN 'ocr_only' END AS evidence_method, CASE WHEN hit THEN true END AS assisted, CASE WHEN hit THEN 'filled' END AS merged, CASE WHEN bad THEN 'timeout' END AS failure, 'why' || CASE WHEN hit THEN {q(rules.CONSIDERED)} ELSE '' END AS explanation FROM m""")
+@register("rul_13_annotated", f"""{L}, k AS (SELECT item_id, unnest({o.array(CHECKS)}) AS check_name FROM l), m AS (SELECT *, item_id % 4 <> 0 AS told, item_id % 4 <> 0 AND item_id % 2 = 1 AND check_name = 'Net Contents' AS hit, item_id % 4 <> 0 AND item_id % 3 = 0 AS bad FROM k)
+SELECT item_id, check_name, CASE WHEN told THEN 'ocr_only' END AS evidence_method, CASE WHEN told THEN 'no_usable_evidence' END AS outcome, CASE WHEN told THEN true END AS configured, CASE WHEN told THEN item_id % 5 = 0 END AS eligible, CASE WHEN hit THEN true END AS assisted, CASE WHEN hit THEN 'filled' END AS merged,
+ CASE WHEN bad THEN true END AS unavailable, CASE WHEN bad THEN 'timeout' END AS failure, 'why' || CASE WHEN hit THEN {q(rules.CONSIDERED)} ELSE '' END AS explanation, CASE WHEN told AND check_name = 'Brand Name' THEN 'region_' || item_id END AS brand_escalation FROM m""")
 def _(spark, sf_dir):
     n = c("item_id")
     made = rules.stub(labels(spark, sf_dir).select("item_id")).withColumn("explanation", F.lit("why"))
-    told = labels(spark, sf_dir).where("item_id % 4 <> 0").select("item_id", F.lit("ocr_only").alias("evidence_method"), F.lit("kept_ocr").alias("outcome"), F.lit(True).alias("configured"), F.lit(True).alias("eligible"), F.lit(True).alias("attempted"), (n % 3 != 0).alias("succeeded"), F.lit("timeout").alias("failure_category"), F.when(n % 2 == 1, F.create_map(F.lit("net_contents"), F.lit("filled"))).otherwise(F.create_map().cast("map<string,string>")).alias("merge_outcomes"))
-    return rules.annotate(made, told).select("item_id", "check_name", "evidence_method", c("ai_assisted_evidence").alias("assisted"), c("ai_merge_outcome").alias("merged"), c("ai_failure_category").alias("failure"), "explanation")
+    # Answers on the brand were rejected, or left it as it was: they mark nothing.
+    changed = F.when(n % 2 == 1, F.array(F.lit("net_contents"))).otherwise(F.array().cast("array<string>"))
+    outcomes = F.create_map(F.lit("net_contents"), F.lit("filled"), F.lit("brand_name"), F.when(n % 3 == 0, "kept_ocr").otherwise("rejected:low_confidence"))
+    told = labels(spark, sf_dir).where("item_id % 4 <> 0").select("item_id", F.lit("ocr_only").alias("evidence_method"), F.lit("no_usable_evidence").alias("outcome"), F.lit(True).alias("configured"), (n % 5 == 0).alias("eligible"), F.lit(True).alias("attempted"), (n % 3 != 0).alias("succeeded"), F.lit("timeout").alias("failure_category"), changed.alias("fields_updated"), outcomes.alias("merge_outcomes"), F.concat(F.lit("region_"), n).alias("brand_escalation"))
+    marks = {"ai_assist_outcome": "outcome", "ai_configured": "configured", "ai_eligible_for_review": "eligible", "ai_assisted_evidence": "assisted", "ai_merge_outcome": "merged", "ai_attempted_but_unavailable": "unavailable", "ai_failure_category": "failure"}
+    return rules.annotate(made, told).select("item_id", "check_name", "evidence_method", *(c(k).alias(v) for k, v in marks.items()), "explanation", "brand_escalation")
 
 
 @register("rec_14_scripted", f"""{L}, r AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN ['brand_name', 'net_contents'] WHEN 1 THEN ['net_contents'] ELSE ['class_type'] END AS fs FROM l), s AS (SELECT * FROM (VALUES ('brand_name', 'A'), ('net_contents', 'B'), ('net_contents', 'C')) v(field_name, candidate_value))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmark.config import EXPORT_COLUMNS
-from proofmark.operators import exports, extract, reconcile, rules, summary
+from proofmark.operators import evidence, exports, extract, reconcile, rules, summary
 from proofmark.operators.stages import Stages
 from proofmark.plans import oracle as o
 from proofmark.plans import whole
@@ -82,3 +82,85 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     base = labels(spark, sf_dir).select("item_id", "filename", F.lit("COMPLETED").alias("processing_state"), c("app_brand").alias("brand_name"), c("app_class").alias("class_type"), c("app_abv").alias("alcohol_content"), c("app_net").alias("net_contents"), F.lit(False).alias("ai_assisted"), (c("size") * 1.5).cast("double").alias("processing_time_ms"), none.alias("error_code"), none.alias("error_message"))
     return exports.batch_rows(base.join(per, "item_id"), done).select("item_id", exports.csv_line([c(x) for x in EXPORT_COLUMNS]).alias("line"))
+
+
+# Up to three answers on the alcohol content of each record, some of them no use.
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = c("item_id"), c("at")
+    abv = lambda x: F.concat(x.cast("string"), F.lit("% Alc./Vol."))
+    kind = (n + k) % 5
+    said = F.when(kind == 0, abv(c("size") + 3)).when(kind == 1, F.concat(c("size").cast("string"), F.lit("% ABV"))).when(kind == 2, F.concat((2 * c("size")).cast("string"), F.lit(" Proof"))).when(kind == 3, F.concat(F.lit(" "), abv(c("size")), F.lit(" ("), (2 * c("size")).cast("string"), F.lit(" PROOF)")))
+    sure = F.when((n + 2 * k) % 4 == 1, "MEDIUM").when((n + 2 * k) % 4 == 2, "LOW").otherwise("HIGH")
+    each = labels(spark, sf_dir).where("item_id % 4 > 0").select("item_id", "size", F.explode(F.sequence(F.lit(1), (n % 4).cast("int"))).alias("at"))
+    return each.select("item_id", F.lit("alcohol_content").alias("field_name"), "at", said.alias("candidate_value"), F.when(kind == 4, " ").alias("raw_observed_text"), sure.alias("confidence"), ((n + k) % 17 == 0).alias("unable_to_determine"))
+
+
+def _added(seen: str, text: str) -> str:
+    return f"CASE WHEN list_contains({seen}, {text}) THEN {seen} ELSE list_append({seen}, {text}) END"
+
+
+def _answer(table: str, k: int) -> str:
+    """The state of each field (status, raw, value, number, source, why, outcomes) after its k-th answer, from the state before."""
+    kind = f"(item_id + {k}) % 5"
+    said = f"CASE {kind} WHEN 0 THEN (size + 3) || '% Alc./Vol.' WHEN 1 THEN size || '% ABV' WHEN 2 THEN (2 * size) || ' Proof' WHEN 3 THEN size || '% Alc./Vol. (' || (2 * size) || ' PROOF)' ELSE '' END"
+    sure = f"CASE (item_id + {2 * k}) % 4 WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'HIGH' END"
+    one = f"SELECT *, {said} AS said, {sure} AS sure, coalesce(nullif(raw, ''), value) AS ocr FROM {table}"
+    two = f"SELECT *, {o.abv('said')} AS x, {o.proof('said')} AS xp, {o.source('said')} AS xs, {o.abv('ocr')} AS y, {o.proof('ocr')} AS yp, {o.source('ocr')} AS ys FROM ({one})"
+    near = "coalesce(trim(ocr) <> '' AND said <> '' AND CASE WHEN ys = 'proof' AND xs IN ('abv', 'both') THEN NOT coalesce(abs(xp - yp) > 0.6, false) AND abs(x - yp / 2) <= 0.6 ELSE abs(y - x) <= 0.5 END, false)"
+    bad = f"CASE WHEN (item_id + {k}) % 17 = 0 THEN 'unable_to_determine' WHEN sure = 'LOW' THEN 'low_confidence' WHEN said = '' THEN 'empty_text' WHEN x IS NULL OR xs = 'proof' THEN 'abv_unparseable' END"
+    three = f"SELECT *, {near} AS near, coalesce(abs(y - x) > 0.5, false) AS far, {bad} AS bad FROM ({two})"
+    outcome = "CASE WHEN bad IS NOT NULL THEN 'rejected:' || bad WHEN status = 'FOUND' THEN CASE WHEN near THEN 'supplemented' WHEN far THEN 'conflict' ELSE 'kept_ocr' END WHEN status = 'UNCERTAIN' AND coalesce(raw, '') <> '' AND far AND NOT near THEN 'conflict' ELSE 'filled' END"
+    four = f"SELECT *, CASE WHEN item_id % 4 >= {k} THEN {outcome} END AS oc FROM ({three})"
+    used = "oc IN ('supplemented', 'filled')"
+    return f"""SELECT item_id, size, batch_id, quality, CASE WHEN oc = 'conflict' THEN 'UNCERTAIN' WHEN oc = 'supplemented' THEN 'FOUND' WHEN oc = 'filled' THEN CASE WHEN sure = 'HIGH' OR sure = 'MEDIUM' AND near THEN 'FOUND' ELSE 'UNCERTAIN' END ELSE status END AS status,
+  CASE WHEN oc = 'supplemented' AND xs = 'abv' THEN {o.abv_span('said')} WHEN {used} THEN said ELSE raw END AS raw, CASE WHEN {used} THEN {o.abv_display('said')} ELSE value END AS value, CASE WHEN {used} THEN x ELSE number END AS number, CASE WHEN {used} THEN xs ELSE source END AS source,
+  CASE WHEN oc = 'conflict' THEN 'CONFLICTING_EVIDENCE' ELSE why END AS why, CASE WHEN oc IS NULL THEN outcomes ELSE list_append(outcomes, oc) END AS outcomes, CASE WHEN {used} OR oc = 'conflict' THEN {_added(_added("seen", "coalesce(raw, '')"), "said")} ELSE seen END AS seen FROM ({four})"""
+
+
+STEPS = f"""s0 AS (SELECT f.item_id, size, batch_id, quality, status, raw_text AS raw, normalized_value AS value, normalized_numeric AS number, source, reason AS why, CAST([] AS VARCHAR[]) AS outcomes, CAST(candidates AS VARCHAR[]) AS seen FROM f JOIN l USING (item_id) WHERE field_at = 2),
+s1 AS ({_answer("s0", 1)}), s2 AS ({_answer("s1", 2)}), s3 AS ({_answer("s2", 3)})"""
+
+
+def alcohol_fields(spark: SparkSession, sf_dir: str, run: Stages) -> DataFrame:
+    return run.store("fields", extract.fields(records(spark, sf_dir)), keep=True).where("field_name = 'alcohol_content'")
+
+
+@register("joi_08_answers", f"{whole.FIELDS_SQL}, {STEPS} SELECT item_id, 'alcohol_content' AS field_name, status, raw AS raw_text, value AS normalized_value, number AS normalized_numeric, source, why AS reason, array_to_string(outcomes, ';') AS outcomes, outcomes[-1] AS outcome, coalesce(len(list_filter(outcomes, lambda x: x IN ('supplemented', 'filled', 'conflict'))) > 0, false) AS updated, array_to_string(seen, '|') AS candidates FROM s3")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = evidence.merge(alcohol_fields(spark, sf_dir, Stages(spark)), answers(spark, sf_dir))
+    return merged.select("item_id", "field_name", "status", "raw_text", "normalized_value", "normalized_numeric", "source", "reason", F.array_join("outcomes", ";").alias("outcomes"), "outcome", "updated", F.array_join("candidates", "|").alias("candidates"))
+
+
+# From evidence to annotated checks: rules, requests, answers of a provider that is away, silent or broken for some items, and rules again.
+AWAY, BROKEN, SILENT = 7, 13, 11
+POOR = "quality IN ('WARNING', 'POOR')"
+EV = "concat_ws(' ', nullif(raw, ''), nullif(value, ''))"
+AGAIN_REASON = f"""CASE WHEN status = 'UNCERTAIN' THEN CASE WHEN why = 'CONFLICTING_EVIDENCE' THEN why WHEN {POOR} THEN 'OCR_LOW_QUALITY' ELSE 'EXTRACTION_UNCERTAIN' END WHEN status = 'NOT_FOUND' THEN CASE WHEN {POOR} THEN 'OCR_LOW_QUALITY' ELSE 'EXTRACTION_NOT_FOUND' END
+  WHEN {o.authorized(EV)} THEN 'ABV_MATCH' WHEN source = 'proof' OR {o.source(EV)} = 'proof' THEN 'PROOF_ONLY_NO_PERCENT_STATEMENT' ELSE 'ABV_FORMAT_REVIEW' END"""
+ASSISTED = f"""{whole.checks(False)}, {STEPS},
+i AS (SELECT item_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'PASS' END AS before, bool_or(status = 'REVIEW' AND reason_code NOT IN {tuple(reconcile.HUMAN_ONLY_REASONS)} AND (eligible OR reason_code = 'OCR_LOW_QUALITY') AND {WHY} IS NOT NULL) AS may FROM k GROUP BY 1),
+j AS (SELECT item_id, before, before = 'REVIEW' AND may AS el FROM i), ok AS (SELECT item_id FROM j WHERE el AND item_id % {AWAY} > 0 AND item_id % {BROKEN} > 0 AND item_id % {SILENT} > 0),
+z AS (SELECT * FROM s3 SEMI JOIN ok USING (item_id)), y AS (SELECT item_id, outcomes[-1] AS last, len(list_filter(outcomes, lambda x: x IN ('supplemented', 'filled', 'conflict'))) > 0 AS changed, {AGAIN_REASON} AS again FROM z),
+w AS (SELECT j.*, coalesce(changed, false) AS changed, last, again, CASE WHEN item_id % 3 = 0 THEN 'ocr_plus_enhanced' ELSE 'ocr_only' END AS method,
+  CASE WHEN el AND item_id % {AWAY} = 0 THEN 'provider_unavailable' WHEN el AND item_id % {BROKEN} = 0 THEN 'provider_exception' WHEN el AND item_id % {SILENT} = 0 THEN 'provider_not_called' WHEN el AND changed THEN 'evidence_merged' WHEN el THEN 'no_usable_evidence' WHEN before = 'REVIEW' THEN 'not_eligible' ELSE 'not_needed_' || lower(before) END AS outcome FROM j LEFT JOIN y USING (item_id))
+SELECT item_id, check_name, CASE WHEN field_at = 2 AND changed THEN CASE WHEN again = 'ABV_MATCH' THEN 'PASS' ELSE 'REVIEW' END ELSE status END AS status, CASE WHEN field_at = 2 AND changed THEN again ELSE reason_code END AS reason_code, outcome, el AS eligible,
+  CASE outcome WHEN 'evidence_merged' THEN CASE WHEN last = 'conflict' THEN 'ocr_plus_ai_conflict' ELSE 'ocr_plus_ai' END WHEN 'no_usable_evidence' THEN method || '_ai_rejected' WHEN 'provider_exception' THEN method || '_ai_failed' WHEN 'provider_unavailable' THEN method || '_ai_unavailable' WHEN 'provider_not_called' THEN method || '_ai_unavailable' ELSE method END AS evidence_method,
+  CASE WHEN field_at = 2 AND changed THEN true END AS assisted, CASE WHEN field_at = 2 AND changed THEN last END AS merged, CASE WHEN el AND outcome <> 'evidence_merged' THEN CASE outcome WHEN 'provider_not_called' THEN 'not_called' ELSE outcome END END AS failure, 'why' || CASE WHEN field_at = 2 AND changed THEN {q(rules.CONSIDERED)} ELSE '' END AS explanation
+FROM k JOIN w USING (item_id)"""
+
+
+@register("rul_13_assisted", ASSISTED)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = c("item_id")
+    run = Stages(spark)
+    before = run.store("checks", checks(spark, sf_dir, run, comparison=False), keep=True)
+    asked = reconcile.requests(before).select("item_id", F.lit(True).alias("eligible"))
+    overall = before.groupBy("item_id").agg(rules.worst(F.collect_set("status")).alias("status_before"))
+    items = run.store("items", overall.join(asked, "item_id", "left").select("item_id", "status_before", "eligible", F.lit(True).alias("configured"), (n % AWAY > 0).alias("available"), (n % BROKEN == 0).alias("raised"), (n % SILENT > 0).alias("called"), F.lit(True).alias("answered"), F.when(n % 3 == 0, "ocr_plus_enhanced").otherwise("ocr_only").alias("method")), keep=True)
+    reached = items.where("eligible and available and called and not raised").select("item_id")
+    fields = spark.read.parquet(run.path("fields"))
+    merged = run.store("merged", evidence.merge(fields.select(*evidence.KEYS, *reconcile.VALUES), answers(spark, sf_dir).join(reached, "item_id", "left_semi")), keep=True)
+    known = merged.where("status is not null").join(fields.select(*evidence.KEYS, "field_at", "quality"), evidence.KEYS)
+    after = rules.run(known.select("item_id", "field_at", "field_name", "quality", F.lit(None).cast("string").alias("app_value"), *reconcile.VALUES), rules.rules_of(False)).withColumn("explanation", F.lit("why"))
+    marks = {"ai_assist_outcome": "outcome", "ai_eligible_for_review": "eligible", "ai_assisted_evidence": "assisted", "ai_merge_outcome": "merged", "ai_failure_category": "failure"}
+    return rules.annotate(after, evidence.assistance(items, merged)).select("item_id", "check_name", "status", "reason_code", "evidence_method", *(c(k).alias(v) for k, v in marks.items()), "explanation")
