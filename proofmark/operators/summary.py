@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofmark.operators.ranks import nearest_rank  # noqa: F401  part of what batches are summed up by
 from proofmark.operators.rules import worst
 
 
@@ -33,21 +34,6 @@ def median(c: str) -> Column:
     return F.percentile(c, 0.5)
 
 
-def nearest_rank(df: DataFrame, value: str, share: float, *keys: str) -> DataFrame:
-    """The value at place round(share * (n - 1)), halves to even, per key: no interpolation.
-
-    Equal values are counted first, and the place is found among running counts
-    of distinct values, so a large group is never gathered into one list.
-    """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(*keys)
-    place = F.bround(F.lit(share) * (F.sum("n").over(by) - 1), 0).cast("long")
-    upto = F.sum("n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumns({"place": place, "upto": upto}).where("upto > place").groupBy(*keys).agg(F.min(value).alias("p"))
-
-
 def attention(c_state: Column, c_status: Column) -> Column:
     """Order of urgency: errors, failures, reviews, the rest."""
     return F.when(c_state == "ERROR", 0).when(c_status == "FAIL", 1).when(c_status == "REVIEW", 2).otherwise(3)
