@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmark.config import EXPORT_COLUMNS
-from proofmark.operators import evidence, exports, extract, reconcile, rules, summary
+from proofmark.operators import diagnose, evidence, exports, extract, reconcile, rules, summary
 from proofmark.operators.stages import Stages
 from proofmark.plans import oracle as o
 from proofmark.plans import whole
 from proofmark.plans.labels import labels
-from proofmark.plans.queries import records
+from proofmark.plans.queries import records, two_passes
 from proofmark.plans.registry import register
 
 c, q = F.col, o.q
@@ -164,3 +164,37 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = rules.run(known.select("item_id", "field_at", "field_name", "quality", F.lit(None).cast("string").alias("app_value"), *reconcile.VALUES), rules.rules_of(False)).withColumn("explanation", F.lit("why"))
     marks = {"ai_assist_outcome": "outcome", "ai_eligible_for_review": "eligible", "ai_assisted_evidence": "assisted", "ai_merge_outcome": "merged", "ai_failure_category": "failure"}
     return rules.annotate(after, evidence.assistance(items, merged)).select("item_id", "check_name", "status", "reason_code", "evidence_method", *(c(k).alias(v) for k, v in marks.items()), "explanation")
+
+
+# Where values go: two passes, what was made of them, answers, and the rule, for alcohol statements.
+def alcohol_stages(spark: SparkSession, sf_dir: str, run: Stages) -> tuple[dict[str, DataFrame], DataFrame]:
+    fast, enhanced = (df.where("field_name = 'alcohol_content'") for df in two_passes(spark, sf_dir))
+    fast = run.store("fast", fast, keep=True)
+    # The second look runs for two records of three, and reads nothing in one of seven.
+    second = enhanced.where("item_id % 3 < 2").withColumns({"status": F.when(c("item_id") % 7 == 0, "NOT_FOUND").otherwise(c("status")), "raw_text": F.when(c("item_id") % 7 != 0, c("raw_text")), "normalized_value": F.when(c("item_id") % 7 != 0, c("normalized_value"))})
+    second = run.store("enhanced", second, keep=True)
+    reconciled = run.store("reconciled", reconcile.merge_passes(fast, second), keep=True)
+    answered = run.store("answered", evidence.merge(reconciled, answers(spark, sf_dir)), keep=True)
+    judged = rules.run(answered.join(labels(spark, sf_dir).select("item_id", "quality"), "item_id").select(*evidence.KEYS, "quality", F.lit(None).cast("string").alias("app_value"), *reconcile.VALUES), rules.rules_of(False))
+    checks_ = judged.select("item_id", rules.field_of(c("check_name")).alias("field_name"), "status", "reason_code")
+    return {"fast": fast, "enhanced": second, "reconciled": reconciled, "answered": answered}, checks_
+
+
+_SECOND = "CASE WHEN item_id % 3 = 0 THEN (size + 1) || '% ABV' ELSE abv_line END"
+_MERGED = f"item_id % 3 < 2 AND item_id % 7 > 0 AND {o.source('abv_line')} IS NOT NULL AND {o.source(_SECOND)} IS NOT NULL AND abs({o.abv('abv_line')} - {o.abv(_SECOND)}) > 1e-6"
+LOSS_STATES = f"""s0 AS (SELECT item_id, size, batch_id, quality, CASE WHEN {o.source('abv_line')} IS NULL THEN 'NOT_FOUND' WHEN {_MERGED} THEN 'UNCERTAIN' ELSE 'FOUND' END AS status, CASE WHEN {o.source('abv_line')} IS NOT NULL THEN abv_line END AS raw, {o.abv_display('abv_line')} AS value, {o.abv('abv_line')} AS number, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS why, CAST([] AS VARCHAR[]) AS outcomes, CAST([] AS VARCHAR[]) AS seen FROM l),
+s1 AS ({_answer("s0", 1)}), s2 AS ({_answer("s1", 2)}), s3 AS ({_answer("s2", 3)}),
+ru AS (SELECT item_id, status AS last_status, CASE WHEN status = 'FOUND' AND {o.authorized(EV)} THEN 'PASS' ELSE 'REVIEW' END AS rule_status, {AGAIN_REASON} AS rule_reason FROM s3),
+st AS (SELECT item_id, 0 AS place, 'fast' AS stage, {o.abv_display('abv_line')} AS v FROM l UNION ALL SELECT item_id, 1, 'enhanced', CASE WHEN item_id % 7 > 0 THEN {o.abv_display(_SECOND)} END FROM l WHERE item_id % 3 < 2 UNION ALL SELECT item_id, 2, 'reconciled', value FROM s0 UNION ALL SELECT item_id, 3, 'answered', value FROM s3),
+sw AS (SELECT *, lag(v) OVER w AS before, row_number() OVER w AS n, last_value(v IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM st WINDOW w AS (PARTITION BY item_id ORDER BY place)),
+sl AS (SELECT item_id, min(place) FILTER (v IS NULL AND before IS NOT NULL) AS gone FROM sw GROUP BY 1),
+so AS (SELECT item_id, arg_min(stage, place) FILTER (v IS NOT NULL) AS first_at, arg_min(stage, place) FILTER (place = gone) AS lost_at, arg_min(before, place) FILTER (place = gone) AS lost, arg_min(stage, place) FILTER (place > gone AND v IS NOT NULL AND before IS NULL) AS regained_at,
+  arg_min(stage, place) FILTER (lower(v) <> lower(known)) AS changed_at, arg_max(v, place) FILTER (v IS NOT NULL) AS last_shown, bool_or(place = 3 AND v IS NOT NULL) AS kept, bool_or(n = 1 AND v IS NOT NULL) AS early, string_agg(stage || ':' || coalesce(v, '-'), ' ' ORDER BY place) AS states FROM sw JOIN sl USING (item_id) GROUP BY 1)"""
+
+
+@register("svc_06_losses", f"""{o.L}, {LOSS_STATES} SELECT item_id, states, first_at, lost_at, lost, regained_at, changed_at, last_shown, last_status, rule_status, rule_reason,
+  CASE WHEN first_at IS NULL THEN 'never' WHEN NOT kept THEN 'lost' WHEN lost_at IS NOT NULL THEN 'regained' WHEN NOT early THEN 'late' WHEN changed_at IS NOT NULL THEN 'changed' ELSE 'kept' END AS outcome FROM so JOIN ru USING (item_id)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = diagnose.losses(*alcohol_stages(spark, sf_dir, Stages(spark)))
+    path = F.array_join(F.transform("states", lambda x: F.concat(x["stage"], F.lit(":"), F.when(x["held"], x["shown"]).otherwise("-"))), " ")
+    return lost.select("item_id", path.alias("states"), "first_at", "lost_at", "lost", "regained_at", "changed_at", "last_shown", "last_status", "rule_status", "rule_reason", "outcome")

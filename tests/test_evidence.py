@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from proofmark.operators import evidence, extract, reconcile, rules
+from proofmark.operators import diagnose, evidence, extract, reconcile, rules
 from proofmark.operators.stages import Stages
 
 R = random.Random(8)
@@ -271,3 +271,27 @@ def test_a_filter_stays_out_of_extraction(spark):
         fields = run.store("fields", extract.fields(lines))
         plan = fields.where("status = 'FOUND'")._jdf.queryExecution().optimizedPlan().toString()
         assert "lambda" not in plan and fields.where("status = 'FOUND'").count() == 9
+
+
+def test_losses_name_the_first_stage_that_lost_a_value(spark):
+    ddl = "item_id long, field_name string, status string, raw_text string, normalized_value string"
+    stage = lambda *rows: spark.createDataFrame([(i, "brand_name", *r) for i, *r in rows], ddl)
+    stages = {
+        "fast": stage((1, "FOUND", "A", "a"), (2, "FOUND", "A", "a"), (3, "NOT_FOUND", None, None), (4, "UNCERTAIN", "A", None), (5, "NOT_FOUND", "x", None), (6, "FOUND", " ", ""), (7, "FOUND", "A", "a")),
+        "region": stage((1, "FOUND", "A", "A"), (2, "NOT_FOUND", None, None), (4, "FOUND", "B", "b")),
+        "answered": stage((1, "FOUND", "A", "a"), (2, "FOUND", "A", "a"), (3, "FOUND", "C", None), (4, "NOT_FOUND", None, None), (5, "NOT_FOUND", None, None), (6, "NOT_FOUND", None, None)),
+    }
+    rules_ = spark.createDataFrame([(1, "brand_name", "PASS", "BRAND_MATCH")], "item_id long, field_name string, status string, reason_code string")
+    lost = diagnose.losses(stages, rules_)
+    got = {r.item_id: (r.first_at, r.lost_at, r.lost, r.regained_at, r.changed_at, r.last_shown, r.outcome, r.rule_reason) for r in lost.collect()}
+    assert got == {
+        1: ("fast", None, None, None, None, "a", "kept", "BRAND_MATCH"),
+        2: ("fast", "region", "a", "answered", None, "a", "regained", None),
+        3: ("answered", None, None, None, None, "C", "late", None),
+        4: ("fast", "answered", "b", None, "region", "b", "lost", None),
+        5: (None, None, None, None, None, None, "never", None),
+        6: (None, None, None, None, None, None, "never", None),
+        7: ("fast", None, None, None, None, "a", "kept", None),
+    }
+    assert {(r.outcome, r.lost_at): r.n for r in diagnose.by_stage(lost).collect()}[("kept", None)] == 2
+    assert [x.stage for x in lost.where("item_id = 3").first().states] == ["fast", "answered"]
