@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmark.config import EXPORT_COLUMNS
-from proofmark.operators import diagnose, evidence, exports, extract, reconcile, rules, summary
+from proofmark.operators import diagnose, evidence, exports, extract, jobs, reconcile, rules, summary
 from proofmark.operators.stages import Stages
 from proofmark.plans import oracle as o
 from proofmark.plans import whole
 from proofmark.plans.labels import labels
-from proofmark.plans.queries import records, two_passes
+from proofmark.plans.queries import ITEMS, items, records, two_passes
 from proofmark.plans.registry import register
+from proofmark.streaming import live
 
 c, q = F.col, o.q
 
@@ -198,3 +199,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = diagnose.losses(*alcohol_stages(spark, sf_dir, Stages(spark)))
     path = F.array_join(F.transform("states", lambda x: F.concat(x["stage"], F.lit(":"), F.when(x["held"], x["shown"]).otherwise("-"))), " ")
     return lost.select("item_id", path.alias("states"), "first_at", "lost_at", "lost", "regained_at", "changed_at", "last_shown", "last_status", "rule_status", "rule_reason", "outcome")
+
+
+# Live batches: three waves of events, each followed by a run that goes on from the checkpoint of the one before.
+BEGAN = 1_704_067_200
+_ENDS = "CASE item_id % 4 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'REVIEW' ELSE 'PASS' END"
+WAVES = (
+    (("queued", 0, "true"), ("queued", 0, "item_id % 5 = 0"), ("started", 120, "item_id % 3 < 2"), ("finished", 300, "item_id % 3 = 0")),
+    (("started", 180, "item_id % 3 = 2"), ("started", 120, "item_id % 3 = 0"), ("failed", 360, "item_id % 3 = 1")),
+    (("finished", 480, "item_id % 3 = 2 AND item_id % 10 > 0"), ("finished", 400, "item_id % 3 = 1"), ("queued", 12_000, "item_id = (SELECT max(item_id) FROM records)")),
+)
+
+
+@register("svc_01_lifecycle", f"""{o.L}, e AS (SELECT batch_id, item_id, item_id % 60 AS s FROM l), x AS (SELECT batch_id, item_id, 'QUEUED' AS state, {BEGAN} + s AS second, CAST(NULL AS VARCHAR) AS overall_status, CAST(NULL AS DOUBLE) AS processing_time_ms, CAST(NULL AS VARCHAR) AS error_code FROM e
+UNION ALL SELECT batch_id, item_id, 'PROCESSING', {BEGAN} + s + CASE WHEN item_id % 3 = 2 THEN 180 ELSE 120 END, NULL, NULL, NULL FROM e
+UNION ALL SELECT batch_id, item_id, CASE WHEN item_id % 3 = 1 OR item_id % 3 = 2 AND item_id % 10 = 0 THEN 'ERROR' ELSE 'COMPLETED' END, {BEGAN} + s + CASE WHEN item_id % 3 = 0 THEN 300 WHEN item_id % 3 = 1 THEN 360 WHEN item_id % 10 > 0 THEN 480 ELSE 180 + 1800 END, CASE WHEN item_id % 3 = 0 OR item_id % 3 = 2 AND item_id % 10 > 0 THEN {_ENDS} END,
+  CASE WHEN item_id % 3 = 2 AND item_id % 10 = 0 THEN NULL ELSE (item_id % 50)::DOUBLE END, CASE WHEN item_id % 3 = 1 THEN CASE WHEN item_id % 2 = 0 THEN 'ocr_unavailable' ELSE 'processing_exception' END WHEN item_id % 3 = 2 AND item_id % 10 = 0 THEN 'processing_timeout' END FROM e)
+SELECT batch_id, CAST(item_id AS VARCHAR) AS item_id, state, second, overall_status, processing_time_ms, error_code FROM x""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = Stages(spark)
+    labels(spark, sf_dir).select("item_id", "batch_id").createOrReplaceTempView("records")
+    for wave in WAVES:
+        # The last wave's one late event only moves the clock; its item was queued long ago.
+        each = " UNION ALL ".join(f"SELECT batch_id, CAST(item_id AS STRING) AS item_id, '{kind}' AS event, timestamp_seconds({BEGAN} + item_id % 60 + {after}) AS ts, CASE WHEN '{kind}' = 'finished' THEN {_ENDS} END AS overall_status, CASE WHEN '{kind}' IN ('finished', 'failed') THEN CAST(item_id % 50 AS DOUBLE) END AS processing_time_ms, CASE WHEN '{kind}' = 'failed' AND item_id % 2 = 0 THEN 'ocr_unavailable' END AS error_code FROM records WHERE {which}" for kind, after, which in wave)
+        spark.sql(each).write.mode("append").json(run.path("events"))
+        live.follow(live.moves(live.arrivals(spark, run.path("events"), 1000)), run.path("moves"), run.path("checkpoint")).awaitTermination()
+    return live.read(spark, run.path("moves")).select("batch_id", "item_id", "state", F.unix_seconds("at").alias("second"), "overall_status", "processing_time_ms", "error_code")
+
+
+@register("svc_02_timings", f"""{whole.checks(False)}, n AS (SELECT 0 AS place, 'fields' AS stage, count(*) AS n_rows, count(*) FILTER (status = 'FOUND')::DOUBLE AS hits FROM f UNION ALL SELECT 1, 'checks', count(*), count(*) FILTER (status = 'PASS')::DOUBLE FROM k
+UNION ALL SELECT 2, 'items', count(*), count(*) FILTER (s = 'REVIEW')::DOUBLE FROM (SELECT CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'PASS' END AS s FROM k GROUP BY item_id)) SELECT *, true AS timed FROM n""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lambda state: F.count_if(c("status") == state)
+    with Stages(spark) as run:
+        fields = run.store("fields", extract.fields(records(spark, sf_dir)), hits=found("FOUND"))
+        judged = run.store("checks", rules.run(fields.select("item_id", "field_at", "field_name", "quality", *reconcile.VALUES, F.lit(None).cast("string").alias("app_value")), rules.rules_of(False)), hits=found("PASS"))
+        run.store("items", summary.items(judged, "item_id"), hits=F.count_if(c("overall_status") == "REVIEW"))
+        return run.timings().select("place", "stage", "n_rows", c("metrics")["hits"].alias("hits"), (c("elapsed_ms") > 0).alias("timed"))
+
+
+# The store of batch jobs: one batch is put a second time, with the items that were not in error.
+@register("snk_11_jobs", f"WITH i AS ({ITEMS}) SELECT batch_id, CAST(item_id AS VARCHAR) AS item_id, filename, processing_state, overall_status, ai_assisted FROM i WHERE batch_id = '5-LOW' OR batch_id = '1-URGENT' AND processing_state <> 'ERROR'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = jobs.JobStore(spark, Stages(spark).path("jobs"))
+    columns = [field.strip().split(" ")[0] for field in jobs.ITEMS.split(",")]
+    every = items(spark, sf_dir)
+    rows = every.select(*(c(x) if x in every.columns else F.lit(None).alias(x) for x in columns)).selectExpr(*(f"CAST({f.strip().split(' ')[0]} AS {f.strip().split(' ')[1]}) AS {f.strip().split(' ')[0]}" for f in jobs.ITEMS.split(",")))
+    store.put(rows, files=4)
+    store.put(rows.where("batch_id = '1-URGENT' AND processing_state <> 'ERROR'"), files=4)
+    return store.get("1-URGENT", "5-LOW").select("batch_id", "item_id", "filename", "processing_state", "overall_status", "ai_assisted")
