@@ -1,4 +1,4 @@
-"""Values at a given place of an order, exactly, without ordering what is large.
+"""Places in an order, exactly, without ordering in one task what is large: values at a place, and rows with theirs.
 
 Where a key has few different values they are counted and ordered in one task.  Where it
 has many, the place is enclosed first: edges of ranges come from a sketch of the
@@ -108,3 +108,20 @@ def nearest_rank(df: DataFrame, value: str, share: float, *keys: str, most: int
     in_range = _joined(rows, ready, by).where(_within(F.col("v"), F.col("low"), F.col("high"))).select(*by, "v", "place")
     told = _direct(in_range, by).unionByName(found)
     return told.select(*(F.col(x).alias(k) for k, x in zip(keys, by)), "p")
+
+
+def numbered(df: DataFrame, name: str, *order: str, ranges: int | None = None) -> DataFrame:
+    """Rows with their place, from 1, in the order of the columns: rows are dealt into ranges and numbered within each.
+
+    The ranges are stored first, since their bounds come from a sample; what lies
+    before each range is a sum over one row per range.  Rows that are equal in all
+    columns of the order may take each other's place.
+    """
+    spark, run = df.sparkSession, Stages(df.sparkSession)
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = run.store("ranges", df.repartitionByRange(n, *order).withColumn("range__", F.spark_partition_id()), keep=True)
+    sizes = dealt.groupBy("range__").agg(F.count("*").alias("n__"))
+    before = sizes.withColumn("before__", F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))).drop("n__")
+    own = F.row_number().over(Window.partitionBy("range__").orderBy(*order))
+    placed = dealt.withColumn("own__", own).join(F.broadcast(before), "range__")  # one row per range
+    return placed.withColumn(name, (F.coalesce("before__", F.lit(0)) + F.col("own__")).cast("long")).drop("range__", "own__", "before__")

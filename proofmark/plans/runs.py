@@ -16,6 +16,7 @@ from proofmark.plans import whole
 from proofmark.plans.labels import labels
 from proofmark.plans.queries import ITEMS, items, records, two_passes
 from proofmark.plans.registry import register
+from proofmark.sources import readers
 from proofmark.streaming import live
 
 c, q = F.col, o.q
@@ -248,3 +249,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.put(rows, files=4)
     store.put(rows.where("batch_id = '1-URGENT' AND processing_state <> 'ERROR'"), files=4)
     return store.get("1-URGENT", "5-LOW").select("batch_id", "item_id", "filename", "processing_state", "overall_status", "ai_assisted")
+
+
+# Manifests in number: one file for each batch of label records, read at once.
+@register("src_01_manifests", f"{o.L} SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY item_id) + 1 AS row_number, trim(filename) AS filename, trim(brand_line) AS brand_name, app_class AS class_type, app_abv AS alcohol_content, '' AS net_contents, CAST(NULL AS VARCHAR) AS problem FROM l")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Stages(spark).path("manifests")
+    made = labels(spark, sf_dir).repartition("batch_id").sortWithinPartitions("batch_id", "item_id")
+    made.select("batch_id", c("filename").alias("Filename"), c("brand_line").alias(" brand_name "), c("app_class").alias("class_type"), F.concat(F.lit(" "), "app_abv").alias("ALCOHOL_CONTENT"), F.lit(" ").alias("net_contents")).write.partitionBy("batch_id").option("header", True).csv(path)
+    return readers.manifests(spark, f"{path}/*/*.csv").withColumn("batch_id", F.regexp_extract("path", "batch_id=([^/]+)/", 1)).drop("path")
