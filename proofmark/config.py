@@ -88,9 +88,30 @@ class Settings:
     max_dimension: int = 8000
 
     @classmethod
-    def from_env(cls) -> Settings:
-        given = {f.name: os.environ.get(f"PROOFMARK_{f.name.upper()}") for f in fields(cls)}
-        return cls(**{k: type(getattr(cls, k))(v) for k, v in given.items() if v is not None})
+    def from_env(cls, file: str | None = None) -> Settings:
+        """Settings from the environment and, for what it doesn't set, from a file of NAME=value lines."""
+        told = (dotenv(file) if file else {}) | dict(os.environ)
+        given = {f.name: told[name] for f in fields(cls) if (name := f"PROOFMARK_{f.name.upper()}") in told}
+        return cls(**{k: type(getattr(cls, k))(v) for k, v in given.items()})
+
+
+def dotenv(path: str) -> dict[str, str]:
+    """NAME=value lines of a file; names in any case.
+
+    Blank lines and comments are passed over, ``export`` and quotes around values are dropped, and so is
+    a comment behind an unquoted value.  A file that isn't there sets nothing.
+    """
+    if not os.path.exists(path):
+        return {}
+    found = {}
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            name, given, value = line.strip().removeprefix("export ").partition("=")
+            if given and name.strip() and not name.startswith("#"):
+                value = value.strip()
+                quoted = value[:1] in "\"'" and value.find(value[:1], 1) > 0 if value else False
+                found[name.strip().upper()] = value[1 : value.index(value[0], 1)] if quoted else value.split(" #", 1)[0].strip()
+    return found
 
 
 DEFAULT = Settings()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmark.config import CHECKS, EXPORT_COLUMNS
+from proofmark.config import CHECKS, EXPORT_COLUMNS, FIELDS
 from proofmark.functions.text import fixed, nonempty, squash
 
 
@@ -34,7 +34,10 @@ REPORT_COLUMNS = (
     "Filename", "Overall Status", "Brand", "Class / Type", "Alcohol Content", "Net Contents", "Brand Check", "Class / Type Check", "Alcohol Check",
     "Net Contents Check", "Warning Check", "AI Assisted", "Review Reason Codes", "Processing Time (ms)", "Error",
 )
-METADATA = ("Filename", "Verification mode", "Overall finding", "Processing time (ms)", "AI-assisted evidence", "Passed", "Needs review", "Failed")
+METADATA = ("Review ID", "Generated (UTC)", "Filename", "Verification mode", "Overall finding", "Processing time (ms)", "AI-assisted evidence", "Passed", "Needs review", "Failed")
+FIELD_LABELS = ("Brand Name", "Class / Type", "Alcohol Content", "Net Contents", "Government Warning")
+CHECK_COLUMNS = ("Check", "Status", "Detected Evidence", "Explanation", "Reason Code", "AI Assisted")
+SECTIONS = ("Review metadata", "Extracted label information", "Verification checks")
 
 
 def yes(c: Column) -> Column:
@@ -59,29 +62,40 @@ def summary_rows(counted: DataFrame, key: str = "batch_id") -> DataFrame:
     return counted.select(key, F.explode(rows).alias("x")).select(key, "x.*")
 
 
-def field_cell(field_name: Column, status: Column, raw: Column, value: Column) -> Column:
-    """What the single report shows for a field."""
+def field_cell(field_name: Column, status: Column, raw: Column, value: Column, explanation: Column) -> Column:
+    """What the single report shows for a field; a warning that isn't found shows its text, else why."""
     seen = F.when(nonempty(raw).isNotNull(), F.concat(F.lit("Detected — "), F.substring(raw, 1, 200))).otherwise("Detected")
-    warning = F.when(status == "FOUND", seen).otherwise(F.concat(status, F.lit(": "), F.coalesce(raw, F.lit(""))))
+    warning = F.when(status == "FOUND", seen).otherwise(F.concat(status, F.lit(": "), F.coalesce(nonempty(raw), nonempty(explanation), F.lit(""))))
     shown = F.when(field_name == "government_warning", warning).otherwise(F.coalesce(nonempty(raw), nonempty(value), status))
     return F.when(status.isNull(), "Not extracted").otherwise(shown)
 
 
 def single_rows(items: DataFrame, fields: DataFrame, checks: DataFrame) -> DataFrame:
-    """The single report's rows: item_id, ``section`` (metadata, fields, checks), place and cells.
-
-    ``items`` has filename, mode, the counts of ``summary.items``, ai_assisted and
-    processing_time_ms; ``fields`` is in long form with field_at; ``checks`` has
-    field_at, check_name, status, detected_value, explanation, reason_code and
-    ai_assisted_evidence.
+    """The single report of every item as rows: item_id, ``at`` (the place in the report), ``section`` and ``cells``.
+
+    ``items`` has review_id, generated (a timestamp), filename, mode, the counts of
+    ``summary.items``, ai_assisted and processing_time_ms; ``fields`` is in long form, with an
+    explanation where there is one; ``checks`` has field_at, check_name, status, detected_value,
+    explanation, reason_code and ai_assisted_evidence.  Each section begins with its heading, that of checks also
+    with its columns.  Every item has all five fields; one without a row was not extracted.  Checks that
+    repeat stand side by side.
     """
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    values = [F.col("filename"), F.col("mode"), F.col("overall_status"), fixed(F.col("processing_time_ms")), yes(F.col("ai_assisted")), F.col("pass_count"), F.col("review_count"), F.col("fail_count")]
-    kept = F.array(*(F.struct(F.lit(i).alias("at"), F.array(F.lit(n), safe_cell(v)).alias("cells")) for i, (n, v) in enumerate(zip(METADATA, values, strict=True))))
-    meta = items.select("item_id", F.lit("metadata").alias("section"), F.explode(kept).alias("x")).select("item_id", "section", "x.at", "x.cells")
-    told = fields.select("item_id", F.lit("fields").alias("section"), F.col("field_at").alias("at"), F.array(F.col("field_name"), safe_cell(field_cell(F.col("field_name"), F.col("status"), F.col("raw_text"), F.col("normalized_value")))).alias("cells"))
-    judged = checks.select("item_id", F.lit("checks").alias("section"), F.col("field_at").alias("at"), F.array(*(safe_cell(text(F.col(c))) for c in ("check_name", "status", "detected_value", "explanation", "reason_code")), yes(F.col("ai_assisted_evidence"))).alias("cells"))
-    return meta.unionByName(told).unionByName(judged)
+    text = lambda c: safe_cell(F.coalesce(c.cast("string"), F.lit("")))
+    generated = F.date_format(F.to_utc_timestamp("generated", F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    values = [F.col("review_id"), generated, F.col("filename"), F.col("mode"), F.col("overall_status"), fixed(F.col("processing_time_ms")), yes(F.col("ai_assisted")), F.col("pass_count"), F.col("review_count"), F.col("fail_count")]
+    explanation = F.col("explanation") if "explanation" in fields.columns else F.lit(None).cast("string")
+    shown = fields.groupBy("item_id").agg(F.collect_list(F.struct("field_name", field_cell(F.col("field_name"), F.col("status"), F.col("raw_text"), F.col("normalized_value"), explanation).alias("cell"))).alias("shown"))
+    row = lambda section, *cells: F.struct(F.lit(section).alias("section"), F.array(*cells).alias("cells"))
+    of = lambda name: F.get(F.filter("shown", lambda x: x["field_name"] == name), 0)["cell"]
+    meta = [row("metadata", F.lit(SECTIONS[0])), *(row("metadata", F.lit(n), text(v)) for n, v in zip(METADATA, values, strict=True))]
+    told = [row("fields", F.lit(SECTIONS[1])), *(row("fields", F.lit(label), text(F.coalesce(of(name), F.lit("Not extracted")))) for name, label in zip(FIELDS, FIELD_LABELS, strict=True))]
+    head = [row("checks", F.lit(SECTIONS[2])), row("checks", *map(F.lit, CHECK_COLUMNS))]
+    fixed_rows = [*meta, *told, *head]
+    top = items.join(shown, "item_id", "left").select("item_id", F.posexplode(F.array(*fixed_rows)).alias("at", "x")).select("item_id", "at", "x.section", "x.cells")
+    cells = F.array(*(text(F.col(c)) for c in ("check_name", "status", "detected_value", "explanation", "reason_code")), yes(F.coalesce("ai_assisted_evidence", F.lit(False))))
+    each = checks.join(items.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("field_at", cells.alias("cells")))).alias("judged"))
+    judged = each.select("item_id", F.posexplode("judged").alias("place", "x")).select("item_id", (F.col("place") + len(fixed_rows)).alias("at"), F.lit("checks").alias("section"), "x.cells")
+    return top.unionByName(judged)
 
 
 def trial_json(trials: DataFrame) -> DataFrame:
@@ -128,12 +142,3 @@ def workbook(path: str, sheets: dict[str, list[list]]) -> None:
         for row in rows:
             sheet.append(row)
     book.save(path)
-
-
-def markdown(board: list[dict], title: str) -> str:
-    """A leaderboard's rows as a Markdown table."""
-    if not board:
-        return f"# {title}\n\nNo trials.\n"
-    names = list(board[0])
-    cell = lambda v: f"{v:.3f}" if isinstance(v, float) else str(v)
-    return f"# {title}\n\n| {' | '.join(names)} |\n|{'---|' * len(names)}\n" + "".join(f"| {' | '.join(cell(r[n]) for n in names)} |\n" for r in board)

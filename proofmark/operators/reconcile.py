@@ -206,13 +206,23 @@ def within_budget(requests: DataFrame, calls: int, key: str = "item_id") -> Data
     return met.withColumn("granted", F.col("at") <= F.col("calls")).select(*requests.columns, "granted").unionByName(rest)
 
 
+#: Answers that a script has at most; they become part of the plan.
+SCRIPT_ROWS = 1_000
+
+
 def scripted_evidence(requests: DataFrame, script: DataFrame) -> DataFrame:
-    """Answers that a script (field_name and the answer's columns) gives to requests (item_id, fields): those on requested fields, or, for an item on none of whose fields the script has any, all of them."""
-    script = F.broadcast(script)  # a fixture of at most a few rows per field
-    asked = requests.select("item_id", F.explode("fields").alias("x")).select("item_id", F.col("x.field").alias("field_name"))
-    told = asked.join(script, "field_name")
-    others = requests.select("item_id").join(told.select("item_id"), "item_id", "left_anti").join(script, F.lit(True))
-    return told.unionByName(others)
+    """Answers that a script (field_name and the answer's columns) gives to requests (item_id, fields): those on requested fields, or, for an item on none of whose fields the script has any, all of them.
+
+    A script is a fixture; one of more than ``SCRIPT_ROWS`` answers is refused.
+    """
+    said = script.limit(SCRIPT_ROWS + 1).collect()
+    if len(said) > SCRIPT_ROWS:
+        raise ValueError(f"a script has at most {SCRIPT_ROWS} answers")
+    kind = script.schema.simpleString()
+    answers = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in row.asDict().items())) for row in said)).cast(f"array<{kind}>")
+    met = F.filter(answers, lambda a: F.exists("fields", lambda f: f["field"] == a["field_name"]))
+    told = requests.select("item_id", F.explode(F.when(F.size(met) > 0, met).otherwise(answers)).alias("a"))
+    return told.select("item_id", "a.*")
 
 
 def no_evidence(requests: DataFrame, reason: str) -> DataFrame:

@@ -585,28 +585,20 @@ def _steps():
 over("img_04_operations", f"{STEPS}, {DETAIL}", lambda: F.array_join(F.transform(_steps(), lambda x: F.concat(x["name"], F.when(x["applied"], "+").otherwise("-"))), " ").alias("steps"), lambda: F.get(F.filter(_steps(), lambda x: x["name"] == "deskew"), 0)["detail"].alias("tilt"))
 
 
-@register("snk_04_report_rows", f"""WITH i AS ({ITEMS}), k AS (SELECT l_orderkey AS item_id, max(CASE WHEN (l_linenumber - 1) % 5 = 0 THEN CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 'REVIEW' ELSE 'PASS' END END) AS brand FROM lineitem GROUP BY 1)
-SELECT item_id, array_to_string([filename, coalesce(overall_status, processing_state), brand_name, '', '', '', coalesce(brand, ''), CASE WHEN ai_assisted THEN 'Yes' ELSE 'No' END, chr(39) || '=x', printf('%.1f', processing_time_ms::DOUBLE), ''], '|') AS line FROM i LEFT JOIN k USING (item_id)""")
+JUDGED = ", ".join(f"max(CASE WHEN (l_linenumber - 1) % 5 = {i} THEN CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 'REVIEW' ELSE 'PASS' END END) AS s{i}" for i in range(5))
+
+
+@register("snk_04_report_rows", f"""WITH i AS ({ITEMS}), k AS (SELECT l_orderkey AS item_id, {JUDGED} FROM lineitem GROUP BY 1)
+SELECT item_id, array_to_string([filename, coalesce(overall_status, processing_state), brand_name, '', chr(39) || '-' || item_id || '%', '', {", ".join(f"coalesce(s{i}, '')" for i in range(5))}, CASE WHEN ai_assisted THEN 'Yes' ELSE 'No' END, chr(39) || '=x', printf('%.1f', processing_time_ms::DOUBLE), CASE WHEN processing_state = 'ERROR' THEN 'no text' ELSE '' END], '|') AS line FROM i LEFT JOIN k USING (item_id)""")
 def _(spark, sf_dir):
     status = F.when((c("l_orderkey") + c("l_linenumber")) % 4 == 0, "REVIEW").otherwise("PASS")
     judged = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(c("l_orderkey").alias("item_id"), F.element_at(F.array(*map(F.lit, CHECKS)), ((c("l_linenumber") - 1) % 5 + 1).cast("int")).alias("check_name"), status.alias("status"))
     none = F.lit(None).cast("string")
-    rows = items(spark, sf_dir).withColumns({"class_type": none, "alcohol_content": none, "net_contents": none, "review_reason_codes": F.lit("=x"), "error_message": none, "processing_time_ms": c("processing_time_ms").cast("double")})
-    return exports.report_rows(rows, judged).select("item_id", F.array_join(F.concat(F.slice("cells", 1, 7), F.slice("cells", 12, 4)), "|").alias("line"))
-
+    rows = items(spark, sf_dir).withColumns({"class_type": none, "alcohol_content": F.concat(F.lit("-"), "item_id", F.lit("%")), "net_contents": none, "review_reason_codes": F.lit("=x"), "error_message": F.when(c("processing_state") == "ERROR", "no text"), "processing_time_ms": c("processing_time_ms").cast("double")})
+    return exports.report_rows(rows, judged).select("item_id", F.array_join("cells", "|").alias("line"))
 
-register("snk_04_summary_rows", f"WITH i AS ({ITEMS}), n AS (SELECT batch_id, count(*) AS t, {COUNT(f'{DONE} AND overall_status = {q("FAIL")}', 'f')}, {COUNT('processing_state = ' + q('ERROR'), 'e')}, {COUNT('ai_assisted', 'x')} FROM i GROUP BY 1) SELECT batch_id, unnest(['Total', 'FAIL', 'ERROR', 'AI-assisted count']) AS name, unnest([t, f, e, x])::VARCHAR AS value FROM n")(lambda s, d: exports.summary_rows(summary.batch(items(s, d), "batch_id")).where("name not in ('PASS', 'REVIEW')").drop("at"))
 
-
-@register("snk_06_single_rows", f"""{L}, x AS (SELECT item_id, 'metadata' AS section, 0 AS at, 'Filename|' || filename AS line FROM l UNION ALL SELECT item_id, 'metadata', 5, 'Passed|' || size FROM l
-UNION ALL SELECT item_id, 'fields', 4, 'government_warning|' || CASE item_id % 3 WHEN 0 THEN 'Detected — ' || substr(warning_line, 1, 200) WHEN 1 THEN 'UNCERTAIN: ' || warning_line ELSE 'Not extracted' END FROM l
-UNION ALL SELECT item_id, 'checks', 0, 'Brand Name|PASS|' || app_brand || '|why||' || CASE WHEN item_id % 2 = 0 THEN 'Yes' ELSE 'No' END FROM l) SELECT * FROM x""")
-def _(spark, sf_dir):
-    base = labels(spark, sf_dir)
-    one = base.select("item_id", "filename", F.lit("COMPARISON").alias("mode"), F.lit("PASS").alias("overall_status"), F.lit(1.0).alias("processing_time_ms"), F.lit(False).alias("ai_assisted"), c("size").alias("pass_count"), F.lit(0).alias("review_count"), F.lit(0).alias("fail_count"))
-    told = base.select("item_id", F.lit(4).alias("field_at"), F.lit("government_warning").alias("field_name"), F.when(c("item_id") % 3 == 0, "FOUND").when(c("item_id") % 3 == 1, "UNCERTAIN").alias("status"), c("warning_line").alias("raw_text"), F.lit("GOVERNMENT WARNING").alias("normalized_value"))
-    judged = base.select("item_id", F.lit(0).alias("field_at"), F.lit("Brand Name").alias("check_name"), F.lit("PASS").alias("status"), c("app_brand").alias("detected_value"), F.lit("why").alias("explanation"), F.lit(None).cast("string").alias("reason_code"), F.when(c("item_id") % 2 == 0, True).alias("ai_assisted_evidence"))
-    return exports.single_rows(one, told, judged).where("section <> 'metadata' or at in (0, 5)").select("item_id", "section", "at", F.array_join("cells", "|").alias("line"))
+register("snk_04_summary_rows", f"WITH i AS ({ITEMS}), n AS (SELECT batch_id, count(*) AS t, {', '.join(COUNT(f'{DONE} AND overall_status = {q(s)}', s.lower()) for s in ('PASS', 'REVIEW', 'FAIL'))}, {COUNT('processing_state = ' + q('ERROR'), 'e')}, {COUNT('ai_assisted', 'x')} FROM i GROUP BY 1) SELECT batch_id, unnest(range(6)) AS place, unnest(['Total', 'PASS', 'REVIEW', 'FAIL', 'ERROR', 'AI-assisted count']) AS name, unnest([t, pass, review, fail, e, x])::VARCHAR AS value FROM n")(lambda s, d: exports.summary_rows(summary.batch(items(s, d), "batch_id")).withColumnRenamed("at", "place"))
 
 
 over("snk_08_json", """'{"item_id":' || item_id || ',"cer":' || CASE WHEN item_id % 2 = 0 THEN 'null' ELSE '0.5' END || '}' AS line""", lambda: F.lit(None).alias("line"))

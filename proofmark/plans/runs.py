@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmark.config import EXPORT_COLUMNS
-from proofmark.operators import diagnose, evidence, exports, extract, jobs, reconcile, rules, summary
+from proofmark.operators import diagnose, evaluate, evidence, exports, extract, jobs, reconcile, rules, summary
 from proofmark.operators.stages import Stages
 from proofmark.plans import oracle as o
 from proofmark.plans import whole
 from proofmark.plans.labels import labels
-from proofmark.plans.queries import ITEMS, items, records, two_passes
+from proofmark.plans.queries import ITEMS, T, items, records, trials, two_passes
 from proofmark.plans.registry import register
 from proofmark.sources import readers
 from proofmark.streaming import live
@@ -258,3 +258,56 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = labels(spark, sf_dir).repartition("batch_id").sortWithinPartitions("batch_id", "item_id")
     made.select("batch_id", c("filename").alias("Filename"), c("brand_line").alias(" brand_name "), c("app_class").alias("class_type"), F.concat(F.lit(" "), "app_abv").alias("ALCOHOL_CONTENT"), F.lit(" ").alias("net_contents")).write.partitionBy("batch_id").option("header", True).csv(path)
     return readers.manifests(spark, f"{path}/*/*.csv").withColumn("batch_id", F.regexp_extract("path", "batch_id=([^/]+)/", 1)).drop("path")
+
+
+# The single report of every record, from its checks: all rows, headings included.
+META = ("'R-' || item_id", "strftime(to_timestamp(1700000000 + item_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')", "filename", "'LABEL_ONLY'", "overall", "printf('%.1f', size * 1.25::DOUBLE)", "CASE WHEN item_id % 2 = 0 THEN 'Yes' ELSE 'No' END", "passed::VARCHAR", "reviewed::VARCHAR", "failed::VARCHAR")
+FIELD_TEXT = "CASE WHEN status IS NULL THEN 'Not extracted' WHEN field_at < 4 THEN coalesce(nullif(raw_text, ''), nullif(normalized_value, ''), status) WHEN status = 'FOUND' THEN 'Detected — ' || substr(raw_text, 1, 200) ELSE status || ': ' || coalesce(nullif(raw_text, ''), 'why ' || item_id) END"
+
+
+@register("snk_06_single_rows", f"""{whole.checks(False)}, i AS (SELECT item_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'PASS' END AS overall, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'REVIEW') AS reviewed, count(*) FILTER (status = 'FAIL') AS failed FROM k GROUP BY 1),
+zm AS (SELECT item_id, unnest(range(11)) AS place, 'metadata' AS section, unnest([['{exports.SECTIONS[0]}'], {", ".join(f"['{n}', {SAFE(v)}]" for n, v in zip(exports.METADATA, META, strict=True))}]) AS cells FROM i JOIN l USING (item_id)),
+zd AS (SELECT item_id, 12 + field_at AS place, 'fields' AS section, [{o.array(exports.FIELD_LABELS)}[field_at + 1], {SAFE('t')}] AS cells FROM (SELECT item_id, field_at, {FIELD_TEXT} AS t FROM (SELECT item_id, field_at, raw_text, normalized_value, CASE WHEN item_id % 6 = 0 AND field_at = 3 THEN NULL ELSE status END AS status FROM f))),
+zh AS (SELECT item_id, unnest([11, 17, 18]) AS place, unnest(['fields', 'checks', 'checks']) AS section, unnest([['{exports.SECTIONS[1]}'], ['{exports.SECTIONS[2]}'], {o.array(exports.CHECK_COLUMNS)}]) AS cells FROM i),
+zj AS (SELECT item_id, 19 + field_at AS place, 'checks' AS section, [check_name, status, {SAFE('shown')}, chr(39) || '=why', coalesce(reason_code, ''), CASE WHEN item_id % 3 = 0 THEN 'Yes' ELSE 'No' END] AS cells FROM k)
+SELECT item_id, place, section, array_to_string(cells, '|') AS line FROM (SELECT * FROM zm UNION ALL SELECT * FROM zd UNION ALL SELECT * FROM zh UNION ALL SELECT * FROM zj)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = c("item_id")
+    run = Stages(spark)
+    judged = run.store("checks", checks(spark, sf_dir, run, comparison=False).withColumns({"explanation": F.lit("=why"), "ai_assisted_evidence": F.when(n % 3 == 0, True)}), keep=True)
+    per = summary.items(judged, "item_id")
+    base = labels(spark, sf_dir).select("item_id", F.concat(F.lit("R-"), n).alias("review_id"), F.timestamp_seconds(1_700_000_000 + n).alias("generated"), "filename", F.lit("LABEL_ONLY").alias("mode"), (c("size") * 1.25).alias("processing_time_ms"), (n % 2 == 0).alias("ai_assisted"))
+    fields = spark.read.parquet(run.path("fields")).where("NOT (item_id % 6 = 0 AND field_at = 3)").withColumn("explanation", F.concat(F.lit("why "), n))
+    return exports.single_rows(base.join(per, "item_id"), fields, judged).select("item_id", c("at").alias("place"), "section", F.array_join("cells", "|").alias("line"))
+
+
+# The evaluation report, line by line.
+ASKED_PROFILES, ASKED_EDGES = ["fast", "enhanced", "none"], [1200, 1600, 2200, 9999]
+MANY = {"generated": "2024-05-01", "environment": {"os": "any", "cpus": "8"}, "requested": ["engine0", "engine1", "engine2"], "available": ["engine0", "engine1"], "unavailable": {"engine2": "not installed"}, "profiles": ASKED_PROFILES, "edges": ASKED_EDGES}
+RECOVERY = {name: f"(fields_recovered + {i}) % 4 = 0" for i, name in enumerate(evaluate.RECOVERED)}
+FIRST = [(s, i, x) for s, lines in enumerate(evaluate._fixed_lines(**MANY)) for i, x in enumerate(lines)] + [
+    (s, i, x)
+    for s, lines in enumerate(((*evaluate.BOARD_HEAD,), ("| Provider | " + " | ".join(evaluate.RECOVERED) + " |", "|---|" + "|".join(["---:"] * 5) + "|"), (), (), (), ()), 3)
+    for i, x in enumerate((evaluate.HEADINGS[s], "", *lines))
+]
+P = lambda spec, x: f"printf('{spec}', {x}::DOUBLE)"
+POOL = "avg(fields_recovered) AS mean_fields, coalesce(avg(cer), 1.0) AS mean_cer, quantile_cont(total_ms, 0.5) AS median_ms"
+ASKED = lambda section, values, column, line: f"SELECT {section}, i + 2, {line} FROM (SELECT unnest(range({len(values)})) AS i, unnest({values}) AS v) LEFT JOIN (SELECT {column} AS v, {POOL} FROM t GROUP BY 1) USING (v)"
+RANKED = "row_number() OVER (ORDER BY mean_fields DESC, median_ms, mean_cer, provider, profile, edge)"
+CHOSEN = f"provider || ' / ' || profile || ' / ' || edge || 'px** (mean fields ' || {P('%.2f', 'mean_fields')}"
+
+
+@register("snk_09_report", f"""{T}, x(section, place, line) AS (VALUES {", ".join(f"({s}, {i}, {q(text)})" for s, i, text in FIRST)}), r AS (SELECT *, {RANKED} AS n_ FROM b),
+w AS (SELECT *, {RANKED} AS k FROM b WHERE median_ms <= 2000 AND mean_fields >= 3.0), e AS (SELECT coalesce(failure_kind, 'unknown') AS kind, count(*) AS n FROM t WHERE NOT success GROUP BY 1)
+SELECT section, place::BIGINT AS place, line FROM (SELECT * FROM x
+UNION ALL SELECT 3, n_ + 3, '| ' || provider || ' | ' || profile || ' | ' || edge || ' | ' || {P('%.2f', 'mean_fields')} || ' | ' || {P('%.3f', 'mean_cer')} || ' | ' || {P('%.0f', 'median_ms')} || ' | ' || {P('%.0f', 'p95_ms')} || ' | ' || {P('%.2f', 'box_rate')} || ' | ' || {P('%.2f', 'success_rate')} || ' |' FROM r
+UNION ALL SELECT 4, row_number() OVER (ORDER BY provider) + 3, '| ' || provider || ' | ' || concat_ws(' | ', {", ".join(P('%.2f', f"avg(({x})::INT)") for x in RECOVERY.values())}) || ' |' FROM t GROUP BY provider
+UNION ALL {ASKED(5, ASKED_PROFILES, "profile", f"'- **' || v || ':** mean fields=' || {P('%.2f', 'coalesce(mean_fields, 0)')} || ', median total=' || {P('%.0f', 'coalesce(median_ms, 0)')} || ' ms, mean CER=' || {P('%.3f', 'coalesce(mean_cer, 1)')}")}
+UNION ALL {ASKED(6, ASKED_EDGES, "edge", f"'- **' || v || 'px:** mean fields=' || {P('%.2f', 'coalesce(mean_fields, 0)')} || ', median total=' || {P('%.0f', 'coalesce(median_ms, 0)')} || ' ms'")}
+UNION ALL SELECT 7, row_number() OVER (ORDER BY n DESC, kind) + 1, '- `' || kind || '`: ' || n FROM e UNION ALL SELECT 7, 2, {q(evaluate.NO_FAILURES)} WHERE (SELECT count(*) FROM e) = 0
+UNION ALL SELECT 8, 2, 'Top configuration by field recovery then latency: **' || {CHOSEN} || '/5, median ' || {P('%.0f', 'median_ms')} || ' ms).' FROM r WHERE n_ = 1
+UNION ALL SELECT 8, 3, 'Best config with median total <= 2000 ms and mean fields >= 3.0: **' || {CHOSEN} || ', median ' || {P('%.0f', 'median_ms')} || ' ms).' FROM w WHERE k = 1 UNION ALL SELECT 8, 3, {q(evaluate.OVER_BUDGET)} WHERE (SELECT count(*) FROM w) = 0
+UNION ALL SELECT unnest(range(3, 9)), 1099511627776, '')""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = trials(spark, sf_dir).withColumn("field_recovery", F.create_map(*(x for name, test in RECOVERY.items() for x in (F.lit(name), F.expr(test)))))
+    return evaluate.report(made, **MANY)

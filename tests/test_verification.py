@@ -230,7 +230,6 @@ def test_images(spark):
 def test_exports(spark, tmp_path):
     assert values(spark, ["=CMD()", "normal", None, "\tx", "'=CMD()"], exports.safe_cell) == ["'=CMD()", "normal", "", "'\tx", "'=CMD()"]
     assert values(spark, ["a\n b"], lambda x: exports.audit(F.lit("e"), x, n=F.lit(None))) == ['{"event":"e","message":"a b"}']
-    assert exports.markdown([{"a": 1, "b": 0.5}], "T").endswith("| 1 | 0.500 |\n")
 
 
 def test_leaderboard_percentile_is_linear(spark):
