@@ -4,11 +4,12 @@ A text's UTF-8 bytes are cut where the gear hash of the last ``GEAR`` bytes has
 its top bits zero, at least ``LEAST`` and at most ``MOST`` bytes after the last
 cut; where no such place comes, at the first place of the least hash, so texts
 that repeat one unit are cut in step with it.  Cuts depend on content alone, so an
-insertion moves no cut beyond its surroundings.  Chunks are told apart by a 96-bit
-digest.  A chunk in two or more documents is repeated, and repeated chunks that
+insertion moves no cut beyond its surroundings.  A chunk whose 64-bit digest two or more
+documents hold is repeated, and repeated chunks that
 touch are a run.  Short chunks recur by chance, so a run says little by itself: it
 is gone through in windows of chunks that hold at least ``RUN`` bytes or ``WORDS``
-words, and only windows that another document holds whole count.  Windows that one
+words, and only windows that another document holds whole count (by 128 bits, of all
+bits of their chunks' digests, so a chance repetition of a chunk doesn't matter).  Windows that one
 place of another document holds in the same order are joined to a passage.  The
 occurrence in the document with the least id stays; the others may be removed.
 
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import xxhash
@@ -37,8 +37,6 @@ from . import common
 
 GEAR, LEAST, MOST, MASK_BITS = 16, 12, 128, 4
 RUN, WORDS = 80, 16
-#: Bytes of a digest.
-DIGEST = 12
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _draw = random.Random(20240611)
@@ -80,12 +78,13 @@ def words_of(data: bytes, ends: list[int]) -> list[int]:
     return np.add.reduceat(word, [0, *ends[:-1]], dtype=np.int32).tolist()
 
 
-def digest(chunk: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(chunk)[:DIGEST]
+def told(parts: list[bytes]) -> np.ndarray:
+    """128-bit digests as two columns of signed numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``row``, ``id``, ``start`` and ``end`` (bytes), ``words`` and ``digest`` of every chunk."""
+    """``row``, ``id``, ``start`` and ``end`` (bytes), ``words``, ``digest`` and ``check`` (the digest's other half) of every chunk."""
 
     def pieces(batches) -> Iterator[list]:
         for b in batches:
@@ -94,10 +93,11 @@ def spans(docs: DataFrame) -> DataFrame:
                 if data:
                     ends = cuts(data)
                     starts = [0, *ends[:-1]]
-                    yield [np.full(len(ends), row), np.full(len(ends), doc_id), starts, ends, words_of(data, ends), [digest(data[a:e]) for a, e in zip(starts, ends, strict=True)]]
+                    both = told([data[a:e] for a, e in zip(starts, ends, strict=True)])
+                    yield [np.full(len(ends), row), np.full(len(ends), doc_id), starts, ends, words_of(data, ends), both[:, 0], both[:, 1]]
 
     numbered = common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.monotonically_increasing_id().alias("row"))
-    return common.map_pieces(numbered, pieces, "row long, id long, start int, end int, words int, digest binary")
+    return common.map_pieces(numbered, pieces, "row long, id long, start int, end int, words int, digest long, check long")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -109,44 +109,76 @@ def digests(docs: DataFrame) -> DataFrame:
                 data = text.encode("utf-8", "replace")
                 if data:
                     ends = cuts(data)
-                    held = list({digest(data[a:e]) for a, e in zip([0, *ends[:-1]], ends, strict=True)})
+                    held = told(list({data[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)}))[:, 0]
                     yield [held, np.full(len(held), doc_id)]
 
-    return common.map_pieces(common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), pieces, "digest binary, id long")
+    return common.map_pieces(common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), pieces, "digest long, id long")
 
 
-def windows(chunks: list[tuple[int, int, int]], least: int = RUN, words: int = WORDS) -> list[tuple[int, int]]:
-    """First and last place of the windows of a run's chunks, given as (start, end, words).
+def covers(start: np.ndarray, end: np.ndarray, words: np.ndarray, first: np.ndarray, least: int = RUN, most: int = WORDS) -> np.ndarray:
+    """First and last place of the windows of runs of chunks, one pair a row; ``first`` has the places at which the runs begin.
 
     From each chunk on and up to each chunk the shortest window of ``least``
-    bytes or ``words`` words: any part of a run that holds so much is covered by
+    bytes or ``most`` words: any part of a run that holds so much is covered by
     those inside it.  The whole run comes too, so a copy is one passage even if it
-    repeats itself.
+    repeats itself.  Runs that hold less have none.
     """
-    n = len(chunks)
-    begun = [0, *accumulate(c[2] for c in chunks)]
-    if not n or not (chunks[-1][1] - chunks[0][0] >= least or begun[n] >= words):
-        return []
-    starts, ends = [c[0] for c in chunks], [c[1] for c in chunks]
-    found, j = {(0, n - 1)}, 0
-    for i in range(n):
-        # The first end that is enough: by bytes or by words, whichever comes first.
-        byte, word = starts[i] + least, begun[i] + words
-        j = max(i, j)
-        while j < n and ends[j] < byte and begun[j + 1] < word:
-            j += 1
-        if j == n:
-            break
-        found.add((i, j))
-    i = 0
-    for j in range(n):
-        # The last beginning that is enough.
-        byte, word = ends[j] - least, begun[j + 1] - words
-        while i < j and (starts[i + 1] <= byte or begun[i + 1] <= word):
-            i += 1
-        if starts[i] <= byte or begun[i] <= word:
-            found.add((i, j))
-    return sorted(found)
+    n = len(start)
+    if not n:
+        return np.zeros((0, 2), np.int64)
+    lengths = np.diff(np.append(first, n))
+    last = np.repeat(np.append(first[1:], n) - 1, lengths)
+    begin = np.repeat(first, lengths)
+    # Runs lie one behind another, with room for a window between them.
+    apart = np.repeat(np.arange(len(first), dtype=np.int64), lengths) * (int(end.max(initial=0)) + least + 1)
+    low, high = start + apart, end + apart
+    upto = np.cumsum(words)
+    before = upto - words
+    # The first end that is enough, by bytes or by words, and the last beginning that is.
+    place = np.arange(n)
+    j = np.minimum(np.searchsorted(high, low + least), np.searchsorted(upto, before + most))
+    i = np.maximum(np.searchsorted(low, high - least, "right"), np.searchsorted(before, upto - most, "right")) - 1
+    forth, back = j <= last, i >= begin
+    enough = (end[last[first]] - start[first] >= least) | (upto[last[first]] - before[first] >= most)
+    found = [place[forth] * n + j[forth], i[back] * n + place[back], first[enough] * n + last[first][enough]]
+    return np.stack(np.divmod(np.unique(np.concatenate(found)), n), axis=1)
+
+
+def windows(parts: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
+    """The windows of runs of chunks (see ``covers``), of chunks in order of row and start: where they lie, their first and last chunk in the run, and a digest of their chunks' digests.
+
+    A task holds one run at a time beside a batch of chunks.
+    """
+
+    def of(row, doc_id, start, end, count, digest, check) -> list | None:
+        first = _breaks(row, start, end)
+        pairs = covers(start.astype(np.int64), end.astype(np.int64), count.astype(np.int64), first, least, words)
+        if not len(pairs):
+            return None
+        held, (i, j) = np.stack([digest, check], axis=1).astype("<i8").tobytes(), pairs.T
+        both = told([held[16 * a : 16 * e + 16] for a, e in pairs.tolist()])
+        begin = first[np.searchsorted(first, i, "right") - 1]
+        return [row[i], doc_id[i], start[i], end[j], i - begin, j - begin, both[:, 0], both[:, 1]]
+
+    def pieces(batches) -> Iterator[list]:
+        held = None
+        for b in batches:
+            now = [c.to_numpy() for c in b.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            # The last run may go on in the next batch.
+            at = _breaks(*held[:1], *held[2:4])[-1] if len(held[0]) else 0
+            if at and (found := of(*(x[:at] for x in held))):
+                yield found
+            held = [x[at:] for x in held]
+        if held and len(held[0]) and (found := of(*held)):
+            yield found
+
+    return common.map_arrays(parts.select("row", "id", "start", "end", "words", "digest", "check"), pieces, "row long, id long, start int, end int, i int, j int, high long, low long")
+
+
+def _breaks(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where runs of touching chunks begin."""
+    return np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != end[:-1])])) if len(row) else np.zeros(0, np.int64)
 
 
 def passages(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
@@ -166,29 +198,12 @@ def passages(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame
     """
     held = digests(docs).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     repeated = common.store(held.where("first <> last").select("digest"), "chunks-repeated")
-    found = spans(docs).join(repeated, "digest").select("row", "id", "start", "end", "words", "digest")
-    turn = Window.partitionBy("row").orderBy("start")
-    runs = found.withColumn("gap", (F.col("start") != F.coalesce(F.lag("end").over(turn), F.lit(-1))).cast("int")).withColumn("run", F.sum("gap").over(turn))
-    whole = runs.groupBy("row", "run").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("start", "end", "words", "digest"))).alias("chunks"), F.sum("words").alias("words"))
-    long = whole.where((F.element_at("chunks", -1)["end"] - F.element_at("chunks", 1)["start"] >= least) | (F.col("words") >= words))
-
-    def pieces(batches) -> Iterator[list]:
-        for b in batches:
-            starts, ends, counts, parts = (c.to_pylist() for c in b["chunks"].flatten().flatten())
-            at = 0
-            for row, doc_id, n in zip(b["row"].to_pylist(), b["id"].to_pylist(), b["chunks"].value_lengths().to_pylist(), strict=True):
-                begin, end, run = starts[at : at + n], ends[at : at + n], b"".join(parts[at : at + n])
-                found = windows(list(zip(begin, end, counts[at : at + n], strict=True)), least, words)
-                at += n
-                if found:
-                    first, last = map(list, zip(*found, strict=True))
-                    yield [np.full(len(found), row), np.full(len(found), doc_id), [begin[i] for i in first], [end[j] for j in last], first, last, [digest(run[DIGEST * i : DIGEST * (j + 1)]) for i, j in found]]
-
-    cut = common.store(common.map_pieces(long.select("row", "id", "chunks"), pieces, "row long, id long, start int, end int, i int, j int, digest binary"), "chunks-windows")
+    found = spans(docs).join(repeated, "digest").repartition("row").sortWithinPartitions("row", "start")
+    cut = common.store(windows(found, least, words), "chunks-windows")
     common.forget(repeated)
     place = F.struct("id", "row", "start")
-    holders = cut.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.id <> last.id")
-    shared = cut.join(common.store(holders, "chunks-holders"), "digest")
+    holders = cut.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.id <> last.id")
+    shared = cut.join(common.store(holders, "chunks-holders"), ["high", "low"])
     kept = F.col("id") == F.col("first.id")
     other = F.when(kept, F.col("last")).otherwise(F.col("first"))
     each = shared.select("row", "id", "start", "end", "i", "j", F.col("first.id").alias("first"), kept.alias("kept"), other["row"].alias("other"), (F.col("start") - other["start"]).alias("shift"))

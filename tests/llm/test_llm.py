@@ -436,7 +436,8 @@ def test_windows_cover_every_part_of_a_run():
         ends = np.cumsum([0] + [r.randint(16, 128) for _ in range(r.randint(1, 12))]).tolist()
         spans_ = [(a, b, r.randint(0, 6)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         enough = lambda i, j: spans_[j][1] - spans_[i][0] >= chunks.RUN or sum(c[2] for c in spans_[i : j + 1]) >= chunks.WORDS
-        found = chunks.windows(spans_)
+        start, end, count = map(np.array, zip(*spans_, strict=True))
+        found = chunks.covers(start, end, count, np.array([0])).tolist()
         assert all(enough(i, j) for i, j in found)
         for a in range(len(spans_)):
             for b in range(a, len(spans_)):
