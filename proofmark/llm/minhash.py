@@ -15,6 +15,8 @@ texts have equal fingerprints.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,30 +79,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_bins(common.texts_of(docs), "text", "bins").select("doc_id", packed(F.col("bins")).alias("fingerprint"))
 
 
+def dealt(docs: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id``, ``text``, ``digest`` (of the text) and ``cell`` of every row: cells follow descending order of ``doc_id``, then of digest.
+
+    Cells are ranges of ids whose bounds are quantiles.  An id that is a quantile more than
+    once has a cell of its own, and so have null ids, which come last; such a cell is
+    parted by ranges of the digest, so no id's rows meet in one task, however many they are.
+    """
+    texts = common.texts_of(docs).withColumn("digest", F.sha2("text", 256))
+    found = texts.select("doc_id").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], min(0.01, 0.25 / buckets))
+    often = {x for x in found if found.count(x) > 1}
+    # The cut behind such an id lies at the next number, so its range holds nothing else.
+    cuts = sorted({float(x) for x in found} | {math.nextafter(x, math.inf) for x in often})
+    deal = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
+    # Bucketizer wants a double; its order follows that of doc_id, which is all that matters here.
+    ranged = deal.transform(texts.select(F.col("doc_id").cast("double").alias("at"), F.col("doc_id").alias("id"), "text", "digest"))
+    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.col("bucket").cast("int"))
+    # Large ids that are one double are several ids: their cell isn't parted.
+    alone = F.col("at").isin(*often) & (F.abs("at") < 2.0**53) if often else F.lit(False)
+    part = F.when(F.col("id").isNull() | alone, F.conv(F.substring("digest", 1, 4), 16, 10).cast("int") * buckets / 65_536).otherwise(0).cast("int")
+    return ranged.select(F.col("id").alias("doc_id"), "text", "digest", (bucket.cast("long") * buckets + (buckets - 1 - part)).alias("cell"))
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Each document with the text and bins of the next one in descending order of ``doc_id``; after the last comes the first.
+    """Each document with the text and bins of the next one in descending order of ``doc_id``, rows of one id in order of their digests; after the last comes the first.
 
-    Documents are dealt into ranges of ``doc_id`` and ordered within each, so
-    no task orders all of them.  The first document of each range (at most one
-    for each bucket) is also put at the end of the range before it.
+    Documents are dealt into cells (see ``dealt``) and ordered within each, so
+    no task orders all of them.  The first document of each cell (at most one
+    for each cell) is also put at the end of the cell before it.
     """
-    spark = docs.sparkSession
-    texts = common.texts_of(docs)
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({float(x) for x in texts.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.01, 0.25 / n))})
-    deal = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="doc_id", outputCol="cell", handleInvalid="keep")
-    # Bucketizer wants a double; its order follows that of doc_id, which is all that matters here.  Null ids come last, below all cells.
-    dealt = lambda df: deal.transform(df.withColumn("doc_id", F.col("doc_id").cast("double")).select("doc_id", *df.drop("doc_id").columns)).drop("doc_id")
-    ranged = dealt(texts.withColumn("id", F.col("doc_id"))).withColumn("cell", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("cell")).cast("int")).withColumnRenamed("id", "doc_id")
-    ends = ranged.groupBy("cell").agg(F.max("doc_id").alias("doc_id"))
+    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = dealt(docs, n)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "digest")
+    ends = ranged.groupBy("cell").agg(F.min(first).alias("first"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell"))
-    # One row per bucket.
+    # One row per cell.
     before = ends.withColumn("to", F.coalesce(F.lag("cell").over(order), F.min("cell").over(Window.partitionBy(F.lit(0)))))
-    firsts = ranged.join(F.broadcast(before.select(F.col("cell").alias("c"), F.col("doc_id").alias("d"), "to")), F.expr("cell <=> c and doc_id <=> d"))
-    firsts = firsts.groupBy("to", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("to").alias("cell"), F.lit(True).alias("copy"))
-    every = with_bins(ranged.select("doc_id", "text", "cell", F.lit(False).alias("copy")).unionByName(firsts), "text", "bins")
-    turn = Window.partitionBy("cell").orderBy("copy", F.desc("doc_id"), "text")
-    return every.withColumns({"next_text": F.lead("text").over(turn), "next_bins": F.lead("bins").over(turn)}).where(~F.col("copy")).drop("copy", "cell")
+    firsts = ranged.join(F.broadcast(before.select(F.col("cell").alias("c"), F.col("first.none").alias("none"), (-F.col("first.down")).cast("long").alias("d"), F.col("first.digest").alias("x"), "to")), F.expr("cell = c and digest = x and doc_id <=> d"))
+    firsts = firsts.groupBy("to", "doc_id", "digest").agg(F.min("text").alias("text")).select("doc_id", "text", "digest", F.col("to").alias("cell"), F.lit(True).alias("copy"))
+    every = with_bins(ranged.withColumn("copy", F.lit(False)).unionByName(firsts), "text", "bins")
+    turn = Window.partitionBy("cell").orderBy("copy", F.desc_nulls_last("doc_id"), "digest")
+    return every.withColumns({"next_text": F.lead("text").over(turn), "next_bins": F.lead("bins").over(turn)}).where(~F.col("copy")).drop("copy", "cell", "digest")
 
 
 def report(docs: DataFrame) -> DataFrame:
