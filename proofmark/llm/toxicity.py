@@ -8,7 +8,7 @@ when an identity term in it is swapped for another of its kind, so that merely
 naming a group moves no score.
 
 The model is fitted on at most ``SAMPLE`` labelled rows (those of the least
-hash of ``doc_id``), with at most ``FEATURES`` features; both bound what comes
+hash of ``doc_id``), with at most ``FEATURES`` features; both are arguments and bound what comes
 to the driver.  Of swapped texts only the features that change come there, each
 change once with its number of texts.  Every document is scored.  Only texts are inputs of a score.
 
@@ -94,8 +94,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def chosen_features(rows: DataFrame, toxic: int, clean: int) -> list[str]:
-    """The features with the highest likelihood ratios, counted in Spark."""
+def chosen_features(rows: DataFrame, toxic: int, clean: int, most: int | None = FEATURES) -> list[str]:
+    """The ``most`` features (None: all) with the highest likelihood ratios, counted in Spark."""
 
     def counts(batches) -> Iterator[list[tuple]]:
         pos, neg = Counter(), Counter()
@@ -116,16 +116,16 @@ def chosen_features(rows: DataFrame, toxic: int, clean: int) -> list[str]:
     part = lambda x, all_: F.when(x > 0, x * F.log(x * n / (p * all_))).otherwise(0.0)
     absent = lambda x, all_: F.when(all_ - x > 0, (all_ - x) * F.log((all_ - x) * n / ((n - p) * all_))).otherwise(0.0)
     ratio = 2 * (part(F.col("pos"), float(toxic)) + part(F.col("neg"), float(clean)) + absent(F.col("pos"), float(toxic)) + absent(F.col("neg"), float(clean)))
-    best = summed.withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "feature").limit(FEATURES)
-    return [r[0] for r in best.select("feature").collect()]
+    best = summed.withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "feature")
+    return [r[0] for r in (best if most is None else best.limit(most)).select("feature").collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int | None = FEATURES) -> Model:
     rows = common.store(labelled(docs, labels, sample), "toxicity-sample")
     toxic, clean = rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     if not toxic or not clean:
         return Model({}, -math.inf if not toxic else 0.0)
-    names = chosen_features(rows, toxic, clean)
+    names = chosen_features(rows, toxic, clean, most)
     place = {f: i for i, f in enumerate(names)}
 
     def met(batches) -> Iterator[list[tuple]]:
@@ -188,9 +188,9 @@ def descend(y: np.ndarray, xs: list, before: list, after: list, times: np.ndarra
     return w[:-1], float(w[-1])
 
 
-def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int | None = FEATURES) -> DataFrame:
     """One row per document: ``held_out``, ``score`` and ``predicted``."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, most))
 
     def rows(batches) -> Iterator[list[tuple]]:
         for b in batches:
@@ -201,9 +201,9 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int | None = FEATURES) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, most))
 
     def keeps(batches: Iterator[list[str]]) -> Iterator[list[bool]]:
         for texts in batches:
