@@ -8,8 +8,8 @@ insertion moves no cut beyond its surroundings.  A chunk whose 64-bit digest two
 documents hold is repeated, and repeated chunks that
 touch are a run.  Short chunks recur by chance, so a run says little by itself: it
 is gone through in windows of chunks that hold at least ``RUN`` bytes or ``WORDS``
-words, and only windows that another document holds whole count (by 128 bits, of all
-bits of their chunks' digests, so a chance repetition of a chunk doesn't matter).  Windows that one
+words, and only windows that another document holds whole count (by 96 bits, of 96
+bits of each of their chunks, so a chance repetition of a chunk doesn't matter).  Windows that one
 place of another document holds in the same order are joined to a passage.  The
 occurrence in the document with the least id stays; the others may be removed.
 
@@ -83,8 +83,13 @@ def told(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
 
 
+def placed(start: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Start, length and words of chunks in one number each, in order of start; neither of the last two reaches 256."""
+    return start.astype(np.int64) << 16 | end - start << 8 | words
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """``row``, ``id``, ``start`` and ``end`` (bytes), ``words``, ``digest`` and ``check`` (the digest's other half) of every chunk."""
+    """``row``, ``id``, ``place`` (start, length and words in one number, see ``placed``), ``digest`` and ``check`` (32 further bits of it) of every chunk."""
 
     def pieces(batches) -> Iterator[list]:
         for b in batches:
@@ -94,10 +99,10 @@ def spans(docs: DataFrame) -> DataFrame:
                     ends = cuts(data)
                     starts = [0, *ends[:-1]]
                     both = told([data[a:e] for a, e in zip(starts, ends, strict=True)])
-                    yield [np.full(len(ends), row), np.full(len(ends), doc_id), starts, ends, words_of(data, ends), both[:, 0], both[:, 1]]
+                    yield [np.full(len(ends), row), np.full(len(ends), doc_id), placed(np.array(starts), np.array(ends), np.array(words_of(data, ends))), both[:, 0], both[:, 1].astype(np.int32)]
 
     numbered = common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.monotonically_increasing_id().alias("row"))
-    return common.map_pieces(numbered, pieces, "row long, id long, start int, end int, words int, digest long, check long")
+    return common.map_pieces(numbered, pieces, "row long, id long, place long, digest long, check int")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -145,25 +150,29 @@ def covers(start: np.ndarray, end: np.ndarray, words: np.ndarray, first: np.ndar
 
 
 def windows(parts: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
-    """The windows of runs of chunks (see ``covers``), of chunks in order of row and start: where they lie, their first and last chunk in the run, and a digest of their chunks' digests.
+    """The windows of runs of chunks (see ``covers``), of chunks in order of row and place: where they lie, their first and last chunk in the run, and a digest of their chunks' digests.
 
     A task holds one run at a time beside a batch of chunks.
     """
 
     def of(row, doc_id, start, end, count, digest, check) -> list | None:
         first = _breaks(row, start, end)
-        pairs = covers(start.astype(np.int64), end.astype(np.int64), count.astype(np.int64), first, least, words)
+        pairs = covers(start, end, count, first, least, words)
         if not len(pairs):
             return None
-        held, (i, j) = np.stack([digest, check], axis=1).astype("<i8").tobytes(), pairs.T
-        both = told([held[16 * a : 16 * e + 16] for a, e in pairs.tolist()])
+        bits = np.empty(len(digest), [("digest", "<i8"), ("check", "<i4")])
+        bits["digest"], bits["check"] = digest, check
+        held, (i, j) = bits.tobytes(), pairs.T
+        both = told([held[12 * a : 12 * e + 12] for a, e in pairs.tolist()])
         begin = first[np.searchsorted(first, i, "right") - 1]
-        return [row[i], doc_id[i], start[i], end[j], i - begin, j - begin, both[:, 0], both[:, 1]]
+        return [row[i], doc_id[i], start[i], end[j], i - begin, j - begin, both[:, 0], both[:, 1].astype(np.int32)]
 
     def pieces(batches) -> Iterator[list]:
         held = None
         for b in batches:
-            now = [c.to_numpy() for c in b.columns]
+            row, doc_id, place, digest, check = (c.to_numpy() for c in b.columns)
+            start = place >> 16
+            now = [row, doc_id, start, start + (place >> 8 & 255), place & 255, digest, check]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             # The last run may go on in the next batch.
             at = _breaks(*held[:1], *held[2:4])[-1] if len(held[0]) else 0
@@ -173,7 +182,7 @@ def windows(parts: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame
         if held and len(held[0]) and (found := of(*held)):
             yield found
 
-    return common.map_arrays(parts.select("row", "id", "start", "end", "words", "digest", "check"), pieces, "row long, id long, start int, end int, i int, j int, high long, low long")
+    return common.map_arrays(parts.select("row", "id", "place", "digest", "check"), pieces, "row long, id long, start int, end int, i int, j int, high long, low int")
 
 
 def _breaks(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -198,7 +207,7 @@ def passages(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame
     """
     held = digests(docs).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     repeated = common.store(held.where("first <> last").select("digest"), "chunks-repeated")
-    found = spans(docs).join(repeated, "digest").repartition("row").sortWithinPartitions("row", "start")
+    found = spans(docs).join(repeated, "digest").repartition("row").sortWithinPartitions("row", "place")
     cut = common.store(windows(found, least, words), "chunks-windows")
     common.forget(repeated)
     place = F.struct("id", "row", "start")
