@@ -49,6 +49,23 @@ over("txt_11_preview", "substr(text, 1, 500) AS k", lambda: text.preview(c("text
 over("txt_12_truncate", "CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 79) || '…' END AS k", lambda: text.truncate(c("text"), 80).alias("k"), table="documents", key="doc_id")
 over("txt_13_quality_note", "trim(CASE WHEN item_id % 2 = 0 THEN 'Low variance.' ELSE 'Dark' END || CASE WHEN item_id % 3 = 0 THEN ' soft' ELSE '' END) AS k", lambda: text.quality_note(F.array(F.when(c("item_id") % 2 == 0, "Low Laplacian  variance.").otherwise("Dark"), F.when(c("item_id") % 3 == 0, " soft ").otherwise(""))).alias("k"))
 
+# The same over whole texts in four languages, some of them missing.  Spark's and the oracle's lower case agree; sharp s is the one letter of these texts that case folding spells out.
+MISSING = "CASE WHEN doc_id % 7 > 0 THEN text END"
+FOLDED = f"replace(lower({MISSING}), 'ß', 'ss')"
+
+
+def over_documents(name: str, sql: str, made: Callable) -> None:
+    over(name, f"{sql} AS k", lambda: made(F.when(c("doc_id") % 7 > 0, c("text"))).alias("k"), table="documents", key="doc_id")
+
+
+over_documents("txt_01_documents", o.norm(FOLDED), text.comparison_normalize)
+over_documents("txt_02_documents", f"nullif({o.squash(FOLDED)}, '')", text.warning_normalize)
+over_documents("txt_03_documents", f"nullif({o.squash(f'lower({MISSING})')}, '')", text.comparison_key)
+over_documents("txt_04_documents", o.squash(f"regexp_replace(lower({MISSING}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s.%/]', ' ', 'g')"), text.eval_normalize)
+over_documents("txt_05_documents", f"array_to_string(list_filter(list_transform(string_split({MISSING}, chr(10)), lambda x: {o.strip('x')}), lambda x: x <> ''), '|')", lambda x: F.array_join(text.lines(x), "|"))
+over_documents("sim_05_documents", f"len(list_filter(string_split({o.norm(FOLDED)}, ' '), lambda w: length(w) >= {similarity.TELLING}))", lambda x: F.size(F.filter(similarity.tokens(text.comparison_normalize(x)), lambda w: F.length(w) >= similarity.TELLING)).cast("long"))
+over_documents("snk_03_documents", f"CASE WHEN regexp_matches({MISSING}, '^[=+@\\t\\r-]') THEN chr(39) || text ELSE coalesce({MISSING}, '') END", lambda x: exports.safe_cell(x))
+
 # Similarity.
 over("sim_04_levenshtein", "levenshtein(brand_line, app_brand) AS d", lambda: F.levenshtein("brand_line", "app_brand").cast("long").alias("d"))
 over("sim_05_character_error_rate", "CASE WHEN length(app_brand) = 0 THEN 1.0 ELSE levenshtein(app_brand, brand_line) / CAST(length(app_brand) AS DOUBLE) END AS cer", lambda: similarity.character_error_rate(c("app_brand"), c("brand_line")).alias("cer"))
