@@ -33,3 +33,22 @@ FROM part"""
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
     return spark.sql(LABELS)
+
+
+#: The same records with missing, empty and foreign lines, and missing application values.
+ODD = f"""
+SELECT item_id, batch_id, size,
+  CASE WHEN item_id % 13 = 0 THEN NULL WHEN item_id % 17 = 0 THEN '' WHEN item_id % 19 = 0 THEN 'Château ' || brand_line WHEN item_id % 23 = 0 THEN brand_line || ' Rosé' WHEN item_id % 29 = 0 THEN 'Ñandú, Été' WHEN item_id % 31 = 0 THEN 'DISTILLERY' ELSE brand_line END AS brand_line,
+  CASE WHEN item_id % 11 = 0 THEN NULL WHEN item_id % 14 = 0 THEN 'Crème Liqueur' WHEN item_id % 22 = 1 THEN 'Straight Bourb' WHEN item_id % 26 = 1 THEN 'a rum and a vodka' ELSE class_line END AS class_line,
+  CASE WHEN item_id % 15 = 0 THEN NULL WHEN item_id % 16 = 1 THEN '' WHEN item_id % 21 = 0 THEN 'Vol. d’alcool' ELSE abv_line END AS abv_line,
+  CASE WHEN item_id % 18 = 0 THEN NULL WHEN item_id % 20 = 1 THEN ' ' WHEN item_id % 25 = 0 THEN 'é 750 mL' ELSE net_line END AS net_line,
+  CASE WHEN item_id % 24 = 0 THEN NULL WHEN item_id % 27 = 0 THEN 'Government' ELSE warning_line END AS warning_line,
+  CASE WHEN item_id % 35 = 0 THEN NULL ELSE quality END AS quality,
+  CASE WHEN item_id % 37 = 0 THEN NULL WHEN item_id % 19 = 0 THEN 'CHÂTEAU ' || app_brand ELSE app_brand END AS app_brand,
+  CASE WHEN item_id % 41 = 0 THEN NULL ELSE app_class END AS app_class, CASE WHEN item_id % 43 = 0 THEN NULL ELSE app_abv END AS app_abv, CASE WHEN item_id % 47 = 0 THEN '' ELSE app_net END AS app_net, filename
+FROM ({LABELS})"""
+
+
+def odd_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    return spark.sql(ODD)

@@ -107,12 +107,12 @@ def _json():
 
 
 # Extraction: records with the lines in order; words carry confidence in two of three records.
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, of: Callable[[SparkSession, str], DataFrame] = labels) -> DataFrame:
     line = F.concat_ws("\n", "brand_line", "class_line", "abv_line", "net_line", "warning_line")
     conf = F.when(c("item_id") % 10 == 3, 0.3).otherwise(0.9)
     box = lambda x0, y0, x1, y1: F.struct(F.lit(float(x0)).alias("x_min"), F.lit(float(y0)).alias("y_min"), F.lit(float(x1)).alias("x_max"), F.lit(float(y1)).alias("y_max"))
     words = F.transform(F.array("abv_line", "net_line"), lambda w: F.struct(F.regexp_extract(w, r"^(\S+)", 1).alias("text"), conf.alias("confidence"), box(10, 200, 90, 220).alias("bbox")))
-    return labels(spark, sf_dir).withColumns({"full_text": line, "words": words.cast(extract.WORDS), "image_width_px": F.lit(800), "image_height_px": F.lit(600)})
+    return of(spark, sf_dir).withColumns({"full_text": line, "words": words.cast(extract.WORDS), "image_width_px": F.lit(800), "image_height_px": F.lit(600)})
 
 
 def field_query(name: str, make: Callable, sql: str | None) -> None:

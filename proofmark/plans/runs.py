@@ -5,6 +5,8 @@ Extracted fields and checks are stored between stages (see ``operators.stages``)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from proofmark.operators import diagnose, evaluate, evidence, exports, extract,
 from proofmark.operators.stages import Stages
 from proofmark.plans import oracle as o
 from proofmark.plans import whole
-from proofmark.plans.labels import labels
+from proofmark.plans.labels import ODD, labels, odd_labels
 from proofmark.plans.queries import ITEMS, T, items, records, trials, two_passes
 from proofmark.plans.registry import register
 from proofmark.sources import readers
@@ -33,16 +35,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.fields(records(spark, sf_dir)).select("item_id", "field_name", "status", "raw_text", "normalized_value", "normalized_numeric", c("normalized_unit").alias("unit"), "reason", "source", F.array_join("candidates", "|").alias("candidates"))
 
 
-def checks(spark: SparkSession, sf_dir: str, run: Stages, comparison: bool = True) -> DataFrame:
+def checks(spark: SparkSession, sf_dir: str, run: Stages, comparison: bool = True, of: Callable[[SparkSession, str], DataFrame] = labels) -> DataFrame:
     """All five checks of every record, from text to result; the fields are stored."""
-    found = run.store("fields", extract.fields(records(spark, sf_dir)), keep=True)
+    found = run.store("fields", extract.fields(records(spark, sf_dir, of)), keep=True)
     app = F.when(c("field_name") == "brand_name", c("app_brand")).when(c("field_name") == "class_type", c("app_class")).when(c("field_name") == "alcohol_content", c("app_abv")).when(c("field_name") == "net_contents", c("app_net"))
     return rules.run(found.select("item_id", "batch_id", "field_at", "field_name", "quality", *reconcile.VALUES, app.alias("app_value")), rules.rules_of(comparison), keep=True)
 
 
-def _verdicts(comparison: bool):
+def _verdicts(comparison: bool, of: Callable[[SparkSession, str], DataFrame] = labels):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return checks(spark, sf_dir, Stages(spark), comparison).select("item_id", "check_name", "status", "reason_code", c("underlying_reason_code").alias("underlying"), c("ai_assist_eligible").alias("eligible"), "detected_value")
+        return checks(spark, sf_dir, Stages(spark), comparison, of).select("item_id", "check_name", "status", "reason_code", c("underlying_reason_code").alias("underlying"), c("ai_assist_eligible").alias("eligible"), "detected_value")
 
     return run
 
@@ -51,6 +53,17 @@ VERDICTS = "SELECT item_id, check_name, status, reason_code, underlying, eligibl
 register("rul_08_checks", f"{whole.checks()} {VERDICTS}")(_verdicts(True))
 register("rul_08_checks_label_only", f"{whole.checks(False)} {VERDICTS}")(_verdicts(False))
 
+# The same over records with missing, empty and foreign lines.
+odd = lambda sql: sql.replace(o.L, f"WITH l AS ({ODD})")
+register("rul_08_odd_checks", odd(f"{whole.checks()} {VERDICTS}"))(_verdicts(True, odd_labels))
+register("rul_08_odd_checks_label_only", odd(f"{whole.checks(False)} {VERDICTS}"))(_verdicts(False, odd_labels))
+
+
+@register("ext_11_odd_fields", odd(f"{whole.FIELDS_SQL} SELECT item_id, field_name, status, raw_text, normalized_value, normalized_numeric, unit, reason, source, array_to_string(candidates, '|') AS candidates FROM f"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.fields(records(spark, sf_dir, odd_labels)).select("item_id", "field_name", "status", "raw_text", "normalized_value", "normalized_numeric", c("normalized_unit").alias("unit"), "reason", "source", F.array_join("candidates", "|").alias("candidates"))
+
+
 # Items none of whose checks failed; a poor picture's reason gives way to the one beneath it.
 ELIGIBLE = o.array(reconcile.ELIGIBLE_REASONS)
 WHY = f"CASE WHEN list_contains({ELIGIBLE}, reason_code) THEN reason_code WHEN list_contains({ELIGIBLE}, underlying) THEN underlying END"

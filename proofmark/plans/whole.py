@@ -12,7 +12,8 @@ from proofmark.plans import oracle as o
 
 q = o.q
 TOKENS = lambda t: f"list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')"
-BARE = lambda t: f"lower(regexp_replace({t}, '^\\W+|\\W+$', '', 'g'))"
+LETTER = "\\p{L}\\p{M}\\p{N}_"
+BARE = lambda t: f"lower(regexp_replace({t}, '^[^{LETTER}]+|[^{LETTER}]+$', '', 'g'))"
 HOLDS = lambda words, t: f"len(list_filter({o.array(words)}, lambda p: contains(lower({t}), p))) > 0"
 WEAK = lambda t: f"regexp_matches(trim({t}), {q(WEAK_STANDALONE)}, 'i')"
 FIRST_WORD = "'^(\\S+)'"
@@ -29,10 +30,10 @@ br AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, po
 bc AS (SELECT item_id, max(top) AS line, max(own) FILTER (place = 1) AS own, bool_or(low) AS low, list(line ORDER BY place)[1:5] AS seen,
   count(DISTINCT lower(line)) FILTER (score >= best * 0.88::DOUBLE AND NOT {WEAK('line')}) > 1
   OR count(*) FILTER (place > 1 AND len({TOKENS('top')}) >= 2 AND length({TOKENS('top')}[-1]) >= 4 AND score >= best * 0.72::DOUBLE AND NOT {WEAK('line')} AND len({TOKENS('line')}) >= 2 AND lower({TOKENS('line')}[-1]) = lower({TOKENS('top')}[-1]) AND lower({TOKENS('line')}[1]) <> lower({TOKENS('top')}[1])) > 0 AS unclear FROM br GROUP BY 1),
-bi AS (SELECT *, concat_ws(',', CASE WHEN regexp_matches(line, {q(OCR_ARTIFACT)}) THEN 'ocr_artifact_symbol' END, CASE WHEN regexp_matches(line, {q(EDGE_JUNK)}) THEN 'edge_punctuation' END, CASE WHEN regexp_matches(line, '^[a-z].*[A-Za-z]') THEN 'leading_lowercase' END,
+bi AS (SELECT *, concat_ws(',', CASE WHEN regexp_matches(line, {q(OCR_ARTIFACT)}) THEN 'ocr_artifact_symbol' END, CASE WHEN regexp_matches(line, {q(EDGE_JUNK)}) THEN 'edge_punctuation' END, CASE WHEN regexp_matches(line, '^\\p{{Ll}}.*\\p{{L}}') THEN 'leading_lowercase' END,
   CASE WHEN regexp_matches(line, '\\s[=|_]\\s*$') OR line LIKE '%=' THEN 'trailing_ocr_artifact' END, CASE WHEN own > 0 AND low THEN 'low_confidence_leading_word,low_confidence_trailing_word,clipped_leading_edge' END) AS issues FROM bc)"""
 
-CLEAN = f"trim(regexp_replace(regexp_replace(line, '^[^\\w\"'']+', ''), '[^\\w\"''.!?-]+$', ''))"
+CLEAN = f"trim(regexp_replace(regexp_replace(line, '^[^{LETTER}\"'']+', ''), '[^{LETTER}\"''.!?-]+$', ''))"
 BRAND = f"""SELECT b.item_id, 0 AS field_at, CASE WHEN line IS NULL THEN 'NOT_FOUND' WHEN unclear OR {WEAK('line')} OR issues <> '' THEN 'UNCERTAIN' ELSE 'FOUND' END AS status, line AS raw_text, coalesce(nullif({CLEAN}, ''), trim(line)) AS normalized_value, CAST(NULL AS DOUBLE) AS normalized_numeric, CAST(NULL AS VARCHAR) AS unit,
   CASE WHEN line IS NULL THEN 'brand_missing' WHEN unclear THEN 'brand_ambiguous' WHEN {WEAK('line')} THEN 'brand_weak_standalone' WHEN issues <> '' THEN issues END AS reason, CAST(NULL AS VARCHAR) AS source, coalesce(seen, []) AS candidates FROM b LEFT JOIN bi USING (item_id)"""
 
@@ -54,7 +55,7 @@ ABV_FIELD = f"""SELECT item_id, 2, CASE WHEN {o.source('a')} IS NULL THEN 'NOT_F
 NET_FIELD = f"""SELECT item_id, 3, CASE WHEN {o.net_value('net_line')} IS NULL THEN 'NOT_FOUND' WHEN NOT {o.net_reliable('net_line')} OR low THEN 'UNCERTAIN' ELSE 'FOUND' END, CASE WHEN {o.net_value('net_line')} IS NOT NULL THEN net_line END, {o.net_display('net_line')}, {o.net_value('net_line')}, {o.net_unit('net_line')},
   CASE WHEN {o.net_value('net_line')} IS NULL THEN 'net_contents_pattern_missing' WHEN NOT {o.net_reliable('net_line')} THEN 'net_contents_noisy_context' END, CAST(NULL AS VARCHAR), CASE WHEN {o.net_value('net_line')} IS NULL THEN [] ELSE [net_line] END FROM b"""
 FULL = f"{o.cues('warning_line')} >= 2 AND length(warning_line) > 80"
-HEADED = "regexp_matches(warning_line, 'government\\s+warning', 'i')"
+HEADED = "coalesce(regexp_matches(warning_line, 'government\\s+warning', 'i'), false)"
 WARNING_FIELD = f"""SELECT item_id, 4, CASE WHEN NOT {HEADED} THEN 'NOT_FOUND' WHEN {FULL} THEN 'FOUND' ELSE 'UNCERTAIN' END, CASE WHEN {HEADED} THEN warning_line END, CASE WHEN {HEADED} THEN 'GOVERNMENT WARNING' END, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR),
   CASE WHEN NOT {HEADED} THEN 'warning_header_missing' WHEN NOT ({FULL}) THEN 'warning_for_ai' END, CAST(NULL AS VARCHAR), [] FROM b"""
 FIELDS_SQL = f"""{o.L}, {LINES}, {CLASS}, {ABV},
