@@ -16,10 +16,13 @@ def safe_cell(c: Column) -> Column:
 
 
 def check_statuses(checks: DataFrame) -> DataFrame:
-    """Per item one column for each check's status, the worst where a check repeats."""
+    """Per item one column for each check's status, the worst where a check repeats; null where it has none."""
     names = ("brand_status", "class_type_status", "alcohol_content_status", "net_contents_status", "government_warning_status")
-    by = checks.groupBy("item_id").pivot("check_name", list(CHECKS)).agg(F.max_by("status", F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "REVIEW", 1).otherwise(0)))
-    return by.select("item_id", *(F.col(f"`{c}`").alias(n) for c, n in zip(CHECKS, names, strict=True)))
+    # Numbers, so that the aggregate is combined in place within tasks.
+    rank = F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "REVIEW", 1).when(F.col("status") == "PASS", 0)
+    worst_of = {n: F.max(F.when(F.col("check_name") == check, rank)) for check, n in zip(CHECKS, names, strict=True)}
+    found = checks.groupBy("item_id").agg(*(worst.alias(n) for n, worst in worst_of.items()))
+    return found.select("item_id", *(F.get(F.array(F.lit("PASS"), F.lit("REVIEW"), F.lit("FAIL")), F.col(n)).alias(n) for n in names))
 
 
 def batch_rows(items: DataFrame, checks: DataFrame) -> DataFrame:
