@@ -31,13 +31,13 @@ TEXTS = [
     " \t\n",
     "Été!",
     *(prose(R.randint(1, 300)) for _ in range(40)),
-    *(f"{prose(R.randint(0, 150))}\n{damaged(t, R.randint(0, len(t.split()) // 2))}\n{prose(R.randint(0, 150))}" for _ in range(8) for _, t in licenses.TEMPLATES),
+    *(f"{prose(R.randint(0, 150))}\n{damaged(t, R.randint(0, len(t.split()) // 2))}\n{prose(R.randint(0, 150))}" for _ in range(4) for _, t in licenses.TEMPLATES),
     *(t for _, t in licenses.TEMPLATES),
     "Released UNDER the MIT\tLicense. under the mit license",
     "Apache License, Version 2.0; CC-BY-NC cc by nc cc by",
     "under the MİT license, under the KMIT license",
     "under the mit",
-    f"{prose(20_000)} under the mit license {prose(20_000)} {licenses.TEMPLATES[0][1]}",
+    f"{prose(6_000)} under the mit license {prose(6_000)} {licenses.TEMPLATES[0][1]}",
 ]
 ROWS = [*enumerate(TEXTS), (None, TEXTS[50]), (None, TEXTS[50]), (None, None), (3, "under the mit license"), (3, "x")]
 
@@ -66,7 +66,7 @@ def docs(spark):
     return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("words", "width", "held", "label", "need", "digest", "score")}).repartition(3)
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
 def test_labels_equal_those_of_all_blocks(docs, threshold):
     found = [(r.doc_id, r.n_words, list(r.places), list(r.base_labels), list(r.labels), r.score) for r in licenses.scan(docs, threshold=threshold).collect()]
     expected = [(i, *plain(t, threshold)) for i, t in ROWS]
@@ -87,7 +87,7 @@ def test_every_meeting_block_is_found(docs):
                     share = len(held & set(ws[b * width : (b + 2) * width])) / len(held)
                     if share >= 0.8:
                         expected.add((i, k, b, share))
-    assert found == expected and len(expected) > 60
+    assert found == expected and len(expected) > 30
 
 
 def test_a_stretch_as_long_as_its_template_lies_in_one_block():
