@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-GEAR, LEAST, MOST, MASK_BITS = 16, 12, 128, 4
+GEAR, LEAST, MOST, MASK_BITS = 16, 12, 64, 4
 RUN, WORDS = 80, 16
 #: Stands for a null id.
 NO_ID = -(1 << 63)

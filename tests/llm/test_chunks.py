@@ -151,18 +151,18 @@ def test_no_rows(spark):
     assert len(chunks.covers(*[np.zeros(0, np.int64)] * 4)) == 0
 
 
-@pytest.mark.parametrize("size,least", [(2, 0.9), (3, 0.95), (5, 0.99)])
-def test_recall_of_passages_of_short_words(size, least):
-    """51 words of so many letters between different prose: the share of which two texts have a common window."""
-    r, met = random.Random(size), 0
-    for _ in range(300):
-        word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))  # noqa: B023, E731
-        passage = " ".join(word() for _ in range(51))
-        found = []
-        for _ in range(2):
-            text = f"{prose(r.randint(20, 60), r)} {passage} {prose(r.randint(20, 60), r)}"
-            found.append(chunked(text))
-        both = {c[3] for c in found[0]} & {c[3] for c in found[1]}
-        held = [{tuple(c[3] for c in run[i : j + 1]) for run in runs_of(x, both) for i, j in plain_windows(run, chunks.RUN, chunks.WORDS)} for x in found]
-        met += bool(held[0] & held[1])
-    assert met >= least * 300
+def met(r, passage):
+    """Whether two texts that hold the passage between different prose have a window of it in common."""
+    found = [chunked(f"{prose(r.randint(20, 60), r)} {passage} {prose(r.randint(20, 60), r)}") for _ in range(2)]
+    both = {c[3] for c in found[0]} & {c[3] for c in found[1]}
+    held = [{tuple(c[3] for c in run[i : j + 1]) for run in runs_of(x, both) for i, j in plain_windows(run, chunks.RUN, chunks.WORDS)} for x in found]
+    return bool(held[0] & held[1])
+
+
+@pytest.mark.parametrize("size,unit,least", [(2, 51, 0.9), (3, 51, 0.95), (5, 51, 0.99), (2, 1, 0.9), (2, 2, 0.9), (2, 5, 0.9), (3, 3, 0.9), (4, 3, 0.85), (5, 2, 0.85), (7, 2, 0.9)])
+def test_recall_of_short_words_and_of_repeated_units(size, unit, least):
+    """Passages of 51 words of so many letters, a unit of so many words repeated in them."""
+    r = random.Random(100 * size + unit)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    times = 200
+    assert sum(met(r, " ".join(([word() for _ in range(unit)] * 51)[:51])) for _ in range(times)) >= least * times
