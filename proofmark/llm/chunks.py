@@ -8,8 +8,8 @@ insertion moves no cut beyond its surroundings.  A chunk whose 64-bit digest two
 documents hold is repeated, and repeated chunks that
 touch are a run.  Short chunks recur by chance, so a run says little by itself: it
 is gone through in windows of chunks that hold at least ``RUN`` bytes or ``WORDS``
-words, and only windows that another document holds whole count (by 96 bits, of 96
-bits of each of their chunks, so a chance repetition of a chunk doesn't matter).  Windows that one
+words, and only windows that another document holds whole count (by 96 bits, made of those
+of their chunks; a window of one chunk alone, of 16 words or more in 64 bytes, has its 64).  Windows that one
 place of another document holds in the same order are joined to a passage.  The
 occurrence in the document with the least id stays; the others may be removed.
 
@@ -83,13 +83,18 @@ def told(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
 
 
+def digest(parts: list[bytes]) -> np.ndarray:
+    """64-bit digests of chunks, as signed numbers."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)).view(np.int64)
+
+
 def placed(start: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Start, length and words of chunks in one number each, in order of start; neither of the last two reaches 256."""
     return start.astype(np.int64) << 16 | end - start << 8 | words
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``row``, ``id``, ``place`` (start, length and words in one number, see ``placed``), ``digest`` and ``check`` (32 further bits of it) of every chunk."""
+    """``row``, ``id``, ``place`` (start, length and words in one number, see ``placed``) and ``digest`` of every chunk."""
 
     def pieces(batches) -> Iterator[list]:
         for b in batches:
@@ -98,11 +103,10 @@ def spans(docs: DataFrame) -> DataFrame:
                 if data:
                     ends = cuts(data)
                     starts = [0, *ends[:-1]]
-                    both = told([data[a:e] for a, e in zip(starts, ends, strict=True)])
-                    yield [np.full(len(ends), row), np.full(len(ends), doc_id), placed(np.array(starts), np.array(ends), np.array(words_of(data, ends))), both[:, 0], both[:, 1].astype(np.int32)]
+                    yield [np.full(len(ends), row), np.full(len(ends), doc_id), placed(np.array(starts), np.array(ends), np.array(words_of(data, ends))), digest([data[a:e] for a, e in zip(starts, ends, strict=True)])]
 
     numbered = common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.monotonically_increasing_id().alias("row"))
-    return common.map_pieces(numbered, pieces, "row long, id long, place long, digest long, check int")
+    return common.map_pieces(numbered, pieces, "row long, id long, place long, digest long")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 data = text.encode("utf-8", "replace")
                 if data:
                     ends = cuts(data)
-                    held = told(list({data[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)}))[:, 0]
+                    held = digest(list({data[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)}))
                     yield [held, np.full(len(held), doc_id)]
 
     return common.map_pieces(common.texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"), pieces, "digest long, id long")
@@ -155,24 +159,22 @@ def windows(parts: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame
     A task holds one run at a time beside a batch of chunks.
     """
 
-    def of(row, doc_id, start, end, count, digest, check) -> list | None:
+    def of(row, doc_id, start, end, count, digests) -> list | None:
         first = _breaks(row, start, end)
         pairs = covers(start, end, count, first, least, words)
         if not len(pairs):
             return None
-        bits = np.empty(len(digest), [("digest", "<i8"), ("check", "<i4")])
-        bits["digest"], bits["check"] = digest, check
-        held, (i, j) = bits.tobytes(), pairs.T
-        both = told([held[12 * a : 12 * e + 12] for a, e in pairs.tolist()])
+        held, (i, j) = digests.astype("<i8").tobytes(), pairs.T
+        both = told([held[8 * a : 8 * e + 8] for a, e in pairs.tolist()])
         begin = first[np.searchsorted(first, i, "right") - 1]
         return [row[i], doc_id[i], start[i], end[j], i - begin, j - begin, both[:, 0], both[:, 1].astype(np.int32)]
 
     def pieces(batches) -> Iterator[list]:
         held = None
         for b in batches:
-            row, doc_id, place, digest, check = (c.to_numpy() for c in b.columns)
+            row, doc_id, place, digests = (c.to_numpy() for c in b.columns)
             start = place >> 16
-            now = [row, doc_id, start, start + (place >> 8 & 255), place & 255, digest, check]
+            now = [row, doc_id, start, start + (place >> 8 & 255), place & 255, digests]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             # The last run may go on in the next batch.
             at = _breaks(*held[:1], *held[2:4])[-1] if len(held[0]) else 0
@@ -182,7 +184,7 @@ def windows(parts: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame
         if held and len(held[0]) and (found := of(*held)):
             yield found
 
-    return common.map_arrays(parts.select("row", "id", "place", "digest", "check"), pieces, "row long, id long, start int, end int, i int, j int, high long, low int")
+    return common.map_arrays(parts.select("row", "id", "place", "digest"), pieces, "row long, id long, start int, end int, i int, j int, high long, low int")
 
 
 def _breaks(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -208,11 +210,14 @@ def passages(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame
     held = digests(docs).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     repeated = common.store(held.where("first <> last").select("digest"), "chunks-repeated")
     found = spans(docs).join(repeated, "digest").repartition("row").sortWithinPartitions("row", "place")
+    common.release(docs.sparkSession)
     cut = common.store(windows(found, least, words), "chunks-windows")
     common.forget(repeated)
+    common.release(docs.sparkSession)
     place = F.struct("id", "row", "start")
     holders = cut.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.id <> last.id")
     shared = cut.join(common.store(holders, "chunks-holders"), ["high", "low"])
+    common.release(docs.sparkSession)
     kept = F.col("id") == F.col("first.id")
     other = F.when(kept, F.col("last")).otherwise(F.col("first"))
     each = shared.select("row", "id", "start", "end", "i", "j", F.col("first.id").alias("first"), kept.alias("kept"), other["row"].alias("other"), (F.col("start") - other["start"]).alias("shift"))

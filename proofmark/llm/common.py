@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from bisect import bisect_left
@@ -136,6 +137,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan needs: it does so once the driver has collected the plans that made them, which may take long after a big stage."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def keep_rows(df: DataFrame, text: str, keeps: Callable[[Iterator[list[str]]], Iterator[list[bool]]]) -> DataFrame:
     """The rows whose text is kept, with all columns as they are; ``keeps`` maps batches of texts (null: empty) to batches of verdicts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

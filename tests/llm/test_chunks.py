@@ -128,9 +128,9 @@ def test_windows_equal_the_plain_ones_however_batches_fall(spark):
     for least, most in ((80, 16), (200, 10_000), (100_000, 5), (10**6, 10**6)):
         found = {tuple(p) for p in chunks.covers(start, end, words, np.array(first), least, most).tolist()}
         assert found == {(f + i, f + j) for f, run in zip(first, runs, strict=True) for i, j in plain_windows(run, least, most)}
-    rows = [(r, 7 * r, *c, R.randint(-9, 9), R.randint(-9, 9)) for r, run in enumerate(runs) for c in run]
-    packed = [(r, i, int(chunks.placed(np.array([a]), np.array([e]), np.array([w]))[0]), d, x) for r, i, a, e, w, d, x in rows]
-    df = spark.createDataFrame(packed, "row long, id long, place long, digest long, check int").coalesce(1).sortWithinPartitions("row", "place")
+    rows = [(r, 7 * r, *c, R.randint(-9, 9)) for r, run in enumerate(runs) for c in run]
+    packed = [(r, i, int(chunks.placed(np.array([a]), np.array([e]), np.array([w]))[0]), d) for r, i, a, e, w, d in rows]
+    df = spark.createDataFrame(packed, "row long, id long, place long, digest long").coalesce(1).sortWithinPartitions("row", "place")
     results = []
     for size in (7, 100_000):
         with common.batches_of(spark, size):
@@ -140,7 +140,7 @@ def test_windows_equal_the_plain_ones_however_batches_fall(spark):
     expected = []
     for r, run in enumerate(runs):
         for i, j in plain_windows(run, chunks.RUN, chunks.WORDS):
-            held = b"".join(d.to_bytes(8, "little", signed=True) + e.to_bytes(4, "little", signed=True) for *_, d, e in by[r][i : j + 1])
+            held = b"".join(d.to_bytes(8, "little", signed=True) for *_, d in by[r][i : j + 1])
             x = xxhash.xxh3_128_digest(held)
             expected.append((r, 7 * r, run[i][0], run[j][1], i, j, int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:12], "little", signed=True)))
     assert results[0] == sorted(expected)
