@@ -74,15 +74,17 @@ class Life(StatefulProcessor):
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams started within keep their state in the store that timers need; afterwards the session is as before."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STORE)
+def state_store(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
+    """Streams started within keep their state in the store that timers need, in so many parts; afterwards the session is as before."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STORE} | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def moves(events: DataFrame, late: str = "10 minutes", limit_minutes: float = 30, keep_minutes: float = 24 * 60) -> DataFrame:
@@ -102,16 +104,18 @@ def arrivals(spark: SparkSession, path: str, files_per_trigger: int = 100) -> Da
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def follow(made: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def follow(made: DataFrame, path: str, checkpoint: str, parts: int | None = None) -> StreamingQuery:
     """Writes moves until the source has been read; a run that was ended goes on from its checkpoint, and each move is written once.
 
-    A micro-batch writes a folder of its own, over what an unfinished run of it left.
+    A micro-batch writes a folder of its own, over what an unfinished run of it left.  State lies
+    in ``parts`` parts (else as many as the session's shuffles have), which its first run
+    fixes: each costs a task in every micro-batch.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    with state_store(made.sparkSession):
+    with state_store(made.sparkSession, parts):
         return made.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
