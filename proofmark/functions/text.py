@@ -87,8 +87,7 @@ def clean_display(c: Column) -> Column:
 
 def dedupe_lines(c: Column) -> Column:
     """The first of lines that differ in case only, in order."""
-    keys = F.transform(c, F.lower)
-    return F.filter(c, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return let(c, lambda a: let(F.transform(a, F.lower), lambda keys: F.filter(a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def ordered_distinct(*c: Column) -> Column:

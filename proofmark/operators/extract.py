@@ -36,8 +36,13 @@ def field(status: Column, raw: Column | None = None, value: Column | None = None
 
 def low_confidence(words: Column, snippet: Column, below: float = 0.45) -> Column:
     """Whether a word of the snippet was recognised with little confidence."""
-    wanted = tokens(F.lower(snippet))
-    return F.coalesce(F.exists(words, lambda w: (w["confidence"] < below) & F.array_contains(wanted, F.lower(strip(w["text"])))), F.lit(False))
+    doubtful = F.filter(words, lambda w: w["confidence"] < below)
+    return F.coalesce(let(tokens(F.lower(snippet)), lambda wanted: F.exists(doubtful, lambda w: F.array_contains(wanted, F.lower(strip(w["text"]))))), F.lit(False))
+
+
+def numbered_lines(text: Column) -> Column:
+    """Lines with a digit; no others state alcohol or quantities."""
+    return F.filter(lines(text), lambda x: x.rlike("[0-9]"))
 
 
 def mean_confidence(words: Column) -> Column:
@@ -48,7 +53,7 @@ def mean_confidence(words: Column) -> Column:
 def alcohol(text: Column, words: Column) -> Column:
     """The line with the strongest statement (both over abv over proof); the first of equals, but the last of those with both."""
     rank = lambda x: F.when(x["p"]["source"] == "both", 2).when(x["p"]["source"] == "abv", 1).otherwise(0)
-    each = F.filter(F.transform(lines(text), lambda x: F.struct(x.alias("line"), parse.alcohol(x).alias("p"))), lambda x: x["p"].isNotNull())
+    each = F.filter(F.transform(numbered_lines(text), lambda x: F.struct(x.alias("line"), parse.alcohol(x).alias("p"))), lambda x: x["p"].isNotNull())
     ranked = let(each, lambda e: F.struct(e.alias("e"), F.array_max(F.transform(e, rank)).alias("top")))
     chosen = let(ranked, lambda r: let(F.filter(r["e"], lambda x: rank(x) == r["top"]), lambda a: F.struct(F.transform(r["e"], lambda x: x["line"]).alias("seen"), F.when(r["top"] == 2, F.get(a, F.size(a) - 1)).otherwise(F.get(a, 0)).alias("best"))))
 
@@ -69,7 +74,7 @@ def alcohol(text: Column, words: Column) -> Column:
 def net(text: Column, words: Column) -> Column:
     """The first reliable line, else the first with a quantity, else the whole text."""
     one = lambda x, p: F.when(p.isNotNull(), F.struct(x.alias("line"), p.alias("p"), parse.net_reliable(x, p["span"]).alias("sure")))
-    each = F.filter(F.transform(lines(text), lambda x: let(parse.net(x), lambda p: one(x, p))), lambda x: x.isNotNull())
+    each = F.filter(F.transform(numbered_lines(text), lambda x: let(parse.net(x), lambda p: one(x, p))), lambda x: x.isNotNull())
 
     def choose(e: Column) -> Column:
         at = F.coalesce(F.array_position(F.transform(e, lambda x: x["sure"]), True), F.lit(0)).cast("int")
@@ -92,9 +97,15 @@ def class_type(text: Column) -> Column:
     """One line with a known phrase; several, or a keyword alone, are uncertain."""
 
     def hits(every: Column) -> Column:
-        phrases = F.filter(F.array(*map(F.lit, CLASS_PHRASES)), lambda p: F.lower(text).contains(p))
-        unique = F.array_distinct(F.transform(phrases, lambda p: F.coalesce(F.get(F.filter(every, lambda x: F.lower(x).contains(p)), 0), p)))
-        weak = F.filter(every, lambda x: F.exists(F.array(*map(F.lit, CLASS_KEYWORDS)), lambda k: F.lower(x).contains(k)))
+        # Whole text and lines in small letters, once for all phrases.
+        return let(F.struct(every.alias("every"), F.transform(every, F.lower).alias("low"), F.lower(text).alias("all")), found)
+
+    def found(x: Column) -> Column:
+        every, low = x["every"], x["low"]
+        phrases = F.filter(F.array(*map(F.lit, CLASS_PHRASES)), lambda p: x["all"].contains(p))
+        at = lambda p: F.coalesce(F.array_position(F.transform(low, lambda y: y.contains(p)), True), F.lit(0)).cast("int")
+        unique = F.array_distinct(F.transform(phrases, lambda p: let(at(p), lambda n: F.when(n > 0, F.get(every, n - 1)).otherwise(p))))
+        weak = F.filter(every, lambda y, i: F.exists(F.array(*map(F.lit, CLASS_KEYWORDS)), lambda k: F.get(low, i).contains(k)))
         return F.struct(unique.alias("unique"), weak.alias("weak"))
 
     def told(h: Column) -> Column:
@@ -121,7 +132,7 @@ def warning(text: Column) -> Column:
         return let(at, lambda n: F.when(n > 0, F.array_join(F.slice(every, n, F.size(every)), " ")))
 
     def told(raw: Column) -> Column:
-        cues = F.size(F.filter(F.array(*map(F.lit, WARNING_CUES)), lambda c: F.lower(raw).contains(c)))
+        cues = let(F.lower(raw), lambda low: F.size(F.filter(F.array(*map(F.lit, WARNING_CUES)), lambda c: low.contains(c))))
         full = (cues >= 2) & (F.length(raw) > 80)
         heading = F.lit("GOVERNMENT WARNING")
         return (
@@ -163,10 +174,12 @@ def preview_of_words(words: Column, n: int = 12) -> Column:
 
 def brand_lines(text: Column) -> Column:
     """Lines that can be a brand: 3 to 60 characters, nothing of another field."""
-    lower = F.lower
-    class_like = lambda x: F.exists(F.array(*map(F.lit, CLASS_PHRASES)), lambda p: lower(x).contains(p)) | (F.exists(F.array(*map(F.lit, CLASS_KEYWORDS)), lambda k: lower(x).contains(k)) & (F.size(tokens(x)) <= 6))
-    fragment = lambda x: F.exists(F.array(*map(F.lit, WARNING_FRAGMENTS)), lambda p: lower(x).contains(p))
-    return F.filter(dedupe_lines(lines(text)), lambda x: F.length(x).between(3, 60) & ~x.rlike(f"(?i){SKIP_LINE}") & ~class_like(x) & ~fragment(x))
+    holds = lambda lower, words: F.exists(F.array(*map(F.lit, words)), lambda p: lower.contains(p))
+
+    def of_another(x: Column) -> Column:
+        return let(F.lower(x), lambda lower: holds(lower, CLASS_PHRASES) | (holds(lower, CLASS_KEYWORDS) & (F.size(tokens(x)) <= 6)) | holds(lower, WARNING_FRAGMENTS))
+
+    return F.filter(dedupe_lines(lines(text)), lambda x: F.length(x).between(3, 60) & ~x.rlike(f"(?i){SKIP_LINE}") & ~of_another(x))
 
 
 def is_weak(line: Column) -> Column:
