@@ -39,19 +39,19 @@ class Life(StatefulProcessor):
         self.state = handle.getValueState("state", "step int, since long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        step, since = self.state.get() if self.state.exists() else (-1, 0)
-        before = step
+        before = self.state.get() or (-1, 0)
+        step, since = before
         # Of equal times the less advanced first, then by name, so the order in which rows come doesn't matter.
         for r in sorted(rows, key=lambda r: (r.ms, STATES[r.event][1], r.event, r.error_code or "", r.overall_status or "")):
             name, to = STATES[r.event]
             if to > step:
                 step, since = to, r.ms
                 yield self._row(key, name, since, r.overall_status if name == "COMPLETED" else None, r.processing_time_ms if to == 2 else None, (r.error_code or "processing_exception") if name == "ERROR" else None)
-        if step != before:
-            self._remember(step, since)
+        if step != before[0]:
+            self._remember(step, since, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        step, since = self.state.get() if self.state.exists() else (-1, 0)
+        step, since = self.state.get() or (-1, 0)
         if step == 1:
             ended = since + self.limit_ms
             self._remember(2, ended)
@@ -62,12 +62,16 @@ class Life(StatefulProcessor):
     def _row(self, key: tuple, state: str, ms: int, status: str | None, took: float | None, error: str | None) -> Row:
         return Row(batch_id=key[0], item_id=key[1], state=state, ms=ms, overall_status=status, processing_time_ms=took, error_code=error)
 
-    def _remember(self, step: int, since: int) -> None:
+    def _remember(self, step: int, since: int, before: tuple[int, int] = (-1, 0)) -> None:
+        """Each call to the store is a round trip, so the timer set before is known from the state before; one that has run out is dropped by Spark."""
         self.state.update((step, since))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if before[0] > 0:
+            self.handle.deleteTimer(self._timer(*before))
         if step > 0:
-            self.handle.registerTimer(since + (self.limit_ms if step == 1 else self.keep_ms))
+            self.handle.registerTimer(self._timer(step, since))
+
+    def _timer(self, step: int, since: int) -> int:
+        return since + (self.limit_ms if step == 1 else self.keep_ms)
 
     def close(self) -> None:
         pass

@@ -37,3 +37,29 @@ def test_keys_and_stripping(spark):
     assert dict(df.select("t", comparison_normalize("t")).collect()) == cases
     odd = ["\x1c a　", "\x85 b c ", "", " \t\n", None, "a"]
     assert [r[0] for r in spark.createDataFrame([(t,) for t in odd], "t string").coalesce(1).select(strip(F.col("t"))).collect()] == [t if t is None else t.strip() for t in odd]
+
+
+def test_a_timer_is_set_without_a_look_at_all_timers():
+    from types import SimpleNamespace
+
+    from proofmark.streaming.live import Life
+
+    calls, kept = [], [None]
+    state = SimpleNamespace(exists=lambda: calls.append("exists") or kept[0] is not None, get=lambda: calls.append("get") or kept[0], update=lambda x: calls.append("update") or kept.__setitem__(0, x))
+    timers = set()
+    life = Life(1000, 5000)
+    life.handle = SimpleNamespace(listTimers=lambda: calls.append("list") or list(timers), deleteTimer=timers.remove, registerTimer=timers.add)
+    life.state = state
+    event = lambda name, ms: SimpleNamespace(event=name, ms=ms, error_code=None, overall_status=None, processing_time_ms=None)
+    for name, ms, left in (("queued", 0, set()), ("started", 10, {1010}), ("started", 20, {1010}), ("finished", 30, {5030})):
+        list(life.handleInputRows(("b", "i"), [event(name, ms)], None))
+        assert timers == left
+    assert "list" not in calls and "exists" not in calls
+
+
+def test_keys_of_more_texts_than_are_read_at_once(spark):
+    from pyspark.util import PythonEvalType
+
+    assert comparison_normalize.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    df = spark.range(0, 700, 1, 1).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("É "), F.col("id").cast("string"))).alias("t"))
+    assert [r[0] for r in df.select(comparison_normalize("t")).collect()] == [f"{i}" if i % 3 else None for i in range(700)]
