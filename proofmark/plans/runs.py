@@ -137,7 +137,7 @@ s1 AS ({_answer("s0", 1)}), s2 AS ({_answer("s1", 2)}), s3 AS ({_answer("s2", 3)
 
 
 def alcohol_fields(spark: SparkSession, sf_dir: str, run: Stages) -> DataFrame:
-    return run.store("fields", extract.fields(records(spark, sf_dir)), keep=True).where("field_name = 'alcohol_content'")
+    return run.store("fields", extract.fields(records(spark, sf_dir), ["alcohol_content"]), keep=True)
 
 
 @register("joi_08_answers", f"{whole.FIELDS_SQL}, {STEPS} SELECT item_id, 'alcohol_content' AS field_name, status, raw AS raw_text, value AS normalized_value, number AS normalized_numeric, source, why AS reason, array_to_string(outcomes, ';') AS outcomes, outcomes[-1] AS outcome, coalesce(len(list_filter(outcomes, lambda x: x IN ('supplemented', 'filled', 'conflict'))) > 0, false) AS updated, array_to_string(seen, '|') AS candidates FROM s3")

@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofmark.functions.text import comparison_normalize, strip
-from proofmark.operators import rules
+from proofmark.operators import extract, rules
+from proofmark.operators.stages import Stages
 from proofmark.plans.labels import labels, odd_labels
+from proofmark.plans.queries import records
+from proofmark.plans.runs import alcohol_fields
 
 DATA = "/root/testdata/sf0.001"
 data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -63,3 +66,15 @@ def test_keys_of_more_texts_than_are_read_at_once(spark):
     assert comparison_normalize.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
     df = spark.range(0, 700, 1, 1).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("É "), F.col("id").cast("string"))).alias("t"))
     assert [r[0] for r in df.select(comparison_normalize("t")).collect()] == [f"{i}" if i % 3 else None for i in range(700)]
+
+
+@data
+def test_one_field_is_worked_out_without_the_others(spark):
+    """The same rows as among all fields; the stage that answers are merged with has no others."""
+    base = records(spark, DATA, odd_labels)
+    one, every = extract.fields(base, ["alcohol_content"]), extract.fields(base)
+    told = lambda df: sorted(map(str, df.select("item_id", "field_at", "field_name", "status", "raw_text", "normalized_value", "normalized_numeric", "candidates", "reason", "source").collect()))
+    assert told(one) == told(every.where("field_name = 'alcohol_content'")) != []
+    assert "net_contents_pattern_missing" in plan(every) and "net_contents_pattern_missing" not in plan(one)
+    run = Stages(spark)
+    assert alcohol_fields(spark, DATA, run).count() == run.timings().first()["n_rows"]
