@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmark.config import EDGE_JUNK, FIELDS, NET_PATTERN, OCR_ARTIFACT, PROOF_PATTERN, WEAK_STANDALONE
 from proofmark.functions import parse
-from proofmark.functions.text import comparison_normalize, strip
+from proofmark.functions.text import comparison_normalize, lines, strip
 from proofmark.operators import extract, rules
 from proofmark.operators.stages import Stages
 from proofmark.plans.labels import labels, odd_labels
@@ -115,3 +115,16 @@ def test_requests_store_the_fields_alone(spark, monkeypatch):
     monkeypatch.setattr(Stages, "store", lambda self, name, *a, **k: stored.append(name) or store(self, name, *a, **k))
     assert entry.queries()["rec_10_requests"](spark, DATA).count() > 0
     assert stored == ["fields"]
+
+
+def test_lines_are_cut_at_single_signs(spark):
+    """One class of signs is looked for; what a pair leaves between is empty, and dropped."""
+    df = spark.createDataFrame([("a\r\nb\rc\n\n d \x1de\x85f\u2028g\r\n",)], "t string").select(lines(F.col("t")).alias("x"))
+    assert "\\r\\n|" not in plan(df)
+    assert df.first()[0] == list("abcdefg")
+
+
+def test_keywords_are_looked_for_only_where_no_phrase_is(spark):
+    df = spark.createDataFrame([("Straight Bourbon Whiskey\nold rye",), ("old rye\nscotch",), ("Oak",)], "t string").select(extract.class_type(F.col("t")).alias("f"))
+    assert "THEN filter(" in plan(df)
+    assert [(r.f.status, r.f.raw_text, r.f.candidates) for r in df.collect()] == [("FOUND", "Straight Bourbon Whiskey", ["Straight Bourbon Whiskey"]), ("UNCERTAIN", "old rye", ["old rye", "scotch"]), ("NOT_FOUND", None, [])]
