@@ -128,3 +128,11 @@ def test_keywords_are_looked_for_only_where_no_phrase_is(spark):
     df = spark.createDataFrame([("Straight Bourbon Whiskey\nold rye",), ("old rye\nscotch",), ("Oak",)], "t string").select(extract.class_type(F.col("t")).alias("f"))
     assert "THEN filter(" in plan(df)
     assert [(r.f.status, r.f.raw_text, r.f.candidates) for r in df.collect()] == [("FOUND", "Straight Bourbon Whiskey", ["Straight Bourbon Whiskey"]), ("UNCERTAIN", "old rye", ["old rye", "scotch"]), ("NOT_FOUND", None, [])]
+
+
+@data
+def test_a_query_on_small_records_uses_all_cores(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["joi_11_adjacent_fragment"](spark, DATA).withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() >= spark.sparkContext.defaultParallelism
