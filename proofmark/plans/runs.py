@@ -233,11 +233,12 @@ SELECT batch_id, CAST(item_id AS VARCHAR) AS item_id, state, second, overall_sta
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = Stages(spark)
     labels(spark, sf_dir).select("item_id", "batch_id").createOrReplaceTempView("records")
+    parts = max(16, 2 * spark.sparkContext.defaultParallelism)
     for wave in WAVES:
         # The last wave's one late event only moves the clock; its item was queued long ago.
         each = " UNION ALL ".join(f"SELECT batch_id, CAST(item_id AS STRING) AS item_id, '{kind}' AS event, timestamp_seconds({BEGAN} + item_id % 60 + {after}) AS ts, CASE WHEN '{kind}' = 'finished' THEN {_ENDS} END AS overall_status, CASE WHEN '{kind}' IN ('finished', 'failed') THEN CAST(item_id % 50 AS DOUBLE) END AS processing_time_ms, CASE WHEN '{kind}' = 'failed' AND item_id % 2 = 0 THEN 'ocr_unavailable' END AS error_code FROM records WHERE {which}" for kind, after, which in wave)
-        spark.sql(each).write.mode("append").json(run.path("events"))
-        live.follow(live.moves(live.arrivals(spark, run.path("events"), 1000)), run.path("moves"), run.path("checkpoint"), parts=16).awaitTermination()
+        spark.sql(each).coalesce(parts).write.mode("append").json(run.path("events"))
+        live.follow(live.moves(live.arrivals(spark, run.path("events"), 1000), shares=4096), run.path("moves"), run.path("checkpoint"), parts).awaitTermination()
     return live.read(spark, run.path("moves")).select("batch_id", "item_id", "state", F.unix_seconds("at").alias("second"), "overall_status", "processing_time_ms", "error_code")
 
 

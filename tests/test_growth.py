@@ -136,3 +136,34 @@ def test_a_query_on_small_records_uses_all_cores(spark):
 
     rows = entry.queries()["joi_11_adjacent_fragment"](spark, DATA).withColumn("task", F.spark_partition_id())
     assert rows.select("task").distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+@data
+def test_the_lifecycle_keeps_states_of_shares_and_few_files(spark, monkeypatch):
+    """Each wave is few files and one micro-batch, into however many partitions records are dealt."""
+    import __spark_entry__ as entry
+    from proofmark.streaming import live
+
+    moves, follow, shares, files, filled, before = live.moves, live.follow, [], [], [], spark.conf.get("spark.sql.shuffle.partitions")
+
+    def arrivals(spark, path, most):
+        files.append(sum(f.endswith(".json") for f in os.listdir(path.removeprefix("file://"))))
+        return live_arrivals(spark, path, most)
+
+    def followed(*a):
+        query = follow(*a)
+        query.awaitTermination()
+        filled.append(sum(p["numInputRows"] > 0 for p in query.recentProgress))
+        return query
+
+    live_arrivals = live.arrivals
+    monkeypatch.setattr(live, "arrivals", arrivals)
+    monkeypatch.setattr(live, "moves", lambda *a, **k: shares.append(k.get("shares")) or moves(*a, **k))
+    monkeypatch.setattr(live, "follow", followed)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = entry.queries()["svc_01_lifecycle"](spark, DATA).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert n == 3 * labels(spark, DATA).count()
+    assert all(shares) and len(shares) == 3 and filled == [1, 1, 1] and files[-1] <= 3 * 16
