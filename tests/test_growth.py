@@ -150,8 +150,8 @@ def test_the_lifecycle_keeps_states_of_shares_and_few_files(spark, monkeypatch):
         files.append(sum(f.endswith(".json") for f in os.listdir(path.removeprefix("file://"))))
         return live_arrivals(spark, path, most)
 
-    def followed(*a):
-        query = follow(*a)
+    def followed(*a, **k):
+        query = follow(*a, **k)
         query.awaitTermination()
         filled.append(sum(p["numInputRows"] > 0 for p in query.recentProgress))
         return query
